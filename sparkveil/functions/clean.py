@@ -54,9 +54,10 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 def strip_sql(x: str) -> str:
     """Trim every kind of white space at both ends."""
+    blank = regex(r"\s")
     return (
-        f"IF({x} RLIKE {regex('^[\\s]|[\\s]\\z')}, "
-        f"regexp_replace({x}, {regex('^\\s+|\\s+\\z')}, ''), {x})"
+        f"IF(left({x}, 1) RLIKE {blank} OR right({x}, 1) RLIKE {blank}, "
+        f"regexp_replace({x}, {regex(r'^\s+|\s+\z')}, ''), {x})"
     )
 
 
@@ -141,12 +142,21 @@ def digit_groups_sql(x: str) -> str:
     )
 
 
-def whitespace_sql(x: str) -> str:
+def whitespace_sql(x: str, rare_blanks: bool = True) -> str:
+    """Collapse blanks and blank lines and trim every line.
+
+    ``rare_blanks=False`` says that the other steps have already removed every white space
+    except blank, tab, newline, U+0085 and U+1680.
+    """
     blanks = let("w0", x, f"IF({any_of('w0', ('  ', chr(9)))}, regexp_replace(w0, '[ \\\\t]+', ' '), w0)")
     lines = let("w1", blanks, "IF(contains(w1, '\\n\\n\\n'), regexp_replace(w1, '\\n{3,}', '\\n\\n'), w1)")
     edge = regex(r"[^\S\n]*\n[^\S\n]*")
-    probe = regex(r"[^\S\n]\n|\n[^\S\n]")
-    return let("w2", lines, f"IF(w2 RLIKE {probe}, regexp_replace(w2, {edge}, '\\n'), w2)")
+    # plain blanks are found by a byte search; rarer kinds of white space need the pattern
+    rare = regex(r"[^\S\n\t ]")
+    probe = f"({any_of('w2', (' ' + chr(10), chr(10) + ' '))} OR w2 RLIKE {rare})"
+    if not rare_blanks:
+        probe = any_of("w2", (" " + chr(10), chr(10) + " ", "\x85", "\u1680"))
+    return let("w2", lines, f"IF({probe}, regexp_replace(w2, {edge}, '\\n'), w2)")
 
 
 def clean_steps(config: RedactionConfig | None = None) -> list[str]:
@@ -162,7 +172,7 @@ def clean_steps(config: RedactionConfig | None = None) -> list[str]:
     if c.clean_fix_encoding:
         steps.append(mojibake_sql("{0}"))
     if c.clean_normalize_unicode:
-        probe = f"({any_of('{0}', (chr(13),))} OR {affected_sql('{0}')})"
+        probe = any_of("{0}", [old for old, _ in PUNCTUATION])
         steps.append(f"IF({probe}, {punctuation_sql('{0}')}, {{0}})")
     if c.clean_decode_html:
         steps.append(entities_sql("{0}"))
@@ -171,7 +181,8 @@ def clean_steps(config: RedactionConfig | None = None) -> list[str]:
     if c.clean_digit_groups:
         steps.append(digit_groups_sql("{0}"))
     if c.clean_normalize_whitespace:
-        steps.append(whitespace_sql("{0}"))
+        all_on = c.clean_nfkc_normalize and c.clean_strip_zero_width and c.clean_normalize_unicode
+        steps.append(whitespace_sql("{0}", rare_blanks=not (all_on and c.clean_strip_control_chars)))
     steps.append(strip_sql("{0}"))
     return steps
 
@@ -186,7 +197,7 @@ def clean_sql(x: str, config: RedactionConfig | None = None) -> str:
 
 def unmark_sql(x: str) -> str:
     """Take our own marker characters out of the input; the length stays the same."""
-    return f"IF({x} RLIKE '[{MARKS}]', translate({x}, '{MARKS}', '\ufffd\ufffd\ufffd'), {x})"
+    return f"IF({any_of(x, MARKS)}, translate({x}, '{MARKS}', '\ufffd\ufffd\ufffd'), {x})"
 
 
 def clean(column: Column | str, config: RedactionConfig | None = None) -> Column:

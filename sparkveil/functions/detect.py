@@ -80,7 +80,13 @@ class Plan:
         """The clean type name of span ``c``."""
         plain = self.config.with_(use_typed_tokens=True)
         kinds = [token(plain, r.detector.kind, r.detector.sub).strip("[]") for r in self.rows] or [""]
-        return f"IF(endswith(c.tok, '[EMP_ID]@[DOMAIN]'), 'EMP_ID', {self._static(kinds)})"
+        cases = "WHEN endswith(c.tok, '[EMP_ID]@[DOMAIN]') THEN 'EMP_ID' "
+        if "EMP_ID_PREFIXED" in self.at and self.config.use_granular_tokens:
+            cases += (
+                f"WHEN c.o = {self.at['EMP_ID_PREFIXED']} THEN "
+                "concat('EMP_ID_', upper(substring_index(c.v, '.', 1))) "
+            )
+        return f"CASE {cases}ELSE {self._static(kinds)} END"
 
     # -- rules ----------------------------------------------------------------
 
@@ -269,7 +275,7 @@ class Plan:
         )
         each = let("x", f"named_struct('p', {parts}, 'w', {window})", f"IF(size(x.p) < 2, {S.NONE}, {found})")
         names = f"flatten(transform({S.find('s.t', email)}, c -> {each}))"
-        return f"IF(s.f.at, concat(s.m, {names}), s.m)"
+        return f"IF(contains(s.t, '@'), concat(s.m, {names}), s.m)"
 
     def dictionary_sql(self) -> str | None:
         """Capitalised phrases that hold a known name."""
@@ -319,10 +325,10 @@ class Plan:
         """Every finding that passes its rules, before overlaps are resolved, in ``s.m``."""
         stages = [
             self._put("l", "lower(s.t)", "x", "t"),
-            self._put("f", S.flags("s.t", "s.l"), "x", "t", "l"),
+            self._put("f", S.flags("s.t", "s.l", self.rows), "x", "t", "l"),
             self._put("h", S.hits(self.rows, "s.t", "s.l", "s.f"), "x", "t", "f"),
-            self._put("m", S.spans("s.h"), "x", "t", "f"),
-            self._put("m", f"filter(s.m, c -> {self.rule_sql()})", "x", "t", "f"),
+            self._put("m", S.spans("s.h"), "x", "t"),
+            self._put("m", f"filter(s.m, c -> {self.rule_sql()})", "x", "t"),
         ]
         for build in (
             self.emails_sql,
@@ -335,7 +341,7 @@ class Plan:
         ):
             value = build()
             if value:
-                stages.append(self._put("m", value, "x", "t", "f"))
+                stages.append(self._put("m", value, "x", "t"))
         return stages
 
     def keep_stages(self) -> list[str]:
@@ -391,7 +397,7 @@ class Plan:
         if not cfg.enable_context_rules or (cfg.only and "SPN9" not in cfg.only):
             return "FALSE"
         marker = regex(catalog.SIGNATURE_START, icase=True)
-        return f"{any_of('lower(s.r)', catalog.SIGNATURE_WORDS)} AND s.r RLIKE {marker}"
+        return f"s.r RLIKE {marker}"
 
     def finish_sql(self) -> str:
         marker = regex(catalog.SIGNATURE_START, icase=True)

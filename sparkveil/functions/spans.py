@@ -12,9 +12,10 @@ then longest, then by catalogue order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from sparkveil.functions.sql import EDGE, START, any_of, let, lit, regex
+from sparkveil.functions.sql import EDGE, START, array, let, lit, regex
 from sparkveil.plans.catalog import FIRST, LEAD, Detector, Row
 
 SPAN = "struct<s:int,n:int,o:int,e:int,lead:string,v:string>"
@@ -48,6 +49,16 @@ def split_group(pattern: str) -> tuple[str, str, str]:
     return "", pattern, ""
 
 
+_WORD_START = re.compile(r"\\b(?:\(\?:)?(?:[A-Za-z]|\\d|\[[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\](?![?*]))")
+
+
+def _head(detector: Detector) -> str:
+    """What to test before the pattern: a word edge before a word character is cheap for ASCII."""
+    if detector.head or not _WORD_START.match(detector.pattern):
+        return detector.head
+    return "(?<![A-Za-z0-9_])"
+
+
 def marked(text: str, detector: Detector) -> str:
     """The pieces of ``text``: what precedes the first match, then one piece per match."""
     before, value, after = split_group(detector.pattern)
@@ -55,23 +66,86 @@ def marked(text: str, detector: Detector) -> str:
         pattern, kept = f"({before})({value})({after})", f"{START}$1{EDGE}$2{EDGE}$3"
     else:
         pattern, kept = value, f"{START}{EDGE}$0{EDGE}"
-    return f"split(regexp_replace({text}, {regex(pattern, detector.icase)}, '{kept}'), '{START}')"
+    literal = regex(_head(detector) + pattern, detector.icase)
+    return f"split(regexp_replace({text}, {literal}, '{kept}'), '{START}')"
+
+
+def present(text: str, detector: Detector) -> str:
+    return f"{text} RLIKE {regex(_head(detector) + detector.pattern, detector.icase)}"
+
+
+def keywords(rows: Sequence[Row]) -> list[str]:
+    """The distinct gate words of detectors that need no other flag."""
+    return sorted({w for r in rows if not r.detector.needs for w in r.detector.words})
+
+
+def whole_words(rows: Sequence[Row]) -> list[str]:
+    return sorted({w for r in rows for w in r.detector.tokens})
 
 
-def _hit(row: Row, text: str, lower: str) -> str:
+# Cheap facts about a text ``$t`` and its lower-case form ``$l``.
+FLAGS = {
+    "digit": "$t RLIKE " + regex(r"\d"),
+    "at": "contains($t, '@')",
+    "dot": "$t RLIKE " + lit(r"[A-Za-z0-9-][.][A-Za-z0-9._-]"),
+    "slash": "contains($t, '/')",
+    "backslash": "contains($t, " + lit("\\") + ")",
+    "hex": "$t RLIKE " + lit(r"[0-9A-Fa-f]{20}"),
+    "role": "$l RLIKE "
+    + lit(r"(?=[dsawpbuq])(?:db|svr|srv|app|web|pri|sec|bak|prd|dev|uat|qa)[0-9]*+(?![a-z0-9_])"),
+}
+
+
+def _branch(words: Sequence[str]) -> str:
+    """The words as one pattern that tests each letter once."""
+    if "" in words:
+        rest = [w for w in words if w]
+        return f"(?:{_branch(rest)})?" if rest else ""
+    first = sorted({w[0] for w in words})
+    arms = [re.escape(c) + _branch([w[1:] for w in words if w[0] == c]) for c in first]
+    return arms[0] if len(arms) == 1 else f"(?:{'|'.join(arms)})"
+
+
+def flags(text: str, lower: str, rows: Sequence[Row]) -> str:
+    """The flags and gate words the enabled detectors ask for, each computed once.
+
+    Whole-word gates cost one scan that fails at once inside words, however many there are.
+    """
+    needed = {r.detector.needs for r in rows}
+    tokens = whole_words(rows)
+    found = "CAST(array() AS array<string>)"
+    if tokens:
+        found = f"regexp_extract_all({lower}, {lit(f'(?<![a-z0-9_]){_branch(tokens)}(?![a-z0-9_])')}, 0)"
+    fields = [f"'words', {found}"]
+    fields += [
+        f"'{n}', {sql.replace('$t', text).replace('$l', lower)}" for n, sql in FLAGS.items() if n in needed
+    ]
+    fields += [f"'k{i}', contains({lower}, {lit(w)})" for i, w in enumerate(keywords(rows))]
+    return f"named_struct({', '.join(fields)})"
+
+
+def _hit(row: Row, text: str, lower: str, flags: str, known: dict[str, str]) -> str:
     d = row.detector
     hit = f"named_struct('o', {row.ordinal}, 'w', {d.span}, 'p', {marked(text, d)})"
-    return f"IF({any_of(lower, d.words)}, {hit}, NULL)" if d.words else hit
+    # most texts match few patterns: look first, and rewrite the text only where there is a match
+    test = [present(text, d)]
+    if d.words:
+        gates = [known.get(w) or f"contains({lower}, {lit(w)})" for w in d.words]
+        test.insert(0, f"({' OR '.join(gates)})")
+    if d.tokens:
+        test.insert(0, f"arrays_overlap({flags}.words, {array(d.tokens)})")
+    return f"IF({' AND '.join(test)}, {hit}, NULL)"
 
 
 def hits(rows: Sequence[Row], text: str, lower: str, flags: str) -> str:
     """Pieces of every detector whose cheap conditions hold, without the empty ones."""
+    known = {w: f"{flags}.k{i}" for i, w in enumerate(keywords(rows))}
     groups = []
-    for need in ("", "digit", "at", "dot"):
+    for need in ("", *FLAGS):
         chosen = [r for r in rows if r.detector.needs == need and r.detector.pattern]
         if not chosen:
             continue
-        items = "array(" + ", ".join(_hit(r, text, lower) for r in chosen) + ")"
+        items = "array(" + ", ".join(_hit(r, text, lower, flags, {} if need else known) for r in chosen) + ")"
         if need:
             items = f"IF({flags}.{need}, {items}, CAST(array() AS array<{HIT}>))"
         groups.append(items)
@@ -81,13 +155,6 @@ def hits(rows: Sequence[Row], text: str, lower: str, flags: str) -> str:
     return f"filter({joined}, h -> h IS NOT NULL AND size(h.p) > 1)"
 
 
-def flags(text: str, lower: str) -> str:
-    return (
-        f"named_struct('digit', {text} RLIKE {regex(r'\d')}, 'at', contains({text}, '@'), "
-        f"'dot', {text} RLIKE {lit(r'[A-Za-z0-9-][.][A-Za-z0-9._-]')})"
-    )
-
-
 def spans(hit_array: str) -> str:
     """Hits to spans: offsets are running sums over the pieces."""
     start = (

@@ -28,10 +28,13 @@ class Detector:
     span: int = VALUE
     icase: bool = True
     needs: str = ""
-    """Cheap flag a text must carry: ``digit``, ``at``, ``dot`` or none."""
+    """Cheap flag a text must carry, see ``functions.spans.FLAGS``; empty for none."""
     words: tuple[str, ...] = ()
     """A text must contain one of these (lower-case) for the pattern to be tried."""
-    ident: str = ""
+    tokens: tuple[str, ...] = ()
+    """A text must contain one of these as a whole word (lower-case)."""
+    head: str = ""
+    """A condition every match meets, put in front of the pattern only to fail fast."""
 
 
 @dataclass(frozen=True)
@@ -55,15 +58,15 @@ def _d(name: str, pattern: str, kind: str, sub: str | None = None, *words: str,
 FAMILIES: tuple[Family, ...] = (
     Family("DET1", 0, "redact_credentials", "regex_critical", 1.0, (
         _d("PASSWORD", r'(?:password|pwd|pass)\s*(?:(?:is\s*[:\s])|[:\-=])\s*(\S+)', "CREDENTIAL", None, "pass", "pwd", span=LEAD),
-        _d("VPN_CREDS", r'(?:vpn|remote)[\s._-]*(?:password|pwd|pass|user|username)[\s:_-]*\S+', "CREDENTIAL", "VPN", "vpn", "remote"),
-        _d("API_KEY", r'(?:api[_\s-]?key|access[_\s-]?token|bearer)[\s:_=-]*[A-Za-z0-9_\-]{20,}', "API_KEY", None, "api", "access", "bearer"),
-        _d("SSH_KEY", r'-----BEGIN (?:RSA |DSA |EC |OPENSSH )?PRIVATE KEY-----', "SSH_KEY", None, "private key", icase=False),
+        _d("VPN_CREDS", r'(?:vpn|remote)[\s._-]*(?:password|pwd|pass|user|username)[\s:_-]*\S+', "CREDENTIAL", "VPN", "pass", "pwd", "user"),
+        _d("API_KEY", r'(?:api[_\s-]?key|access[_\s-]?token|bearer)[\s:_=-]*[A-Za-z0-9_\-]{20,}', "API_KEY", None, "key", "token", "bearer"),
+        _d("SSH_KEY", r'-----BEGIN (?:RSA |DSA |EC |OPENSSH )?PRIVATE KEY-----', "SSH_KEY", None, "key", icase=False),
         _d("DOMAIN_ID", r'\b(?:domain[\s._-]*id|user[\s._-]*id)[\s:._-]*\d{6,7}\b', "DOMAIN_ID", None, "domain", "user", needs="digit"),
     )),
     Family("DET2", 0, "redact_encryption_keys", "regex_critical", 1.0, (
         _d("BITLOCKER_KEY", r'\b\d{6}-\d{6}-\d{6}-\d{6}-\d{6}-\d{6}-\d{6}-\d{6}\b', "RECOVERY_KEY", None, "-", icase=False, needs="digit"),
-        _d("RECOVERY_KEY", r'(?:recovery|backup|restore)[\s_-]*key[\s:_-]*([A-Za-z0-9-]{10,})\b', "RECOVERY_KEY", None, "recovery", "backup", "restore"),
-        _d("CERT_THUMBPRINT", r'(?:thumbprint|fingerprint|sha1|sha256)[\s:_-]*([A-Fa-f0-9]{40,64})\b', "CERT_HASH", None, "thumbprint", "fingerprint", "sha1", "sha256"),
+        _d("RECOVERY_KEY", r'(?:recovery|backup|restore)[\s_-]*key[\s:_-]*([A-Za-z0-9-]{10,})\b', "RECOVERY_KEY", None, "key"),
+        _d("CERT_THUMBPRINT", r'(?:thumbprint|fingerprint|sha1|sha256)[\s:_-]*([A-Fa-f0-9]{40,64})\b', "CERT_HASH", None, "print", "sha1", "sha256", needs="hex"),
         _d("CERT_SERIAL", r'(?:serial\s*(?:no|number)?)[\s:_-]*([A-Fa-f0-9]{8,40})\b', "CERT_SERIAL", None, "serial"),
     )),
     Family("DET3", 0, "redact_license_keys", "regex_critical", 0.95, (
@@ -72,18 +75,18 @@ FAMILIES: tuple[Family, ...] = (
         _d("CMDB_CI", r'\b(?:ci|config(?:uration)?\s*item|cmdb)[\s#:_-]*(?:id)?[\s#:_-]*([A-Za-z]{2,4}\d{6,10})\b', "CI_ID", None, "ci", "config", "cmdb", needs="digit"),
     )),
     Family("DET4", 0, "redact_session_tokens", "regex_critical", 1.0, (
-        _d("SESSION_ID", r'(?:jsessionid|phpsessid|asp\.net_sessionid|session[_-]?id|sid)[\s:=]*([A-Za-z0-9_-]{16,64})\b', "SESSION_ID", None, "session", "sessid", "sid"),
+        _d("SESSION_ID", r'(?:jsessionid|phpsessid|asp\.net_sessionid|session[_-]?id|sid)[\s:=]*([A-Za-z0-9_-]{16,64})\b', "SESSION_ID", None, "sess", "sid"),
         _d("JWT_TOKEN", r'\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b', "JWT_TOKEN", None, "eyj", icase=False, needs="dot"),
-        _d("OAUTH_TOKEN", r'(?:bearer|oauth|access[_-]?token|refresh[_-]?token|auth[_-]?token)[\s:=]+([A-Za-z0-9_.-]{20,})\b', "AUTH_TOKEN", None, "bearer", "oauth", "token"),
-        _d("COOKIE_SESSION", r'(?:cookie|set-cookie)[\s:]*[^;]*(?:session|auth|token|user)[^;]*=[^;\s]+', "SESSION_COOKIE", None, "cookie"),
+        _d("OAUTH_TOKEN", r'(?:bearer|oauth|access[_-]?token|refresh[_-]?token|auth[_-]?token)[\s:=]+([A-Za-z0-9_.-]{20,})\b', "AUTH_TOKEN", None, "token", "bearer", "auth"),
+        _d("COOKIE_SESSION", r'(?:cookie|set-cookie)[\s:]*[^;]*(?:session|auth|token|user)[^;]*=[^;\s]+', "SESSION_COOKIE", None, "="),
     )),
     Family("DET5", 1, "redact_database_strings", "regex_compound", 1.0, (
-        _d("DB_CONNECTION_STRING", r'''(?:connection\s*string|connstr|jdbc|odbc)[\s:=]*["\']?[^"\']*(?:password|pwd|pass)\s*=\s*[^;"\'\s]+''', "DB_CONNECTION", None, "connection", "connstr", "jdbc", "odbc"),
-        _d("MONGODB_URI", r'mongodb(?:\+srv)?://[^:]+:[^@]+@[^\s]+', "DB_URI", None, "mongodb"),
-        _d("DB_CREDENTIALS", r'''(?:(?:user(?:name)?|uid)\s*=\s*[^;"\'\s]+\s*;.*?(?:password|pwd|pass)\s*=\s*[^;"\'\s]+)''', "DB_CREDS", None, "pass", "pwd"),
+        _d("DB_CONNECTION_STRING", r'''(?:connection\s*string|connstr|jdbc|odbc)[\s:=]*["\']?[^"\']*(?:password|pwd|pass)\s*=\s*[^;"\'\s]+''', "DB_CONNECTION", None, "="),
+        _d("MONGODB_URI", r'mongodb(?:\+srv)?://[^:]+:[^@]+@[^\s]+', "DB_URI", None, "mongodb", needs="slash"),
+        _d("DB_CREDENTIALS", r'''(?:(?:user(?:name)?|uid)\s*=\s*[^;"\'\s]+\s*;.*?(?:password|pwd|pass)\s*=\s*[^;"\'\s]+)''', "DB_CREDS", None, "="),
     )),
     Family("DET6", 2, "redact_urls", "regex", 1.0, (
-        _d("URL", r'(?:https?|ftp)://[^\s<>"{}|\\^`\[\]]+', "URL", None, "://"),
+        _d("URL", r'(?:https?|ftp)://[^\s<>"{}|\\^`\[\]]+', "URL", None, "://", needs="slash"),
     )),
     Family("DET7", 3, "redact_emails", "regex", 1.0, (
         _d("EMAIL", r'\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,61}[A-Za-z0-9])?\.[A-Za-z]{2,20}\b', "EMAIL", needs="at"),
@@ -162,11 +165,11 @@ FAMILIES: tuple[Family, ...] = (
     Family("DET12", 7, "redact_asset_ids", "regex", 1.0, (
         _d("ASSET_ID", r'\b\d{2}(?:HWCL|HW|SW|VD|VS|AD|NL|WH|AC)\d{4,}\b', "ASSET_ID", needs="digit"),
         _d("ASSET_ID_EXTENDED", r'\b(?:[0O]\d{1}(?:HW|SW|VD|VS|AD|NL|WH|AC)\d{6,8}|\d{2}(?:HW|SW|VD|VS)[A-Z]{2}\d{5,7})\b', "ASSET_ID", needs="digit"),
-        _d("SERIAL_NUMBER", r'\b(?:S/?N|Serial(?:\s*(?:No|Number|#))?)\s*[:\s]\s*([A-Z0-9]{8,20})\b', "SERIAL", None, "s/n", "sn", "serial"),
+        _d("SERIAL_NUMBER", r'\b(?:S/?N|Serial(?:\s*(?:No|Number|#))?)\s*[:\s]\s*([A-Z0-9]{8,20})\b', "SERIAL", tokens=("sn", "n", "serial", "serialno", "serialnumber",)),
     )),
     Family("DET13", 7, "redact_asset_ids", "regex", 0.95, (
-        _d("RFID_EPC_TAG", r'\b[0-9A-F]{24}\b', "RFID_TAG"),
-        _d("RFID_LABELED", r'(?:barcode|rfid|epc|tag|chip)[\s._-]*(?:id|tag|no)?[\s.:_()=-]*([0-9A-Fa-f]{20,32})', "RFID_TAG", None, "barcode", "rfid", "epc", "tag", "chip"),
+        _d("RFID_EPC_TAG", r'\b[0-9A-F]{24}\b', "RFID_TAG", needs="hex"),
+        _d("RFID_LABELED", r'(?:barcode|rfid|epc|tag|chip)[\s._-]*(?:id|tag|no)?[\s.:_()=-]*([0-9A-Fa-f]{20,32})', "RFID_TAG", None, "barcode", "rfid", "epc", "tag", "chip", needs="hex"),
     )),
     Family("DET14", 8, "redact_ip_addresses", "regex", 1.0, (
         _d("MAC", r'\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b', "MAC", None, ":", "-", icase=False),
@@ -175,9 +178,9 @@ FAMILIES: tuple[Family, ...] = (
     )),
     Family("DET15", 9, "redact_hostnames", "regex", 1.0, (
         _d("HOSTNAME", r'\b[A-Z]{2}\d{2}[A-Z]{3}\d{8,}\b', "HOSTNAME", "SVR", needs="digit"),
-        _d("HOSTNAME_GENERIC", r'\b[A-Z]{2,4}[A-Z0-9]{2,}(?:DB|SVR|SRV|APP|WEB|PRI|SEC|BAK|PRD|DEV|UAT|QA)\d*\b', "HOSTNAME", "GENERIC", "db", "svr", "srv", "app", "web", "pri", "sec", "bak", "prd", "dev", "uat", "qa"),
+        _d("HOSTNAME_GENERIC", r'\b[A-Z]{2,4}[A-Z0-9]{2,}(?:DB|SVR|SRV|APP|WEB|PRI|SEC|BAK|PRD|DEV|UAT|QA)\d*\b', "HOSTNAME", "GENERIC", needs="role"),
         _d("HOSTNAME_DB", r'\b[A-Z]{2,6}DB\d{1,4}\b', "HOSTNAME", "DB", "db", needs="digit"),
-        _d("HOSTNAME_MEDIA_SERVER", r'(?:media\s*server|backup\s*server|client)\s+([A-Z]{2,}[A-Z0-9]+(?:DB|SRV|PRI|SEC)?\d*)\b', "HOSTNAME", "MEDIA", "media", "backup", "client"),
+        _d("HOSTNAME_MEDIA_SERVER", r'(?:media\s*server|backup\s*server|client)\s+([A-Z]{2,}[A-Z0-9]+(?:DB|SRV|PRI|SEC)?\d*)\b', "HOSTNAME", "MEDIA", "server", "client"),
     )),
     Family("DET16", 9, "redact_hostnames", "regex", 1.0, (
         _d("FQDN_INTERNAL", r'\b([a-zA-Z][a-zA-Z0-9-]{0,62}(?:\.[a-zA-Z][a-zA-Z0-9-]{0,62})+\.(?:local|internal|corp|lan|intra|private|home))\b', "HOSTNAME", "INTERNAL", ".local", ".internal", ".corp", ".lan", ".intra", ".private", ".home", needs="dot"),
@@ -210,8 +213,8 @@ FAMILIES: tuple[Family, ...] = (
         _d("REMOTE_ID_LABELED", r'(?:remote[\s_-]*(?:id|access)|rdp[\s_-]*(?:id)?|vnc[\s_-]*(?:id)?)[\s:_-]*([A-Za-z0-9._-]{5,30})\b', "REMOTE_ID", None, "remote", "rdp", "vnc"),
     )),
     Family("DET20", 10, "redact_cloud_ids", "cloud", 0.95, (
-        _d("AZURE_SUBSCRIPTION", r'(?:subscription|sub)[\s:_-]*(?:id)?[\s:_-]*([a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12})\b', "AZURE_SUB", None, "sub"),
-        _d("AZURE_RESOURCE_ID", r'/subscriptions/[a-f0-9-]{36}/resourceGroups/[^/]+/providers/[^\s]+', "AZURE_RESOURCE", None, "/subscriptions/"),
+        _d("AZURE_SUBSCRIPTION", r'(?:subscription|sub)[\s:_-]*(?:id)?[\s:_-]*([a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12})\b', "AZURE_SUB", None, "-"),
+        _d("AZURE_RESOURCE_ID", r'/subscriptions/[a-f0-9-]{36}/resourceGroups/[^/]+/providers/[^\s]+', "AZURE_RESOURCE", None, "/subscriptions/", needs="slash"),
         _d("AWS_ACCOUNT_ID", r'(?:aws|amazon)[\s_-]*(?:account)?[\s_-]*(?:id)?[\s:_-]*(\d{12})\b', "AWS_ACCOUNT", None, "aws", "amazon", needs="digit"),
         _d("AWS_ARN", r'\barn:aws:[a-z0-9-]+:[a-z0-9-]*:\d{12}:[^\s]+\b', "AWS_ARN", None, "arn:aws:", needs="digit"),
         _d("GCP_PROJECT", r'(?:gcp|google\s*cloud)[\s_-]*(?:project)?[\s_-]*(?:id)?[\s:_-]*([a-z][a-z0-9-]{4,28}[a-z0-9])\b', "GCP_PROJECT", None, "gcp", "google"),
@@ -238,8 +241,8 @@ FAMILIES: tuple[Family, ...] = (
         _d("AGE", r'\b(?:age)[\s.:_-]*(?:is\s*)?\d{1,3}\s*(?:years?|yrs?|y/?o)?\b', "AGE", None, "age", needs="digit"),
     )),
     Family("DET25", 12, "redact_active_directory", "active_directory", 0.95, (
-        _d("LDAP_DN", r'\b(?:CN|OU|DC|UID)=[^,\s]+(?:,\s*(?:CN|OU|DC|UID)=[^,\s]+)+', "AD_NAME", None, "cn=", "ou=", "dc=", "uid="),
-        _d("SAM_ACCOUNT", r'\b[A-Za-z][A-Za-z0-9_-]{2,20}\\([A-Za-z][A-Za-z0-9._-]{2,30})\b', "AD_USER", None, "\\", icase=False),
+        _d("LDAP_DN", r'\b(?:CN|OU|DC|UID)=[^,\s]+(?:,\s*(?:CN|OU|DC|UID)=[^,\s]+)+', "AD_NAME", tokens=("cn", "ou", "dc", "uid",)),
+        _d("SAM_ACCOUNT", r'\b[A-Za-z][A-Za-z0-9_-]{2,20}\\([A-Za-z][A-Za-z0-9._-]{2,30})\b', "AD_USER", None, icase=False, needs="backslash"),
         _d("WINDOWS_SID", r'\bS-1-\d{1,2}(?:-\d+){1,14}\b', "SID", None, "s-1-", icase=False, needs="digit"),
         _d("AD_UPN", r'\b[A-Za-z][A-Za-z0-9._-]+@[A-Za-z0-9-]+\.(?:local|internal|corp|ad|domain)\b', "AD_UPN", needs="at"),
         _d("SERVICE_ACCOUNT_PREFIXED", r'\b(?:sa|svc|oth|srv|app)\.[a-zA-Z0-9._-]+\b', "SERVICE_ACCT", None, "sa.", "svc.", "oth.", "srv.", "app.", needs="dot"),
@@ -247,7 +250,7 @@ FAMILIES: tuple[Family, ...] = (
         _d("SERVICE_ACCOUNT_GENERIC", r'\bsa\d{6,10}[a-z]*\b', "SERVICE_ACCT", None, "sa", needs="digit"),
     )),
     Family("DET26", 13, None, "regex", 0.9, (
-        _d("WIN_PATH", r'[A-Z]:\\Users\\([^\\\s]+)', "USERNAME", None, ":\\users\\", span=FIRST),
+        _d("WIN_PATH", r'[A-Z]:\\Users\\([^\\\s]+)', "USERNAME", None, ":\\users\\", span=FIRST, needs="backslash"),
     )),
     Family("DET27", 13, "redact_workplace_info", "workplace", 0.85, (
         _d("LOCATION_WING_ID", r'\b[A-Z]{2,5}\d?/(?:\d/)?(?:ODC\d?|WING[-\w]*)/(?:WSN/)?\d+\b', "LOCATION", None, "/", needs="digit"),
@@ -263,29 +266,32 @@ FAMILIES: tuple[Family, ...] = (
         _d("BADGE_NUMBER", r'\b(?:badge|card|access\s*card|id\s*card|employee\s*card)[\s#:_-]*(?:no|number|id)?[\s#:_-]*(\d{4,10})\b', "BADGE_NUM", None, "badge", "card", needs="digit"),
         _d("PHONE_EXTENSION", r'\b(?:ext(?:ension)?|extn|x)[\s.:_-]*(\d{3,5})\b', "EXT", None, "x", needs="digit"),
         _d("DID_NUMBER", r'\b(?:did|direct\s*(?:dial|line))[\s:_-]*(\+?\d[\d\s-]{7,15})\b', "DID", None, "did", "direct", needs="digit"),
-        _d("INTERNAL_DOMAIN", r'\b(?:India\.tcs\.com|(?:SOAM|NOAM|GLOBE|APAC|EMEA|LATAM|AMEA)(?:\.tcs\.com)?)\b', "DOMAIN", None, "india.tcs.com", "soam", "noam", "globe", "apac", "emea", "latam", "amea"),
+        _d("INTERNAL_DOMAIN", r'\b(?:India\.tcs\.com|(?:SOAM|NOAM|GLOBE|APAC|EMEA|LATAM|AMEA)(?:\.tcs\.com)?)\b', "DOMAIN", tokens=("india", "soam", "noam", "globe", "apac", "emea", "latam", "amea",)),
     )),
     Family("DET28", 13, "redact_chat_handles", "chat", 0.80, (
         _d("CHAT_MENTION", r'@([A-Za-z][A-Za-z0-9._-]{2,30})\b', "CHAT_USER", icase=False, needs="at"),
         _d("CHAT_DM", r'(?:dm|direct\s*message|private\s*(?:chat|message))[\s:_-]*(?:with|to|from)?[\s:_-]*([A-Za-z][A-Za-z0-9._\s-]{2,40})\b', "CHAT_USER", None, "dm", "direct", "private"),
     )),
     Family("DET29", 13, "redact_audit_info", "audit", 0.85, (
-        _d("AUDIT_USER_ACTION", r'\b(?:user|account)\s+([A-Za-z][A-Za-z0-9._-]+)\s+(?:logged\s*in|logged\s*out|signed\s*in|signed\s*out|accessed|modified|deleted|created|updated)\b', "AUDIT_USER", None, "user", "account"),
-        _d("LOGIN_EVENT", r'(?:login|logon|sign[\s-]*in|authentication)\s+(?:for|by|from|as)\s+(?:user\s+)?([A-Za-z][A-Za-z0-9._@\\-]+)\b', "LOGIN_USER", None, "login", "logon", "sign", "authentication"),
+        _d("AUDIT_USER_ACTION", r'\b(?:user|account)\s+([A-Za-z][A-Za-z0-9._-]+)\s+(?:logged\s*in|logged\s*out|signed\s*in|signed\s*out|accessed|modified|deleted|created|updated)\b', "AUDIT_USER", tokens=("user", "account",)),
+        _d("LOGIN_EVENT", r'(?:login|logon|sign[\s-]*in|authentication)\s+(?:for|by|from|as)\s+(?:user\s+)?([A-Za-z][A-Za-z0-9._@\\-]+)\b', "LOGIN_USER", None, "login", "logon", "sign", "auth"),
     )),
     Family("NAM2", 15, "redact_names", "pattern", 0.8, (
-        _d("NAME_WITH_TITLE", r'\b(?:[Mm][Rr]|[Mm][Ss]|[Mm][Rr][Ss]|[Dd][Rr]|[Ss][Hh][Rr][Ii]|[Ss][Mm][Tt]|[Ss][Rr][Ii])\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b', "NAME", None, "mr", "ms", "dr", "shri", "smt", "sri", span=LEAD, icase=False),
-        _d("NAME_LABELED", r'(?<!domain\s)(?<!host\s)(?<!server\s)(?<!machine\s)(?<!file\s)(?<!folder\s)(?<!computer\s)(?<!device\s)\b(?:name|contact|user|employee|emp)[\s]*[:\-]\s*([A-Za-z]+(?:\s+[A-Za-z]+){0,3})', "NAME", None, "name", "contact", "user", "emp", span=FIRST),
-        _d("MY_NAME_IS", r'\bmy name is\s+([A-Za-z]+(?:\s+[A-Za-z]+){0,2})', "NAME", None, "my name is", span=FIRST),
+        _d("NAME_WITH_TITLE", r'\b(?:[Mm][Rr]|[Mm][Ss]|[Mm][Rr][Ss]|[Dd][Rr]|[Ss][Hh][Rr][Ii]|[Ss][Mm][Tt]|[Ss][Rr][Ii])\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b', "NAME", span=LEAD, icase=False,
+           head=r"(?=[MmDdSs][RrSsHhMm])(?<![A-Za-z0-9_])", tokens=("mr", "ms", "mrs", "dr", "shri", "smt", "sri",)),
+        _d("NAME_LABELED", r'(?<!domain\s)(?<!host\s)(?<!server\s)(?<!machine\s)(?<!file\s)(?<!folder\s)(?<!computer\s)(?<!device\s)\b(?:name|contact|user|employee|emp)[\s]*[:\-]\s*([A-Za-z]+(?:\s+[A-Za-z]+){0,3})', "NAME", span=FIRST, tokens=("name", "contact", "user", "employee", "emp",)),
+        _d("MY_NAME_IS", r'\bmy name is\s+([A-Za-z]+(?:\s+[A-Za-z]+){0,2})', "NAME", span=FIRST, tokens=("my",)),
         _d("NAME_AFTER_EMP_ID", r'\d{6,7}\(([A-Za-z][A-Za-z\s]{2,25})\)', "NAME", None, "(", needs="digit"),
     )),
     Family("NAM3", 16, "redact_names", "context", 0.95, (
-        _d("NAME_CONTEXT_FROM_BY", r'\b(?:from|by|cc|bcc|sent (?:by|to)|created by|assigned to|resolved by|(?:updated|approved|rejected|replied|reported|submitted) by|forwarded (?:by|to)|escalated to|transferred to|delegated to|delivered to|addressed to|directed to|(?:email|emailed|message) to)[\s:]+([A-Za-z]+(?:\s+[A-Za-z]+){0,2})', "NAME", None, "from", "by", "cc", "sent to", "ed to", "email to", "message to"),
-        _d("NAME_GREETING", r'\b(?:hi|hello|dear|hey|good\s*(?:morning|afternoon|evening))[\s,]+([A-Za-z]+)(?:[\s,]|$)', "NAME", None, "hi", "hello", "dear", "hey", "good"),
-        _d("NAME_COMMUNICATION", r'\b(?:spoke\s+(?:to|with)|contacted|emailed|messaged|reached\s+out\s+to|got\s+in\s+touch\s+with|heard\s+from|response\s+from)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)', "NAME", None, "spoke", "contacted", "emailed", "messaged", "reached", "touch", "heard", "response"),
-        _d("NAME_TICKET_CALLER", r'\b(?:caller|affected\s*user|end\s*user|requestor|requester|raised\s*by|logged\s*by|opened\s*by|closed\s*by|ticket\s*owner|incident\s*owner|case\s*owner)[\s:]+([A-Za-z]+(?:\s+[A-Za-z]+){0,2})', "NAME", None, "caller", "user", "requestor", "requester", "raised", "logged", "opened", "closed", "owner"),
-        _d("NAME_USER_ACTION", r'\buser\s+([A-Za-z]+(?:\s+[A-Za-z]+)?)\s+(?:reported|raised|logged|called|mentioned|confirmed|requested)', "NAME", None, "user"),
-        _d("NAME_HAS_ACTION", r'\b([A-Za-z]+(?:\s+[A-Za-z]+)?)\s+has\s+(?:reported|raised|logged|called|requested|confirmed|approved)', "NAME", None, "reported", "raised", "logged", "called", "requested", "confirmed", "approved"),
+        _d("NAME_CONTEXT_FROM_BY", r'\b(?:from|by|cc|bcc|sent (?:by|to)|created by|assigned to|resolved by|(?:updated|approved|rejected|replied|reported|submitted) by|forwarded (?:by|to)|escalated to|transferred to|delegated to|delivered to|addressed to|directed to|(?:email|emailed|message) to)[\s:]+([A-Za-z]+(?:\s+[A-Za-z]+){0,2})', "NAME",
+           head=r"(?=(?-i:[FfBbCcSsAaRrUuEeTtDdMm][rRyYcCeEsSpPuUoOdDmMiI]))(?<![A-Za-z0-9_])", tokens=("from", "by", "cc", "bcc", "to",)),
+        _d("NAME_GREETING", r'\b(?:hi|hello|dear|hey|good\s*(?:morning|afternoon|evening))[\s,]+([A-Za-z]+)(?:[\s,]|$)', "NAME",
+           head=r"(?=(?-i:[HhDdGg][IiEeOo]))(?<![A-Za-z0-9_])", tokens=("hi", "hello", "dear", "hey", "good", "goodmorning", "goodafternoon", "goodevening",)),
+        _d("NAME_COMMUNICATION", r'\b(?:spoke\s+(?:to|with)|contacted|emailed|messaged|reached\s+out\s+to|got\s+in\s+touch\s+with|heard\s+from|response\s+from)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)', "NAME", tokens=("spoke", "contacted", "emailed", "messaged", "reached", "got", "heard", "response",)),
+        _d("NAME_TICKET_CALLER", r'\b(?:caller|affected\s*user|end\s*user|requestor|requester|raised\s*by|logged\s*by|opened\s*by|closed\s*by|ticket\s*owner|incident\s*owner|case\s*owner)[\s:]+([A-Za-z]+(?:\s+[A-Za-z]+){0,2})', "NAME", tokens=("caller", "affected", "affecteduser", "end", "enduser", "requestor", "requester", "raised", "raisedby", "logged", "loggedby", "opened", "openedby", "closed", "closedby", "ticket", "ticketowner", "incident", "incidentowner", "case", "caseowner",)),
+        _d("NAME_USER_ACTION", r'\buser\s+([A-Za-z]+(?:\s+[A-Za-z]+)?)\s+(?:reported|raised|logged|called|mentioned|confirmed|requested)', "NAME", tokens=("user",)),
+        _d("NAME_HAS_ACTION", r'\b([A-Za-z]+(?:\s+[A-Za-z]+)?)\s+has\s+(?:reported|raised|logged|called|requested|confirmed|approved)', "NAME", tokens=("has",)),
         _d("NAME_WITH_PARENS", r'\b([A-Za-z]+(?:\s+[A-Za-z]+){1,2})\s*\([^)]+\)', "NAME", None, "("),
         _d("NAME_SIGNATURE_LINE", r'(?m)(?:^|\n)\s*[-–—]{1,2}\s*([A-Za-z]+(?:\s+[A-Za-z]+)?)', "NAME", None, "-", "–", "—"),
         _d("NAME_AFTER_SIGNATURE", r'(?:thanks?|thank\s*you|regards?|best(?:\s*regards?)?|warm(?:\s*regards?)?|sincerely|cheers)[,\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*(?:[,\n]|$|[\[\(])', "NAME", None, "thank", "regard", "best", "warm", "sincerely", "cheers"),
@@ -296,15 +302,17 @@ FAMILIES: tuple[Family, ...] = (
     Family("NAM5", 18, "redact_names", "dictionary", 0.75, (
         _d("CAPITALISED_NAME", r'\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\b', "NAME", icase=False),
         _d("UPPER_NAME", r'\b([A-Z]{2,}(?:\s+[A-Z]{2,}){1,2})\b', "NAME", icase=False),
-        _d("SINGLE_NAME", r'\b(?:dear|hello|hi|hey|mr|mrs|ms|dr|prof|contact|call|email|notify|attn|cc)[\s,.]+([A-Z][a-z]+)\b', "NAME", None, "dear", "hello", "hi", "hey", "mr", "ms", "dr", "prof", "contact", "call", "email", "notify", "attn", "cc"),
+        _d("SINGLE_NAME", r'\b(?:dear|hello|hi|hey|mr|mrs|ms|dr|prof|contact|call|email|notify|attn|cc)[\s,.]+([A-Z][a-z]+)\b', "NAME",
+           head=r"(?=(?-i:[DdHhMmPpCcEeNnAa][EeIiRrSsOoAaMmTtCc]))(?<![A-Za-z0-9_])", tokens=("dear", "hello", "hi", "hey", "mr", "mrs", "ms", "dr", "prof", "contact", "call", "email", "notify", "attn", "cc",)),
     )),
 )
 
+# Fixed value: closing formulas. The look-ahead only makes other words fail fast.
 SIGNATURE_START = (
+    r"(?=(?-i:[TtRrBbWwSsCc][HhEeAaIi]))(?<![A-Za-z0-9_])"
     r"\b(?:thanks?(?:\s{0,5}(?:and|&)\s{0,5}regards?)?|thank\s{0,5}you|regards?|best(?:\s{0,5}regards?)?"
     r"|warm(?:\s{0,5}regards?)?|sincerely|cheers)\b"
 )
-SIGNATURE_WORDS = ("thank", "regard", "best", "warm", "sincerely", "cheers")
 
 # What the second pass looks for in text that already holds tokens.
 CLEANUP: tuple[Detector, ...] = (
