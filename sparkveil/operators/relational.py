@@ -107,8 +107,8 @@ def merge_candidates(
     grouped = extra.groupBy(key).agg(
         F.collect_list(
             F.struct(
-                F.col("start").cast("int"), F.col("end").cast("int"), F.lit(place).alias("ord"), "original",
-                "replacement", "pi_type", F.col("confidence").cast("double"), "method",
+                F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(place).alias("ord"), "original",
+                "replacement", "pi_type", F.col("confidence").cast("double").alias("confidence"), "method",
             )
         ).alias("__e")
     )

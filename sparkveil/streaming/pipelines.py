@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkveil.functions.mask import mask_log
@@ -67,6 +68,9 @@ def windowed_metrics(
     State is one row per window and label; the watermark bounds how many windows stay open.
     Buckets are conditional counts, so rows are not multiplied.
     """
+    naive = isinstance(stream.schema[ts].dataType, T.TimestampNTZType)
+    if naive:  # watermarks need an instant; the session time zone is used both ways
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     buckets = [F.count_if(F.col(value) <= F.lit(b)).alias(f"le_{i}") for i, b in enumerate(LATENCY_BOUNDS)]
     marked = stream.withWatermark(ts, late) if stream.isStreaming else stream
@@ -76,4 +80,6 @@ def windowed_metrics(
         F.count_if(failed).alias("errors"),
         *buckets,
     )
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c != "w"])
+    kind = "timestamp_ntz" if naive else "timestamp"
+    edges = [F.col(f"w.{side}").cast(kind).alias(f"window_{side}") for side in ("start", "end")]
+    return out.select(*edges, *[c for c in out.columns if c != "w"])
