@@ -49,7 +49,8 @@ DOTTED_QUAD = (
     r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?::\d{2,5})?\b"
 )
 
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+# Fixed value: control characters except tab, newline and carriage return, one by one.
+CONTROL = "[" + "".join(rf"\x{c:02x}" for c in (*range(9), 11, 12, *range(14, 32), 127)) + "]"
 
 
 def strip_sql(x: str) -> str:
@@ -137,7 +138,7 @@ def digit_groups_sql(x: str) -> str:
     )
     split = f"array_join(transform(split(regexp_replace({x}, {quad}, '{START}$0{EDGE}'), '{START}'), p -> {piece}), '')"
     return (
-        f"IF({x} RLIKE {regex(r'\d[\s.]+\d')}, "
+        f"IF({x} RLIKE {regex(r'\d')} AND {x} RLIKE {regex(r'\d[\s.]+\d')}, "
         f"IF({x} RLIKE {quad}, {split}, {grouped(x)}), {x})"
     )
 
@@ -168,12 +169,18 @@ def clean_steps(config: RedactionConfig | None = None) -> list[str]:
     uni = let("ch", uni, homoglyph_sql("ch"))
     if c.clean_strip_zero_width:
         uni = let("cz", uni, invisible_sql("cz"))
-    steps = [f"IF({affected_sql('{0}')}, {uni}, {{0}})"]
+    # Text of ASCII and Latin letters alone needs none of the Unicode steps: their sources lie
+    # outside it, except one mojibake pair that ends in a blank.
     if c.clean_fix_encoding:
-        steps.append(mojibake_sql("{0}"))
+        uni = let("cm", uni, mojibake_sql("cm"))
     if c.clean_normalize_unicode:
-        probe = any_of("{0}", [old for old, _ in PUNCTUATION])
-        steps.append(f"IF({probe}, {punctuation_sql('{0}')}, {{0}})")
+        uni = let("cp", uni, punctuation_sql("cp"))
+    other = "{0}"
+    if c.clean_fix_encoding:
+        other = "IF(contains({0}, 'Ã '), replace({0}, 'Ã ', 'à'), {0})"
+    if c.clean_normalize_unicode:
+        other = let("cr", other, f"IF(contains(cr, '\\r'), {replaces_sql('cr', PUNCTUATION[-2:])}, cr)")
+    steps = [f"IF({affected_sql('{0}')}, {uni}, {other})"]
     if c.clean_decode_html:
         steps.append(entities_sql("{0}"))
     if c.clean_strip_control_chars:
@@ -197,7 +204,7 @@ def clean_sql(x: str, config: RedactionConfig | None = None) -> str:
 
 def unmark_sql(x: str) -> str:
     """Take our own marker characters out of the input; the length stays the same."""
-    return f"IF({any_of(x, MARKS)}, translate({x}, '{MARKS}', '\ufffd\ufffd\ufffd'), {x})"
+    return f"IF(octet_length({x}) > length({x}) AND {any_of(x, MARKS)}, translate({x}, '{MARKS}', '\ufffd\ufffd\ufffd'), {x})"
 
 
 def clean(column: Column | str, config: RedactionConfig | None = None) -> Column:

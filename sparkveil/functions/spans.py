@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from sparkveil.functions.sql import EDGE, START, array, let, lit, regex
+from sparkveil.functions.sql import EDGE, START, array, let, lit, plain_regex, regex
 from sparkveil.plans.catalog import FIRST, LEAD, Detector, Row
 
 SPAN = "struct<s:int,n:int,o:int,e:int,lead:string,v:string>"
@@ -87,12 +87,13 @@ def whole_words(rows: Sequence[Row]) -> list[str]:
 FLAGS = {
     "digit": "$t RLIKE " + regex(r"\d"),
     "at": "contains($t, '@')",
-    "dot": "$t RLIKE " + lit(r"[A-Za-z0-9-][.][A-Za-z0-9._-]"),
+    "dot": "$t RLIKE " + plain_regex(r"[A-Za-z0-9-][.][A-Za-z0-9._-]"),
     "slash": "contains($t, '/')",
     "backslash": "contains($t, " + lit("\\") + ")",
-    "hex": "$t RLIKE " + lit(r"[0-9A-Fa-f]{20}"),
+    "hex": "$t RLIKE " + plain_regex(r"[0-9A-Fa-f]{20}"),
+    "capitals": "$t RLIKE " + regex(r"[A-Za-z]\s+[A-Z]"),
     "role": "$l RLIKE "
-    + lit(r"(?=[dsawpbuq])(?:db|svr|srv|app|web|pri|sec|bak|prd|dev|uat|qa)[0-9]*+(?![a-z0-9_])"),
+    + plain_regex(r"(?=[dsawpbuq])(?:db|svr|srv|app|web|pri|sec|bak|prd|dev|uat|qa)[0-9]*+(?![a-z0-9_])"),
 }
 
 
@@ -115,7 +116,7 @@ def flags(text: str, lower: str, rows: Sequence[Row]) -> str:
     tokens = whole_words(rows)
     found = "CAST(array() AS array<string>)"
     if tokens:
-        found = f"regexp_extract_all({lower}, {lit(f'(?<![a-z0-9_]){_branch(tokens)}(?![a-z0-9_])')}, 0)"
+        found = f"regexp_extract_all({lower}, {plain_regex(f'(?<![a-z0-9_]){_branch(tokens)}(?![a-z0-9_])')}, 0)"
     fields = [f"'words', {found}"]
     fields += [
         f"'{n}', {sql.replace('$t', text).replace('$l', lower)}" for n, sql in FLAGS.items() if n in needed

@@ -97,28 +97,24 @@ def redact_json(
 def json_leaves(df: DataFrame, column: str, keep: Sequence[str], depth: int = 4) -> DataFrame:
     """All text leaves of untyped JSON with their paths, without knowing a schema.
 
-    Each level is one pass over what is still nested. JSON nested deeper than ``depth``
-    fails the job rather than losing leaves; raise ``depth`` for such data.
+    One scan: each level explodes what is still nested and lets finished leaves through.
+    JSON nested deeper than ``depth`` fails the job rather than losing leaves; raise
+    ``depth`` for such data.
     """
     level = df.select(*keep, F.lit("$").alias("path"), F.expr(f"try_parse_json({column})").alias("v"))
     kind = F.expr("schema_of_variant(v)")
-    parts = []
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     for _ in range(depth):
-        text = F.expr("variant_get(v, '$', 'string')")
-        parts.append(level.filter(kind == "STRING").select(*keep, "path", text.alias("text")))
-        nested = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        step = F.expr("concat(path, coalesce(concat('.', key), concat('[', pos, ']')))")
-        level = nested.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
-            *keep, step.alias("path"), F.col("value").alias("v")
+        opened = level.withColumn("open", nested)
+        inner = df.sparkSession.tvf.variant_explode_outer(F.expr("IF(open, v, NULL)").outer())
+        level = opened.lateralJoin(inner).select(
+            *keep,
+            F.expr("IF(open, concat(path, coalesce(concat('.', key), concat('[', pos, ']'))), path)").alias("path"),
+            F.expr("IF(open, value, v)").alias("v"),
         )
-    deeper = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
     fail = F.raise_error(F.lit(f"JSON nested deeper than {depth}")).cast("string")
-    parts.append(level.filter(kind == "STRING").select(*keep, "path", F.expr("variant_get(v, '$', 'string')").alias("text")))
-    parts.append(deeper.select(*keep, "path", fail.alias("text")))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    text = F.when(nested, fail).when(kind == "STRING", F.expr("variant_get(v, '$', 'string')"))
+    return level.select(*keep, "path", text.alias("text")).filter("text IS NOT NULL")
 
 
 # -- HTML --------------------------------------------------------------------

@@ -300,8 +300,8 @@ FAMILIES: tuple[Family, ...] = (
         _d("NAME_NEAR_EMAIL", "", "NAME", needs="at"),
     )),
     Family("NAM5", 18, "redact_names", "dictionary", 0.75, (
-        _d("CAPITALISED_NAME", r'\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\b', "NAME", icase=False),
-        _d("UPPER_NAME", r'\b([A-Z]{2,}(?:\s+[A-Z]{2,}){1,2})\b', "NAME", icase=False),
+        _d("CAPITALISED_NAME", r'\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\b', "NAME", icase=False, needs="capitals"),
+        _d("UPPER_NAME", r'\b([A-Z]{2,}(?:\s+[A-Z]{2,}){1,2})\b', "NAME", icase=False, needs="capitals"),
         _d("SINGLE_NAME", r'\b(?:dear|hello|hi|hey|mr|mrs|ms|dr|prof|contact|call|email|notify|attn|cc)[\s,.]+([A-Z][a-z]+)\b', "NAME",
            head=r"(?=(?-i:[DdHhMmPpCcEeNnAa][EeIiRrSsOoAaMmTtCc]))(?<![A-Za-z0-9_])", tokens=("dear", "hello", "hi", "hey", "mr", "mrs", "ms", "dr", "prof", "contact", "call", "email", "notify", "attn", "cc",)),
     )),
