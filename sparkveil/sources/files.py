@@ -55,16 +55,24 @@ def cleaned_path(path: str) -> str:
     return f"{stem}_cleaned{ext}"
 
 
+SPREAD_BYTES = 64 * 1024
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Use all cores when the input comes in fewer splits than there are cores.
+    """Use the cores when the input comes in fewer splits than there are cores.
 
     Detection is heavy on the processor and light on data. Large inputs have enough splits
-    and are left alone, so that nothing is shuffled there.
+    and are left alone, so that nothing is shuffled there; small ones get no more parts than
+    their size justifies.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if df.isStreaming:
+        return df
+    now = df.rdd.getNumPartitions()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    want = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+    if now >= want:
         return df
-    return df.repartition(want * 2, key) if key else df.repartition(want * 2)
+    return df.repartition(want, key) if key else df.repartition(want)
 
 
 def process(
