@@ -28,6 +28,10 @@ FINDING = (
 )
 
 
+ORIGINAL = "IF(c.e - c.s = length(c.v), c.v, concat(c.lead, c.v))"
+"""The text of span ``c``; it is carried along, so the text need not be walked again."""
+
+
 class Plan:
     """The expressions for one config and one set of name lists."""
 
@@ -241,7 +245,7 @@ class Plan:
         span = let(
             "q",
             start,
-            "named_struct('s', q.s, 'n', -q.z, 'o', c.o, 'e', q.s + q.z, 'lead', c.lead, 'v', d)",
+            "named_struct('s', q.s, 'n', -q.z, 'o', c.o, 'e', q.s + q.z, 'lead', c.lead, 'v', IF(q.z = length(d), d, c.v))",
         )
         trimmed = let(
             "y",
@@ -273,7 +277,8 @@ class Plan:
             f"named_struct('s', greatest(c.s - 100, 0) + i - 1, 'n', -length(n), 'o', {o}, "
             "'e', greatest(c.s - 100, 0) + i - 1 + length(n), 'lead', '', 'v', substring(x.w, i, length(n)))))))"
         )
-        each = let("x", f"named_struct('p', {parts}, 'w', {window})", f"IF(size(x.p) < 2, {S.NONE}, {found})")
+        spelled = let("x", f"named_struct('p', p, 'w', {window})", found)
+        each = let("p", parts, f"IF(size(p) < 2, {S.NONE}, {spelled})")
         names = f"flatten(transform({S.find('s.t', email)}, c -> {each}))"
         return f"IF(contains(s.t, '@'), concat(s.m, {names}), s.m)"
 
@@ -413,7 +418,7 @@ class Plan:
     def finding_sql(self) -> str:
         """One finding from a kept span ``c``. ``original`` is cut from the cleaned text."""
         return (
-            "named_struct('original', substring(s.t, c.s + 1, c.e - c.s), 'replacement', c.tok, "
+            f"named_struct('original', {ORIGINAL}, 'replacement', c.tok, "
             f"'pi_type', {self.type_sql()}, 'start', c.s, 'end', c.e, {self._static_fields()})"
         )
 
@@ -447,11 +452,11 @@ class Plan:
     def candidates(self) -> list[str]:
         """Findings before overlap resolution, for jobs that add more from other tables."""
         item = (
-            "named_struct('start', c.s, 'end', c.e, 'ord', c.o, 'original', substring(s.t, c.s + 1, c.e - c.s), "
+            f"named_struct('start', c.s, 'end', c.e, 'ord', c.o, 'original', substring(s.t, c.s + 1, c.e - c.s), "
             f"'replacement', c.tok, 'pi_type', {self.type_sql()}, {self._static_fields()})"
         )
         spans = (
-            "transform(s.m, c -> named_struct('s', c.s, 'e', c.e, 'o', c.o, 'v', c.v, "
+            "transform(s.m, c -> named_struct('s', c.s, 'e', c.e, 'o', c.o, 'lead', c.lead, 'v', c.v, "
             f"'tok', {self.token_sql()}))"
         )
         return [

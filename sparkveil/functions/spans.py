@@ -156,8 +156,12 @@ def hits(rows: Sequence[Row], text: str, lower: str, flags: str) -> str:
     return f"filter({joined}, h -> h IS NOT NULL AND size(h.p) > 1)"
 
 
+BLOCK = 512
+"""Arrays grow in blocks of this many elements: appending copies, and short copies are cheap."""
+
+
 def spans(hit_array: str) -> str:
-    """Hits to spans: offsets are running sums over the pieces."""
+    """Hits to spans: offsets are running sums over the pieces, block by block."""
     start = (
         f"CASE h.w WHEN {LEAD} THEN a.at "
         f"WHEN {FIRST} THEN a.at + instr(concat(f[0], f[1]), f[1]) - 1 "
@@ -175,10 +179,17 @@ def spans(hit_array: str) -> str:
             "'lead', f[0], 'v', f[1])))",
         ),
     )
-    return (
-        f"flatten(transform({hit_array}, h -> aggregate(slice(h.p, 2, size(h.p) - 1), "
-        f"named_struct('at', length(h.p[0]), 'out', {NONE}), (a, x) -> {step}, a -> a.out)))"
-    )
+
+    def walk(pieces: str, at: str) -> str:
+        return f"aggregate({pieces}, named_struct('at', {at}, 'out', {NONE}), (a, x) -> {step}, a -> a.out)"
+
+    # each piece carries two marks that are not part of the text
+    block = f"slice(h.p, 2 + {BLOCK} * j, {BLOCK})"
+    totals = f"transform(sequence(0, (size(h.p) - 2) div {BLOCK}), j -> aggregate({block}, 0, (k, x) -> k + length(x) - 2))"
+    starts = f"aggregate({totals}, array(length(h.p[0])), (k, x) -> array_append(k, k[size(k) - 1] + x))"
+    many = let("g", starts, f"flatten(transform(sequence(0, (size(h.p) - 2) div {BLOCK}), j -> {walk(block.replace('* j', '* int(j)'), 'g[int(j)]')}))")
+    few = walk("slice(h.p, 2, size(h.p) - 1)", "length(h.p[0])")
+    return f"flatten(transform({hit_array}, h -> IF(size(h.p) <= {BLOCK}, {few}, {many})))"
 
 
 def find(text: str, detector: Detector, ordinal: int = 0) -> str:
@@ -192,11 +203,16 @@ def resolve(ordered: str) -> str:
 
     Takes sorted spans and gives the places of the kept ones, which are disjoint.
     """
+    none, blocks = "CAST(array() AS array<int>)", "CAST(array() AS array<array<int>>)"
+    keep = (
+        f"IF(size(a.out) < {BLOCK}, "
+        f"named_struct('last', {ordered}[i].e, 'out', array_append(a.out, i), 'done', a.done), "
+        f"named_struct('last', {ordered}[i].e, 'out', array(i), 'done', array_append(a.done, a.out)))"
+    )
     return (
-        f"aggregate(IF(size({ordered}) = 0, CAST(array() AS array<int>), sequence(0, size({ordered}) - 1)), "
-        "named_struct('last', -1, 'out', CAST(array() AS array<int>)), (a, i) -> "
-        f"IF({ordered}[i].s >= a.last, named_struct('last', {ordered}[i].e, 'out', array_append(a.out, i)), a), "
-        "a -> a.out)"
+        f"aggregate(IF(size({ordered}) = 0, {none}, sequence(0, size({ordered}) - 1)), "
+        f"named_struct('last', -1, 'out', {none}, 'done', {blocks}), (a, i) -> "
+        f"IF({ordered}[i].s >= a.last, {keep}, a), a -> flatten(array_append(a.done, a.out)))"
     )
 
 
@@ -222,9 +238,32 @@ def first_wins(candidates: str) -> str:
     )
 
 
+PAGE = 4096
+
+
 def splice(text: str, kept: str, token: str) -> str:
-    """Put tokens in place of disjoint sorted spans. ``token`` is SQL over the span ``c``."""
-    gap = f"substring({text}, IF(i = 0, 1, k[i - 1].e + 1), c.s - IF(i = 0, 0, k[i - 1].e))"
-    parts = f"transform(k, (c, i) -> concat({gap}, {token}))"
-    tail = f"substring({text}, k[size(k) - 1].e + 1, length({text}))"
-    return let("k", kept, f"IF(size(k) = 0, {text}, concat(array_join({parts}, ''), {tail}))")
+    """Put tokens in place of disjoint sorted spans. ``token`` is SQL over the span ``c``.
+
+    Finding a place in a text means walking to it, so a long text is cut into pages first and
+    the parts between the spans are taken from their pages.
+    """
+    before, until = "IF(i = 0, 0, k[i - 1].e)", "c.s"
+    short = f"substring({text}, {before} + 1, c.s - {before})"
+
+    def paged(start: str, end: str) -> str:
+        part = (
+            f"substring(y[int(j)], greatest({start} - {PAGE} * j, 0) + 1, "
+            f"least({end}, {PAGE} * (j + 1)) - greatest({start}, {PAGE} * j))"
+        )
+        pages = f"transform(sequence(({start}) div {PAGE}, (({end}) - 1) div {PAGE}), j -> {part})"
+        return f"IF({end} <= {start}, '', array_join({pages}, ''))"
+
+    def joined(gap: str, tail: str) -> str:
+        return f"concat(array_join(transform(k, (c, i) -> concat({gap}, {token})), ''), {tail})"
+
+    last = "k[size(k) - 1].e"
+    simple = joined(short, f"substring({text}, {last} + 1, length({text}))")
+    pages = f"regexp_extract_all({text}, '(?s).{{1,{PAGE}}}', 0)"
+    long = let("y", pages, let("z", f"length({text})", joined(paged(before, until), paged(last, "z"))))
+    few = f"length({text}) <= {4 * PAGE} OR size(k) < 8"
+    return let("k", kept, f"CASE WHEN size(k) = 0 THEN {text} WHEN {few} THEN {simple} ELSE {long} END")

@@ -168,3 +168,15 @@ def test_near_pairs(spark):
     got = sorted((r["k"], r["start"], r["r_start"]) for r in pairs.collect())
     want = sorted((d, s, a) for d, s, _ in left for e, a, b in right if d == e and a >= s - 100 and b <= s)
     assert got == want
+
+
+def test_long_value_with_very_many_findings(spark):
+    unit = "café a.b@x.com 10.0.0.1 \U0001f600 "
+    n = 3000
+    df = spark.createDataFrame([(unit * n,)], "t string")
+    config = only("DET7", "DET14", enable_data_cleaning=False)
+    row = redact_columns(df, ["t"], config).first()
+    assert row["t_cleaned"] == (unit.replace("a.b@x.com", "[EMAIL]").replace("10.0.0.1", "[IP_V4]") * n).strip()
+    found = findings(df, "t", [], config).orderBy("start").collect()
+    assert len(found) == 2 * n
+    assert all(row["t"][f["start"]:f["end"]] == f["original"] for f in found[:: 97])
