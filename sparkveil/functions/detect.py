@@ -165,7 +165,7 @@ class Plan:
         dn = self.at["LDAP_DN"]
         inner = catalog.Detector("CN", catalog.CN_VALUE, "AD_NAME")
         shifted = (
-            f"transform({S.find('c.v', inner, dn)}, y -> named_struct('s', y.s + c.s, 'n', y.n, 'o', y.o, "
+            f"transform({S.find('c.v', inner, first=dn)}, y -> named_struct('s', y.s + c.s, 'n', y.n, 'o', y.o, "
             "'e', y.e + c.s, 'lead', y.lead, 'v', y.v))"
         )
         parts = f"flatten(transform(filter(s.m, c -> c.o = {dn}), c -> {shifted}))"
@@ -385,14 +385,10 @@ class Plan:
     def cleanup_sql(self) -> str:
         """Second look at a text that holds tokens: leftovers right behind a token."""
         known = words(self.names.known)
-        found = []
-        for i, d in enumerate(catalog.CLEANUP):
-            spans = S.find("s.r", d, i)
-            if d.name == "ADJACENT_NAME":
-                spans = f"filter({spans}, c -> lower(c.v) IN ({known}))"
-            found.append(spans)
+        adjacent = next(i for i, d in enumerate(catalog.CLEANUP) if d.name == "ADJACENT_NAME")
+        found = f"filter({S.find('s.r', *catalog.CLEANUP)}, c -> c.o != {adjacent} OR lower(c.v) IN ({known}))"
         tokens = f"element_at({array([token(self.config, d.kind) for d in catalog.CLEANUP])}, c.o + 1)"
-        kept = let("z", f"array_sort(concat({', '.join(found)}))", f"transform({S.resolve('z')}, i -> z[i])")
+        kept = let("z", f"array_sort({found})", f"transform({S.resolve('z')}, i -> z[i])")
         present = any_of("s.r", ("[EMP_ID]", "[NAME]", "[EMAIL]", "[PHONE]"))
         return f"IF({present}, {S.splice('s.r', kept, tokens)}, s.r)"
 

@@ -180,22 +180,20 @@ def spans(hit_array: str) -> str:
         ),
     )
 
-    def walk(pieces: str, at: str) -> str:
-        return f"aggregate({pieces}, named_struct('at', {at}, 'out', {NONE}), (a, x) -> {step}, a -> a.out)"
-
     # each piece carries two marks that are not part of the text
-    block = f"slice(h.p, 2 + {BLOCK} * j, {BLOCK})"
-    totals = f"transform(sequence(0, (size(h.p) - 2) div {BLOCK}), j -> aggregate({block}, 0, (k, x) -> k + length(x) - 2))"
+    block, blocks = f"slice(h.p, 2 + {BLOCK} * int(j), {BLOCK})", f"sequence(0, (size(h.p) - 2) div {BLOCK})"
+    totals = f"transform({blocks}, j -> aggregate({block}, 0, (k, x) -> k + length(x) - 2))"
     starts = f"aggregate({totals}, array(length(h.p[0])), (k, x) -> array_append(k, k[size(k) - 1] + x))"
-    many = let("g", starts, f"flatten(transform(sequence(0, (size(h.p) - 2) div {BLOCK}), j -> {walk(block.replace('* j', '* int(j)'), 'g[int(j)]')}))")
-    few = walk("slice(h.p, 2, size(h.p) - 1)", "length(h.p[0])")
-    return f"flatten(transform({hit_array}, h -> IF(size(h.p) <= {BLOCK}, {few}, {many})))"
+    walk = f"aggregate({block}, named_struct('at', g[int(j)], 'out', {NONE}), (a, x) -> {step}, a -> a.out)"
+    return f"flatten(transform({hit_array}, h -> {let('g', starts, f'flatten(transform({blocks}, j -> {walk}))')}))"
 
 
-def find(text: str, detector: Detector, ordinal: int = 0) -> str:
-    """Spans of one detector, without any gate."""
-    one = f"array(named_struct('o', {ordinal}, 'w', {detector.span}, 'p', {marked(text, detector)}))"
-    return spans(f"filter({one}, g -> size(g.p) > 1)")
+def find(text: str, *detectors: Detector, first: int = 0) -> str:
+    """Spans of a few detectors, without any gate; orders count up from ``first``."""
+    items = ", ".join(
+        f"named_struct('o', {first + i}, 'w', {d.span}, 'p', {marked(text, d)})" for i, d in enumerate(detectors)
+    )
+    return spans(f"filter(array({items}), g -> size(g.p) > 1)")
 
 
 def resolve(ordered: str) -> str:
@@ -247,23 +245,16 @@ def splice(text: str, kept: str, token: str) -> str:
     Finding a place in a text means walking to it, so a long text is cut into pages first and
     the parts between the spans are taken from their pages.
     """
-    before, until = "IF(i = 0, 0, k[i - 1].e)", "c.s"
-    short = f"substring({text}, {before} + 1, c.s - {before})"
+    before, last = "IF(i = 0, 0, k[i - 1].e)", "k[size(k) - 1].e"
 
-    def paged(start: str, end: str) -> str:
-        part = (
+    def part(start: str, end: str) -> str:
+        piece = (
             f"substring(y[int(j)], greatest({start} - {PAGE} * j, 0) + 1, "
             f"least({end}, {PAGE} * (j + 1)) - greatest({start}, {PAGE} * j))"
         )
-        pages = f"transform(sequence(({start}) div {PAGE}, (({end}) - 1) div {PAGE}), j -> {part})"
-        return f"IF({end} <= {start}, '', array_join({pages}, ''))"
-
-    def joined(gap: str, tail: str) -> str:
-        return f"concat(array_join(transform(k, (c, i) -> concat({gap}, {token})), ''), {tail})"
+        pages = f"sequence({start} div {PAGE}, ({end} - 1) div {PAGE})"
+        return f"IF({end} <= {start}, '', array_join(transform({pages}, j -> {piece}), ''))"
 
-    last = "k[size(k) - 1].e"
-    simple = joined(short, f"substring({text}, {last} + 1, length({text}))")
+    joined = f"concat(array_join(transform(k, (c, i) -> concat({part(before, 'c.s')}, {token})), ''), {part(last, 'z')})"
     pages = f"regexp_extract_all({text}, '(?s).{{1,{PAGE}}}', 0)"
-    long = let("y", pages, let("z", f"length({text})", joined(paged(before, until), paged(last, "z"))))
-    few = f"length({text}) <= {4 * PAGE} OR size(k) < 8"
-    return let("k", kept, f"CASE WHEN size(k) = 0 THEN {text} WHEN {few} THEN {simple} ELSE {long} END")
+    return let("k", kept, f"IF(size(k) = 0, {text}, {let('y', pages, let('z', f'length({text})', joined))})")
