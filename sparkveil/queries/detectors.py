@@ -99,8 +99,7 @@ derived("bank_accounts", "lineitem", "l_orderkey", "'transfer to ' || lpad(CAST(
 derived("swift_iban_routing", *_CUST, f"'swift: HDFCINBB, iban GB82 WEST 1234 5698 7654 32, routing no: ' || lpad({_C}, 9, '2')", only("DET22"), (r"swift: \w+", 0, "[SWIFT]"), (r"GB82[ \w]+", 0, "[IBAN]"), (r"routing no: \d+", 0, "[ROUTING_NUM]"))
 derived("cards_and_policies", "lineitem", "l_orderkey", f"'card 4111 1111 1111 ' || lpad(CAST(l_partkey % 10000 AS STRING), 4, '0') || ', uan: ' || lpad({_L}, 12, '1') || ', policy no: LIC-' || lpad({_L}, 8, '0')", only("DET23"), (r"4111[ \d]+", 0, "[CARD]"), (r"uan: \d+", 0, "[EPF_UAN]"), (r"policy no: \S+", 0, "[INSURANCE_POLICY]"))
 derived("births_and_ages", *_ORD, "'born on ' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING) || ', age: ' || CAST(o_orderkey % 90 AS STRING) || ' years'", only("DET24"), (r"born on [\d/]+", 0, "[DOB]"), (r"age: \d+ years", 0, "[AGE]"))
-derived("directory_accounts", *_CUST, f"'CN=u' || {_C} || ',OU=Users,DC=corp; CORP' || chr(92) || 'jdoe' || {_C} || '; S-1-5-21-' || {_C} || '; svc.app' || {_C} || '; joe@dc' || {_C} || '.corp'", only("DET25"))
-ORACLES.pop("directory_accounts")
+derived("directory_accounts", *_CUST, f"'CN=u' || {_C} || ',OU=Users,DC=corp; CORP' || chr(92) || 'jdoe' || {_C} || '; S-1-5-21-' || {_C} || '; svc.app' || {_C} || '; joe@dc' || {_C} || '.corp'", only("DET25"), (r"CN=(u\d+)", 1, "[AD_NAME]"), (r"jdoe\d+", 0, "[AD_USER]"), (r"S-1-5-21-\d+", 0, "[SID]"), (r"svc\.app\d+", 0, "[SERVICE_ACCT]"), (r"joe@dc\d+\.corp", 0, "[AD_UPN]"))
 derived("service_accounts", *_CUST, f"'S-1-5-21-' || {_C} || ' and svc.app' || {_C} || ' and joe@dc' || {_C} || '.corp and NT' || lpad({_C}, 5, '7')", only("DET25"), (r"S-1-5-21-\d+", 0, "[SID]"), (r"svc\.\w+", 0, "[SERVICE_ACCT]"), (r"joe@\S+", 0, "[AD_UPN]"), (r"NT\d{5}", 0, "[SERVICE_ACCT]"))
 derived("distinguished_names", *_CUST, f"'see CN=u' || {_C} || ',OU=Users,CN=x' || {_C} || ',DC=corp'", only("DET25"), (r"CN=(u\d+)", 1, "[AD_NAME]"), (r"CN=(x\d+)", 1, "[AD_NAME]"))
 derived("windows_users", *_CUST, f"'in C:' || chr(92) || 'Users' || chr(92) || 'joe' || {_C} || chr(92) || 'docs'", only("DET26"), (r"joe\d+", 0, "[USERNAME]"))
