@@ -23,12 +23,12 @@ from sparkveil.llm.common import free_name, sampled, text_of
 
 #: Labelled documents that the model is fitted on, at most about this many, chosen by hash.
 TRAINING_ROWS = 40_000
-#: Tokens of the lexicon, at most; those of the highest z-score.
-LEXICON = 20_000
-#: Pseudo-count of the prior over all tokens together, and the z-score that a token must reach.
-PRIOR, LEAST_Z = 50.0, 3.0
-#: Toxic documents that a token must occur in, and the largest chance of a segment worth counting.
-LEAST_DOCS, CHANCE = 2, 0.05
+#: Tokens of the lexicon, at most: those with the most evidence. Each must be so much likelier in toxic text (log).
+LEXICON, LEAST_LIFT = 20_000, 1.0
+#: Documents that the Dirichlet prior adds to each word, split as the training documents are.
+PRIOR = 1.0
+#: Largest chance, in clean text of the same length, of a segment worth counting.
+CHANCE = 0.05
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -154,20 +154,23 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model
     sample = training_labels(labels, bound)
     # the sample is bounded by `bound`, so that the documents are not shuffled for it
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
-    counts = rows.select("toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("w"))
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies teach nothing new
+    # documents with a word, not its occurrences: one text that repeats a word is one witness
+    counts = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("w"))
     counts = counts.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    sums = counts.agg(F.sum("bad"), F.sum("good")).first()
-    bad, good = int(sums[0] or 0), int(sums[1] or 0)
+    sums = counts.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
+    bad, good, kinds = int(sums[0] or 0), int(sums[1] or 0), sums[2]
     if not bad or not good:
         return Model()
-    prior = PRIOR * (F.col("bad") + F.col("good")) / (bad + good)
-    lift = F.log((F.col("bad") + prior) / (bad + PRIOR)) - F.log((F.col("good") + prior) / (good + PRIOR))
-    z = lift / F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
-    # under this prior, z of a token that clean text never has stays small: its variance is the prior's
-    chosen = counts.where(F.col("bad") >= LEAST_DOCS).withColumn("lift", lift).withColumn("z", z)
-    support = F.col("bad") - F.col("good") * bad / good  # toxic occurrences beyond what clean text explains
-    chosen = chosen.where((F.col("lift") > 1.0) & (support / F.sqrt(F.greatest(F.col("good") * bad / good, F.lit(1.0))) >= LEAST_Z))
-    lexicon = chosen.orderBy(F.desc(support), "w").limit(LEXICON).collect()
+    share = bad / (bad + good)
+    n = F.col("bad") + F.col("good")
+    a, b = F.col("bad") + PRIOR * share, F.col("good") + PRIOR * (1 - share)
+    lift = F.log(a / bad) - F.log(b / good)
+    # log-likelihood ratio against "as frequent in both"; of all words, about one passes by chance
+    ratio = F.col("bad") * F.log(F.greatest("bad", F.lit(1)) / (n * share)) + F.col("good") * F.log(F.greatest("good", F.lit(1)) / (n * (1 - share)))
+    chosen = counts.withColumn("lift", lift).withColumn("ratio", ratio)
+    chosen = chosen.where((F.col("lift") >= LEAST_LIFT) & (F.col("ratio") >= math.log(kinds)))
+    lexicon = chosen.orderBy(F.desc("ratio"), "w").limit(LEXICON).collect()
     model = Model(scores={r["w"]: float(r["lift"]) for r in lexicon})
     if not lexicon:
         return model
@@ -175,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model
     rest = math.log(max(bad - covered_bad, 1) / bad) - math.log(max(good - covered_good, 1) / good)
     model.other = min(rest, -0.005)
     values = np.array([*model.scores.values(), model.other])
-    clean = np.array([*(r["good"] + PRIOR * (r["bad"] + r["good"]) / (bad + good) for r in lexicon), good - covered_good], dtype=float)
+    clean = np.array([*(r["good"] + PRIOR * (1 - share) for r in lexicon), good - covered_good], dtype=float)
     model.decay, model.k = _law(values, clean)
     seen = rows.select("toxic", "text").mapInArrow(_evidence_of(model), "toxic int, evidence double, n long")
     seen = seen.groupBy("toxic", F.round("evidence", 1).alias("evidence")).count().orderBy("toxic", "evidence").collect()
