@@ -21,15 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkveil.llm.common import free_name, text_of
-from sparkveil.llm.pieces import PieceCache, splitter
-
-
-def byte_letters() -> dict[str, int]:
-    """The printable stand-in of each byte in a byte-level vocabulary file."""
-    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters = {chr(b): b for b in printable}
-    rest = (b for b in range(256) if b not in printable)
-    return letters | {chr(256 + k): b for k, b in enumerate(rest)}
+from sparkveil.llm.pieces import PieceCache, byte_letters, splitter
 
 
 class Vocabulary:

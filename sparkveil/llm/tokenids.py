@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkveil.llm.common import shared_folder, shuffle_partitions, stored, text_of
-from sparkveil.llm.pieces import PieceCache, splitter
+from sparkveil.llm.pieces import PieceCache, byte_letters, splitter
 
 MAGIC = b"svRANS1\0"
 #: Bits of the frequency table's sum; a state stays in [2**31, 2**63) and moves 32 bits at a time.
@@ -148,9 +148,10 @@ def unpack(model: Model, block: bytes, checkpoint: int = 0) -> tuple[list[int |
 
 @cache
 def library_coder(path: str):
-    """text -> ids as little-endian 16-bit integers, by the tokenizers library, piece by piece.
+    """text -> ids as bytes (see `width`), by the tokenizers library's model, piece by piece.
 
-    Merges never cross a piece, so each distinct piece is encoded once and remembered.
+    Merges never cross a piece, so each distinct piece is encoded once and remembered. Texts that
+    hold a special token's mark go through the whole library.
     """
     import os
 
@@ -160,39 +161,52 @@ def library_coder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    kind = width(path)
     special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-    encode = lambda part: np.array(tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    letters = str.maketrans({byte: letter for letter, byte in byte_letters().items()})
+    merge = tokenizer.model.tokenize
+
+    def encode(piece: str) -> bytes:
+        return np.array([t.id for t in merge(piece.encode("utf-8").decode("latin-1").translate(letters))], dtype=kind).tobytes()
+
     cache_, split = PieceCache(encode), splitter()
 
     def code(text: str) -> bytes:
         if any(mark in text for mark in special):
-            return encode(text)
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=kind).tobytes()
         return b"".join(map(cache_.__getitem__, split(text)))
 
     return code
 
 
+@cache
+def width(path: str) -> str:
+    """Two little-endian bytes per id where the vocabulary fits, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, ids): ids of the whole text (null: empty) with the end id, as 32-bit integers."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """(doc_id, ids): ids of the whole text (null: empty) with the end id, as bytes (see `width`)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = library_coder(path)
+        code, end = library_coder(path), np.array([end_id], dtype=width(path)).tobytes()
         for batch in batches:
             ids = [code(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(add, "doc_id long, n long, ids binary")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(add, "doc_id long, ids binary")
 
 
-def counted(tokens: DataFrame) -> np.ndarray:
+def counted(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs; one number per id of the vocabulary reaches the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                seen = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+                seen = np.bincount(np.frombuffer(ids.as_py(), kind))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
                 total[: len(seen)] += seen
@@ -213,7 +227,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_column: s
     """
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, path, end_id, id_column, text), f"{shared_folder(spark)}/tokens")
-    freq = normalised(counted(tokens))
+    kind = width(path)
+    freq = normalised(counted(tokens, kind))
     model_rows = spark.createDataFrame([(int(k), int(f)) for k, f in enumerate(freq)], "id long, freq long")
     model_rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/model")
     # splitters are ids and a digest, so one id given many times still spreads
@@ -235,7 +250,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_column: s
 
         for batch in batches:
             for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
-                values = np.frombuffer(ids.as_py(), "<u4").astype(np.int64)
+                values = np.frombuffer(ids.as_py(), kind).astype(np.int64)
                 held.append((doc.as_py(), values))
                 size += len(values)
                 if size >= BLOCK_IDS:
