@@ -23,8 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component over five-word shingles the smallest id stays."""
-    return simhash.without_near_duplicates(docs, shingle=5)
+    """Of documents linked by a similarity of 0.8 over five-word shingles the smallest id stays."""
+    return simhash.without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

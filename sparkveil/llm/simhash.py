@@ -18,6 +18,7 @@ Equal fingerprints are one node from the start, so thousands of copies cost one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ BANDS = 4
 _EMIT, _BLOCK = 1024, 1 << 15
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit fingerprint over word shingles; 0 for a text without words.
+def fingerprint(text: str, shingle: int = 3, seed: int = 42, once: bool = False) -> int:
+    """64-bit fingerprint over word shingles (`once`: distinct ones); 0 for a text without words.
 
     A-Z are lower-cased, words part at ASCII white space, and a text with fewer words than a shingle
     is one shingle. A bit is set where more than half of the shingle hashes have it.
@@ -45,6 +46,8 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     shingles = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)), strict=False)
+    if once:
+        shingles = {tuple(s) for s in shingles}
     hashes = np.fromiter((xxh64_intdigest(b" ".join(s), seed) for s in shingles), dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _BLOCK):
@@ -53,7 +56,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle: int = 3, seed: int = 42, once: bool = False) -> DataFrame:
     """`docs` without its text, plus the fingerprint as a long."""
     rest = [c for c in docs.columns if c != text]
     wanted = docs.select(*rest, text_of(text).alias(text))
@@ -61,7 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(rest)).to_pylist()
-            values = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            values = np.array([fingerprint(t, shingle, seed, once) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(values)], names=[*rest, into])
 
     schema = docs.select(*rest).withColumn(into, F.lit(0).cast("long")).schema
@@ -157,8 +160,54 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return marked.join(classes, "fp").select(F.col("doc_id").alias(id_column), "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows whose id is the smallest of their component; ids must be unique to keep one row."""
-    found = near_duplicates(docs, id_column, text, shingle)
-    kept = found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias(free_name(docs, "kept_id"))).distinct()
-    return docs.join(kept, F.col(id_column).eqNullSafe(kept[kept.columns[0]]), "left_semi")
+def jaccard(one: str, two: str, shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; 1 for two texts without words."""
+    sets = []
+    for text in (one, two):
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        sets.append({tuple(words)} if len(words) < shingle else set(zip(*(words[k:] for k in range(shingle)), strict=False)))
+    shared = len(sets[0] & sets[1])
+    return shared / (len(sets[0]) + len(sets[1]) - shared)
+
+
+def similar_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """(a, b): linked ids whose texts share at least `least` of their `shingle`-word shingles.
+
+    Fingerprints over distinct single words are close wherever a few words differ, so their links
+    are the candidates, once per seed (a pair that one seed sets apart, the other may not); only
+    pairs that pass the exact comparison stay. Texts of one fingerprint are compared with the
+    smallest id that has it.
+    """
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    found = []
+    for seed in seeds:
+        marked = stored(fingerprints(rows, shingle=1, seed=seed, once=True), f"{folder}/fingerprints{seed}")
+        nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/nodes{seed}")
+        close = links(nodes).join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        same = marked.join(nodes, "fp").where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+        found.append(close.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(same))
+    pairs = stored(reduce(DataFrame.unionByName, found).distinct(), f"{folder}/pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, one, two = batch.columns
+            near = [jaccard(s, t, shingle) >= least for s, t in zip(one.to_pylist(), two.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"]).filter(pa.array(near))
+
+    texts = rows.select("doc_id", text_of().alias("text"))
+    ids = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{folder}/ids")
+    texts = stored(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), f"{folder}/texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("one")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("two")), "y")
+    return both.select("x", "y", "one", "two").mapInArrow(verify, "a long, b long")
+
+
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows whose id is the smallest of their component of similar pairs (null ids stay).
+
+    Rows that share an id share its fate.
+    """
+    found = components(similar_pairs(docs, id_column, text, shingle, least))
+    gone = found.where("node <> component").select(F.col("node").alias(free_name(docs, "gone_id")))
+    return docs.join(gone, F.col(id_column) == gone[gone.columns[0]], "left_anti")
