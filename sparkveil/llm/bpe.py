@@ -11,6 +11,7 @@ have merged before that.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkveil.llm.common import free_name, text_of
+from sparkveil.llm.common import free_name, slices, text_of
 from sparkveil.llm.pieces import PieceCache, byte_letters, splitter
 
 
@@ -69,7 +70,7 @@ class Encoder:
     def compatible(self, left: str, right: str) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) >= 500_000:
+            if len(self.fits) >= 300_000:
                 self.fits.clear()
             found = self.fits[left, right] = self._compatible(left, right)
         return found
@@ -96,32 +97,37 @@ class Encoder:
         n = len(piece)
         longest = [""] * (n + 1)
         for end, token in self.automaton.iter(piece):
-            start = end - len(token) + 1
-            if len(token) > len(longest[start]):
-                longest[start] = token
-        dead = bytearray(n + 1)
+            # matches come by end, so the last one kept for a start is the longest
+            longest[end - len(token) + 1] = token
+        fits, dead = self.fits, set()
         found: list[str] = []
-        at, token = 0, longest[0]
+        at, token, before = 0, longest[0], ""
         while at < n:
             while token:
                 end = at + len(token)
-                if not dead[end] and (not found or self.compatible(found[-1], token)):
-                    found.append(token)
-                    at, token = end, longest[end]
-                    break
-                token = self.shorter(token)
+                if end not in dead:
+                    fit = True if not before else fits.get((before, token))
+                    if fit is None:
+                        fit = self.compatible(before, token)
+                    if fit:
+                        found.append(token)
+                        at, before, token = end, token, longest[end]
+                        break
+                shorter = self.shorter_of.get(token)
+                token = self.shorter(token) if shorter is None else shorter
             else:
                 if not found:
                     raise ValueError("the vocabulary lacks a byte of the text")
-                dead[at] = 1
+                dead.add(at)
                 token = found.pop()
                 at -= len(token)
+                before = found[-1] if found else ""
         return found
 
     def ids(self, piece: str) -> bytes:
-        """Ids of one piece of text, as little-endian 32-bit integers."""
+        """Ids of one piece of text, as 32-bit integers."""
         number = self.vocabulary.id
-        return np.array([number[t] for t in self.tokens(piece.encode("utf-8").decode("latin-1"))], dtype="<i4").tobytes()
+        return array("i", [number[t] for t in self.tokens(piece.encode("utf-8").decode("latin-1"))]).tobytes()
 
 
 class Coder:
@@ -129,10 +135,11 @@ class Coder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.cache = PieceCache(Encoder(self.vocabulary).ids)
+        self.cache = PieceCache(Encoder(self.vocabulary).ids, limit=200_000)
         self.split = splitter()
         last = max(self.vocabulary.bytes)
         table = [self.vocabulary.bytes.get(k, b"") for k in range(last + 1)]
+        self.vocabulary.bytes.clear()
         self.blob = np.frombuffer(b"".join(table), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
 
@@ -178,7 +185,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in batches:
+        for batch in slices(batches):
             parts = [code.encode(t) for t in batch.column(len(rest)).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
@@ -196,7 +203,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(len(rest))
             texts = [code.decode(np.asarray(row.values, dtype=np.int64)).tobytes().decode("utf-8", "replace") if row.is_valid else "" for row in column]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], column, pa.array(texts, pa.string())], names=[*rest, ids, into])

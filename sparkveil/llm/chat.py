@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkveil.llm.common import shared_folder, stored
+from sparkveil.llm.common import shared_folder, slices, stored
 
 #: Marks of the template; `\\` starts an escape, so no mark can stand inside a text.
 TURN, END = "### ", "</turn>\n"
@@ -129,7 +129,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(READ_SCHEMA)
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 turns, learned = read_text(row["text"], row["mask"])
                 yield pa.RecordBatch.from_pylist(

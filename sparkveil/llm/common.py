@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,10 @@ def held(df: DataFrame, *columns: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller pieces, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

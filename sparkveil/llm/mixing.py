@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkveil.llm.common import free_name, sampled, shared_folder, stored, text_of
+from sparkveil.llm.common import free_name, sampled, shared_folder, slices, stored, text_of
 from sparkveil.llm.toxicity import words
 
 #: Labelled documents that the word model is fitted on, at most about this many, chosen by hash.
@@ -107,7 +107,7 @@ def with_shares(docs: DataFrame, model: WordModel, text: str = "text", keep_text
     given = free_name(docs, "mixed_text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             shares, counts = model.shares(batch.column(len(rest)).to_pylist())
             ends = pa.array(np.arange(len(shares) + 1, dtype=np.int32) * shares.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(counts), pa.ListArray.from_arrays(ends, pa.array(shares.ravel()))], names=schema.names)

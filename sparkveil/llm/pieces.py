@@ -43,7 +43,7 @@ class PieceCache(dict):
     Long pieces are not kept, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 200_000, longest: int = 48):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 100_000, longest: int = 48):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 

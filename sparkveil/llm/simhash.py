@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkveil.llm.common import free_name, shared_folder, stored, text_of
+from sparkveil.llm.common import free_name, shared_folder, slices, stored, text_of
 from sparkveil.llm.graph import components
 
 RADIUS = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle:
     wanted = docs.select(*rest, text_of(text).alias(text))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(len(rest)).to_pylist()
             values = np.array([fingerprint(t, shingle, seed, once) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(values)], names=[*rest, into])
@@ -191,7 +191,7 @@ def similar_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     pairs = stored(reduce(DataFrame.unionByName, found).distinct(), f"{folder}/pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y, one, two = batch.columns
             near = [jaccard(s, t, shingle) >= least for s, t in zip(one.to_pylist(), two.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"]).filter(pa.array(near))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkveil.llm.common import shared_folder, shuffle_partitions, stored, text_of
+from sparkveil.llm.common import shared_folder, shuffle_partitions, slices, stored, text_of
 from sparkveil.llm.pieces import PieceCache, byte_letters, splitter
 
 MAGIC = b"svRANS1\0"
@@ -192,7 +192,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = library_coder(path), np.array([end_id], dtype=width(path)).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [code(t) + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -204,7 +204,7 @@ def counted(tokens: DataFrame, kind: str) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for ids in batch.column(0):
                 seen = np.bincount(np.frombuffer(ids.as_py(), kind))
                 if len(seen) > len(total):
@@ -248,7 +248,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_column: s
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
                 values = np.frombuffer(ids.as_py(), kind).astype(np.int64)
                 held.append((doc.as_py(), values))
@@ -281,7 +281,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(freq)
-        for batch in batches:
+        for batch in slices(batches):
             for start, data in zip(batch.column(0), batch.column(1), strict=True):
                 docs, lengths, ids = unpack(model, data.as_py())
                 ends = np.cumsum(lengths)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkveil.llm.common import free_name, sampled, text_of
+from sparkveil.llm.common import free_name, sampled, slices, text_of
 
 #: Labelled documents that the model is fitted on, at most about this many, chosen by hash.
 TRAINING_ROWS = 40_000
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model
 
 def _evidence_of(model: Model):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             toxic, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found, sizes = [], []
             for t in texts:
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, st
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(SEGMENT)
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.score(t or "") for t in batch.column(at).to_pylist()]
             scores = pa.array([f[0] for f in found], pa.float64())
             passages = pa.array([[{"start": a, "end": b, "score": s} for a, b, s in f[1]] for f in found], kind)
