@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, bound: int = TRAININ
     ids = ids.where(sampled(F.col("doc_id"), ids.count(), bound))
     # bounded by `bound`, so that the documents are not shuffled for it
     rows = docs.select("doc_id", domain.cast("string").alias("domain"), text_of().alias("text")).where("domain is not null").join(F.broadcast(ids), "doc_id")
-    found = rows.select("domain", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("w"))
+    found = rows.select("domain", F.explode(F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1), "")).alias("w"))
     found = found.groupBy("domain", "w").agg(F.count("*").alias("n"))
     totals = {r["domain"]: int(r["n"]) for r in found.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
     if not totals:

@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
     rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies teach nothing new
     # documents with a word, not its occurrences: one text that repeats a word is one witness
-    counts = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("w"))
+    counts = rows.select("toxic", F.explode(F.array_distinct(F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1), ""))).alias("w"))
     counts = counts.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     sums = counts.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
     bad, good, kinds = int(sums[0] or 0), int(sums[1] or 0), sums[2]
