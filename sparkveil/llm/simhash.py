@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkveil.llm.common import free_name, shared_folder, slices, stored, text_of
+from sparkveil.llm.common import free_name, shared_folder, shuffle_partitions, slices, stored, text_of
 from sparkveil.llm.graph import components
 
 RADIUS = 3
@@ -128,17 +128,19 @@ def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within `RADIUS`; `nodes`: distinct fp."""
     spark = nodes.sparkSession
     folder = shared_folder(spark)
+    parts = shuffle_partitions(spark)
     of = Window.partitionBy("band", "variant")
-    met = masked_variants(nodes.select("fp")).select("fp", F.count("*").over(of).alias("n"), F.min("fp").over(of).alias("a"), F.max("fp").over(of).alias("b"))
+    met = masked_variants(nodes.select("fp").repartition(parts, "fp")).select("fp", F.count("*").over(of).alias("n"), F.min("fp").over(of).alias("a"), F.max("fp").over(of).alias("b"))
     # a pair of two: one of its rows is enough; crowds: each member once
     met = met.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("fp") == F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)))
     alone = F.col("n") == 2
     met = stored(met.select(F.when(alone, F.col("a")).alias("a"), F.when(alone, F.col("b")).alias("b"), F.when(~alone, F.col("fp")).alias("fp")).distinct(), f"{folder}/met")
     pairs = met.where("fp is null").select("a", "b")
-    crowd = met.where("fp is not null").select("fp")
+    crowd = met.where("fp is not null").select("fp").repartition(parts, "fp")
     balls = full_variants(crowd)
     centre = balls.where("near").groupBy("variant").agg(F.min("fp").alias("a"))
-    stars = balls.join(centre, "variant").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    # the planner cannot know how many variants a row gives, and would broadcast them
+    stars = balls.join(centre.hint("merge"), "variant").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return stored(pairs.unionByName(stars), f"{folder}/links")
 
 
