@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkveil.llm.common import sampled, shared_folder, stored
+from sparkveil.llm.common import sampled, shared_folder, shuffle_partitions, stored
 
 #: Vectors that the codebooks are fitted on, at most about this many, chosen by hash.
 TRAINING_ROWS = 20_000
 #: Mean number of entries of a cell, from which the number of centroids follows, and its bound.
 PER_CELL, MOST_CENTROIDS = 16, 2048
-#: Share of all entries that a query looks at, and the least and most entries it asks for.
-VISITED, LEAST_VISITED, MOST_VISITED = 0.08, 1500, 200_000
-#: Entries and queries of a block.
-BLOCK = 2048
+#: Share of true neighbours that the visited cells must cover on the sample, with as many queries.
+COVERED, SAMPLE_QUERIES = 0.95, 200
+#: Entries and queries of a block of work.
+BLOCK, SLICE = 8192, 2048
 
 
 def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -89,13 +89,43 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), -1)
 
 
-def _scores(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed from the first component to the last."""
-    total = np.zeros((len(queries), len(entries)))
+def needed_share(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int) -> float:
+    """Share of all entries, in the order of the cells, that covers `COVERED` of the neighbours.
+
+    Measured on the bounded sample: for each true neighbour of a sample query, the share of entries
+    whose cells come before its own. A larger table has nearer neighbours, which come earlier.
+    """
+    half = books[0].shape[1]
+    one, two = nearest(sample[:, :half], books[0]), nearest(sample[:, half:], books[1])
+    shares = []
+    for at in range(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES)):
+        q = sample[at]
+        exact = sample @ q
+        exact[at] = -np.inf
+        true = np.argsort(-exact)[: min(k, len(sample) - 1)]
+        cell = (books[0] @ q[:half])[one] + (books[1] @ q[half:])[two]
+        ordered = np.sort(cell)
+        shares += list(1 - np.searchsorted(ordered, cell[true], side="left") / len(sample))  # the own cell counts whole
+    return float(np.quantile(shares, COVERED)) if shares else 1.0
+
+
+def best_of(queries: np.ndarray, entries: np.ndarray, seen: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, scores) of the k largest inner products per query among the entries it has seen.
+
+    Scores are double-precision sums from the first component to the last; everything within
+    rounding of the k-th is kept, so ties are left to the caller.
+    """
     q, e = queries.astype(np.float64), entries.astype(np.float64)
-    for j in range(q.shape[1]):
-        total += q[:, j, None] * e[None, :, j]
-    return total
+    rough = np.where(seen, q @ e.T, -np.inf)
+    out = []
+    for row, own in zip(rough, q, strict=True):
+        least = np.partition(row, -k)[-k] - 1e-9 if len(row) > k else -np.inf
+        places = np.flatnonzero((row >= least) & (row > -np.inf))
+        score = np.zeros(len(places))
+        for j in range(len(own)):
+            score += own[j] * e[places, j]
+        out.append((places, score))
+    return out
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -135,7 +165,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     sizes = np.zeros(len(books[0]) * width, dtype=np.int64)
     for r in placed.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
-    wanted = int(min(MOST_VISITED, max(LEAST_VISITED, VISITED * total)))
+    wanted = int(np.ceil(needed_share(sample, books, k) * sizes.sum()))
+    # blocks of whole neighbouring cells, about BLOCK entries each; a larger cell is cut by id hash
+    block_of = (np.cumsum(sizes) - sizes) // BLOCK
+    parts_of = np.maximum(1, -(-sizes // BLOCK))
 
     asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("q"))
     asked = usable(asked, "id", "q").where(F.size("v") == length)
@@ -145,48 +178,53 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _vectors(batch.column(1))
-            for k_, (x, y) in enumerate(zip(v[:, :half] @ books[0].T, v[:, half:] @ books[1].T, strict=True)):
-                cells = np.array(traverse(x, y, sizes, wanted), dtype=np.int64)
-                blocks = -(-sizes[cells] // BLOCK)
-                cell = np.repeat(cells, blocks)
-                block = np.arange(len(cell)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            for at, (x, y) in enumerate(zip(v[:, :half] @ books[0].T, v[:, half:] @ books[1].T, strict=True)):
+                cells = np.array(sorted(traverse(x, y, sizes, wanted)), dtype=np.int64)
+                rows = []
+                for block in np.unique(block_of[cells]):
+                    own = cells[block_of[cells] == block]
+                    # all parts of a block see the same list; a part without these cells has no entry for them
+                    rows += [(int(block), part, own.tolist()) for part in range(int(parts_of[own].max()))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(cell), batch.column(0)[k_].as_py(), dtype=np.int64)), pa.array(cell), pa.array(block)], names=["query", "cell", "block"]
+                    [pa.array(np.full(len(rows), batch.column(0)[at].as_py(), dtype=np.int64)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
+                    names=["query", "block", "part", "cells"],
                 )
 
-    probes = stored(asked.mapInArrow(probe, "query long, cell long, block long"), f"{folder}/probes")
-    # entries and queries of a block are both bounded: blocks of a cell by its size, slices of its
-    # queries by theirs
-    n_blocks = -F.floor(-F.col("n") / BLOCK)
-    per_cell = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    in_blocks = placed.join(per_cell, "cell").withColumn("block", F.pmod(F.xxhash64("id"), n_blocks)).select("cell", "block", "id", "v")
-    per_block = probes.groupBy("cell", "block").agg(F.count("*").alias("n"))
-    sliced = probes.join(per_block, ["cell", "block"]).withColumn("slice", F.pmod(F.xxhash64("query"), n_blocks))
-    slices = per_block.select("cell", "block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("slice"))
-    left = sliced.join(asked, "query").select("cell", "block", "slice", "query", "v")
-    right = in_blocks.join(slices, ["cell", "block"]).select("cell", "block", "slice", "id", "v")
+    probes = stored(asked.repartition(shuffle_partitions(spark), "query").mapInArrow(probe, "query long, block long, part long, cells array<long>"), f"{folder}/probes")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(2).to_numpy()
+            part = np.asarray(batch.column(0)) % parts_of[cells]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of[cells]), pa.array(part)], names=["id", "v", "cell", "block", "part"])
+
+    in_blocks = placed.mapInArrow(put, "id long, v array<float>, cell long, block long, part long")
+    # the queries of a block are cut into slices, each of which gets the block's entries
+    n_slices = -F.floor(-F.col("n") / SLICE)
+    per_block = probes.groupBy("block", "part").agg(F.count("*").alias("n"))
+    sliced = probes.join(per_block, ["block", "part"]).withColumn("slice", F.pmod(F.xxhash64("query"), n_slices))
+    slices = per_block.select("block", "part", F.explode(F.sequence(F.lit(0).cast("long"), n_slices - 1)).alias("slice"))
+    left = sliced.join(asked, "query").select("block", "part", "slice", "query", "cells", "v")
+    right = in_blocks.join(slices, ["block", "part"]).select("block", "part", "slice", "id", "cell", "v")
 
     def rerank(key, one: pa.Table, two: pa.Table) -> pa.Table:
-        ids, who = two.column("id").to_numpy(), one.column("query").to_numpy()
-        e = _vectors(two.column("v").combine_chunks())
-        order = np.argsort(ids, kind="stable")
-        ids, e = ids[order], e[order]
-        out_q, out_i, out_s = [], [], []
-        q = _vectors(one.column("v").combine_chunks()) if len(who) and len(ids) else None
-        for at in range(0, len(who) if q is not None else 0, 256):
-            s = _scores(q[at : at + 256], e)
-            if s.shape[1] > k + 1:  # one more, for the query's own row
-                kept = np.sort(np.argsort(-s, axis=1, kind="stable")[:, : k + 1], axis=1)
-            else:
-                kept = np.tile(np.arange(s.shape[1]), (s.shape[0], 1))
-            out_q.append(np.repeat(who[at : at + 256], kept.shape[1]))
-            out_i.append(ids[kept].ravel())
-            out_s.append(np.take_along_axis(s, kept, axis=1).ravel())
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
-        return pa.table({"query": join(out_q, pa.int64()), "id": join(out_i, pa.int64()), "score": join(out_s, pa.float64())})
-
-    by = ["cell", "block", "slice"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rerank, "query long, id long, score double")
+        ids, cell, who = two.column("id").to_numpy(), two.column("cell").to_numpy(), one.column("query").to_numpy()
+        found: list[list] = [[], [], []]
+        if len(ids) and len(who):
+            e, q, lists = _vectors(two.column("v").combine_chunks()), _vectors(one.column("v").combine_chunks()), one.column("cells").combine_chunks()
+            for at in range(0, len(who), 64):
+                seen = np.stack([np.isin(cell, lists[k_].values.to_numpy()) for k_ in range(at, min(at + 64, len(who)))])
+                for k_, (places, score) in enumerate(best_of(q[at : at + 64], e, seen, k + 1)):  # one more, for the query's own row
+                    best = np.lexsort((ids[places], -score))[: k + 1]
+                    found[0].append(who[at + k_])
+                    found[1].append(ids[places][best])
+                    found[2].append(score[best])
+        return pa.table({"query": pa.array(found[0], pa.int64()), "ids": pa.array(found[1], pa.list_(pa.int64())), "scores": pa.array(found[2], pa.list_(pa.float64()))})
+
+    by = ["block", "part", "slice"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rerank, "query long, ids array<long>, scores array<double>")
+    # each block gives a query k + 1 results at most
+    found = found.select("query", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).select("query", "id", "score")
     found = found.groupBy("query").agg(F.collect_list(F.struct("id", "score")).alias("found"))  # k + 1 at most
