@@ -85,11 +85,11 @@ def punctuation_sql(x: str) -> str:
 
 
 def _code_point(x: str) -> str:
-    """The character of a number held as text, or NULL when there is none."""
+    """The character of a number held as text, or NULL when there is none or it could be one of our marks."""
     return let(
         "n",
         x,
-        "CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN NULL "
+        "CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 OR n BETWEEN 64976 AND 65007 THEN NULL "
         "ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END",
     )
 
@@ -113,7 +113,7 @@ def entities_sql(x: str) -> str:
         + let(
             "g",
             _numeric_sql("e", r"&#(\d+);", "try_cast(f[1] AS BIGINT)"),
-            _numeric_sql("g", r"&#x([0-9a-fA-F]+);", "IF(length(f[1]) < 9, try_cast(conv(f[1], 16, 10) AS BIGINT), NULL)"),
+            _numeric_sql("g", r"&#x([0-9a-fA-F]+);", "IF(length(TRIM(LEADING '0' FROM f[1])) < 9, try_cast(conv(f[1], 16, 10) AS BIGINT), NULL)"),
         )
         + ", e)",
     )

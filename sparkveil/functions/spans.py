@@ -87,7 +87,7 @@ def whole_words(rows: Sequence[Row]) -> list[str]:
 FLAGS = {
     "digit": "$t RLIKE " + regex(r"\d"),
     "at": "contains($t, '@')",
-    "dot": "$t RLIKE " + plain_regex(r"[A-Za-z0-9-][.][A-Za-z0-9._-]"),
+    "dot": "$t RLIKE " + plain_regex(r"[A-Za-z0-9_-][.][A-Za-z0-9._-]"),
     "slash": "contains($t, '/')",
     "backslash": "contains($t, " + lit("\\") + ")",
     "hex": "$t RLIKE " + plain_regex(r"[0-9A-Fa-f]{20}"),

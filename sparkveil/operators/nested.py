@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkveil.functions.clean import unmark_sql
 from sparkveil.functions.sql import EDGE, START, apply, regex
 from sparkveil.operators.redaction import run_stages
 from sparkveil.functions.detect import Plan
@@ -127,10 +128,16 @@ def html_parts(column: Column | str) -> Column:
 
     Comments, tags, and whole script and style elements are markup.
     """
-    cut = f"split(regexp_replace(x, {regex(_MARKUP)}, '{START}$0{EDGE}'), '[{START}{EDGE}]')"
+    cut = f"split(regexp_replace({unmark_sql('x')}, {regex(_MARKUP)}, '{START}$0{EDGE}'), '[{START}{EDGE}]')"
     return apply(column, "x", f"transform({cut}, (p, i) -> named_struct('pos', i, 'is_text', i % 2 = 0, 'part', p))")
 
 
+def escape_html(text: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
 def html_texts(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
     """One row per text node that is not blank."""
     parts = df.select(*keep, F.inline_outer(html_parts(column)))
@@ -149,5 +156,6 @@ def redact_html(
     parts = df.withColumn("__p", html_parts(column))
     texts = parts.withColumn("__t", F.transform("__p", lambda p: F.when(p.is_text, p.part)))
     done = run_stages(texts, {"__r": "__t"}, plan.redacted())
-    joined = F.array_join(F.zip_with("__p", "__r", lambda p, r: F.coalesce(r, p.part)), "")
+    # cleaning has decoded the entities of a text, so they are written again: text never turns into markup
+    joined = F.array_join(F.zip_with("__p", "__r", lambda p, r: F.coalesce(escape_html(r), p.part)), "")
     return done.withColumn(out or column, joined).drop("__p", "__t", "__r")

@@ -391,7 +391,7 @@ def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "suspicious_pages",
-    r"SELECT page_id, regexp_matches(left(html, 10240), '(?i)<script|javascript:|=cmd\||=HYPERLINK\s*\(|@SUM\(|=DDE\s*\(|on\w+\s*=\s*[\x22\x27]|<\s*iframe|<\s*object|<\s*embed|data:\s*text/html') AS suspicious FROM pages",
+    r"SELECT page_id, regexp_matches(html, '(?i)<script|javascript:|=cmd\||=HYPERLINK\s*\(|@SUM\(|=DDE\s*\(|on\w+\s*=\s*[\x22\x27]|<\s*iframe|<\s*object|<\s*embed|data:\s*text/html') AS suspicious FROM pages",
 )
 def suspicious_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sanitize.suspicious("html").alias("suspicious"))
@@ -628,7 +628,7 @@ def redacted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     fallback = None
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
         fallback = tempfile.mkdtemp(prefix="sparkveil-")
     return pipelines.checkpoint_dir(spark, f"{name}-{uuid.uuid4().hex}", fallback)
 

@@ -39,8 +39,8 @@ def read_any(spark: SparkSession, path: str, whole: bool = False, schema: T.Stru
         return spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
-        # bad lines are dropped, as many rows as fit are kept
-        return reader.csv(path, header=True, mode="DROPMALFORMED", multiLine=False, encoding="UTF-8")
+        # quoted values keep their line breaks and doubled quotes; bad lines are dropped
+        return reader.csv(path, header=True, mode="DROPMALFORMED", multiLine=True, quote='"', escape='"', encoding="UTF-8")
     if kind == "json":
         return reader.json(path, multiLine=True)
     return reader.json(path) if kind == "jsonl" else reader.format(kind).load(path)
@@ -113,9 +113,9 @@ def write(df: DataFrame, path: str, kind: str, partition_by: Sequence[str] = ())
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if kind == "csv":
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, quote='"', escape='"')
     elif kind in ("json", "jsonl"):
-        writer.json(path)
+        writer.json(path, ignoreNullFields=False)
     elif kind in ("text", "html"):
         writer.text(path)
     else:
