@@ -70,7 +70,7 @@ class Encoder:
     def compatible(self, left: str, right: str) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) >= 300_000:
+            if len(self.fits) >= 100_000:
                 self.fits.clear()
             found = self.fits[left, right] = self._compatible(left, right)
         return found
@@ -135,7 +135,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.cache = PieceCache(Encoder(self.vocabulary).ids, limit=200_000)
+        self.cache = PieceCache(Encoder(self.vocabulary).ids, limit=120_000)
         self.split = splitter()
         last = max(self.vocabulary.bytes)
         table = [self.vocabulary.bytes.get(k, b"") for k in range(last + 1)]
