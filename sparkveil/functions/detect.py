@@ -58,7 +58,7 @@ class Plan:
         if "EMAIL" in self.at:
             local, domain = "substring_index(lower(c.v), '@', 1)", "substring_index(lower(c.v), '@', -1)"
             prefix = f"substring_index({local}, '.', 1)"
-            rest = f"substring({local}, length({prefix}) + 2, 128)"
+            rest = f"substring({local}, length({prefix}) + 2)"
             cases.append(
                 f"WHEN c.o = {self.at['EMAIL']} AND {local} RLIKE '^[0-9]{{4,7}}$' "
                 f"AND {domain} IN ({words(W.EMPLOYEE_DOMAINS)}) THEN '[EMP_ID]@[DOMAIN]'"

@@ -72,15 +72,14 @@ MAGIC = {
 ALLOWED_EXTENSIONS = (
     "csv", "xlsx", "xls", "json", "txt", "docx", "doc", "pptx", "ppt", "pdf", "html", "htm", "xml", "md", "log",
 )
-MAX_TEXT = 100_000
-MAX_FILE = 500 * 1024 * 1024
 CONTROL_KEEPING_BREAKS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 CONTROL_ALL = r"[\x00-\x1f\x7f]"
 
 
 @dataclass(frozen=True)
 class SanitizerConfig:
-    max_length: int = 10_000_000
+    max_length: int | None = None
+    """Texts are cut only where a length is given."""
     allow_newlines: bool = True
     allow_tabs: bool = True
     allow_carriage_return: bool = True
@@ -149,14 +148,17 @@ def unicode_form(column: Column | str, form: str = "NFKC", exact: bool = False)
 def sanitize(column: Column | str, config: SanitizerConfig | None = None, detect: bool = False) -> Column:
     """``struct<text, was_modified, warnings, removed_chars>``.
 
-    Truncate, drop null bytes, drop control characters, normalise, escape. ``detect`` puts
+    Truncate (on demand), drop null bytes, drop control characters, normalise, escape. ``detect`` puts
     the hostile patterns in front of the warnings; they never block.
     """
     c = config or SanitizerConfig()
-    steps = [
-        f"named_struct('o', s, 't', left(s, {c.max_length}), 'n', 0, 'w', IF(length(s) > {c.max_length}, "
-        f"array(concat('Text truncated from ', length(s), ' to {c.max_length} chars')), CAST(array() AS array<string>)))"
-    ]
+    none = "CAST(array() AS array<string>)"
+    steps = [f"named_struct('o', s, 't', s, 'n', 0, 'w', {none})"]
+    if c.max_length is not None:
+        steps = [
+            f"named_struct('o', s, 't', left(s, {c.max_length}), 'n', 0, 'w', IF(length(s) > {c.max_length}, "
+            f"array(concat('Text truncated from ', length(s), ' to {c.max_length} chars')), {none}))"
+        ]
 
     def drop(pattern: str, what: str) -> str:
         kept, count = _removed("s.t", pattern)
@@ -180,13 +182,24 @@ def sanitize(column: Column | str, config: SanitizerConfig | None = None, detect
     if c.unicode_normalization in ("NFC", "NFKC"):
         form = c.unicode_normalization
         steps.append(change(f"IF({affected_sql('s.t')}, {compatibility_sql('s.t', form)}, s.t)", f"Text was Unicode normalized ({form})"))
+    col = F.col(column) if isinstance(column, str) else column
+    out = col
+    if c.unicode_normalization in ("NFD", "NFKD"):  # no native form: the text leaves the JVM once, between the steps
+        for step in steps:
+            out = apply(out, "s", f"IF(s IS NULL, NULL, {step})")
+        # the text as the steps leave it, without lambdas: those cannot go to a Python worker
+        plain = col if c.max_length is None else F.left(col, F.lit(c.max_length))
+        if c.strip_null_bytes:
+            plain = F.regexp_replace(plain, r"\x00", "")
+        plain = F.regexp_replace(plain, CONTROL_KEEPING_BREAKS if keep else CONTROL_ALL, "")
+        pair = F.struct(out.alias("s"), exact_form(plain, c.unicode_normalization).alias("f"))
+        out = apply(pair, "p", "IF(p.s IS NULL, NULL, named_struct('o', p.s.o, 't', p.s.t, 'n', p.s.n, 'w', p.s.w, 'f', p.f))")
+        steps = [change("s.f", f"Text was Unicode normalized ({c.unicode_normalization})")]
     if c.escape_html:
         escaped = "s.t"
         for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
             escaped = f"replace({escaped}, {lit(old)}, {lit(new)})"
         steps.append(change(escaped, "HTML entities were escaped"))
-    col = F.col(column) if isinstance(column, str) else column
-    out = col
     for step in steps:
         out = apply(out, "s", f"IF(s IS NULL, NULL, {step})")
     out = apply(out, "s", "named_struct('text', s.t, 'was_modified', s.t != s.o, 'warnings', s.w, 'removed_chars', s.n)")
@@ -208,18 +221,18 @@ def text_stats(column: Column | str) -> Column:
     )
 
 
-def row_error(column: Column | str, max_length: int = MAX_TEXT) -> Column:
-    """Why a text cannot be processed, or NULL."""
+def row_error(column: Column | str, max_length: int | None = None) -> Column:
+    """Why a text cannot be processed, or NULL. Long texts are refused only where a length is given."""
+    long = f"WHEN length(x) > {max_length} THEN 'Text exceeds maximum length of {max_length} characters' " if max_length is not None else ""
     return apply(
         column,
         "x",
         "CASE WHEN x IS NULL OR x = '' THEN 'Text cannot be empty' "
-        f"WHEN length(x) > {max_length} THEN 'Text exceeds maximum length of {max_length} characters' "
-        f"WHEN x RLIKE {lit(r'\x00')} THEN 'Text contains invalid null bytes' END",
+        f"{long}WHEN x RLIKE {lit(r'\x00')} THEN 'Text contains invalid null bytes' END",
     )
 
 
-def quarantine(df: DataFrame, column: str, max_length: int = MAX_TEXT) -> tuple[DataFrame, DataFrame]:
+def quarantine(df: DataFrame, column: str, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Split rows into processable ones and ones with a reason; both stay lazy and whole."""
     checked = df.withColumn("row_error", row_error(column, max_length))
     return checked.filter("row_error IS NULL").drop("row_error"), checked.filter("row_error IS NOT NULL")
@@ -247,21 +260,21 @@ def suspicious(column: Column | str) -> Column:
     return apply(column, "x", f"coalesce({tests}, FALSE)")
 
 
-def file_error(name: Column | str, size: Column | str, content: Column | str) -> Column:
-    """Triage of a ``binaryFile`` row: size, name, first bytes, text content, PDF markers."""
+def file_error(name: Column | str, size: Column | str, content: Column | str, max_size: int | None = None) -> Column:
+    """Triage of a ``binaryFile`` row: name, first bytes, whole text content, PDF markers; size in bytes on demand."""
     n, s, c = (F.col(v) if isinstance(v, str) else v for v in (name, size, content))
     ext = F.lower(F.substring_index(n, ".", -1))
     magic = F.hex(F.substring(c, 1, 4))
     wrong = F.lit(False)
     for head, kinds in MAGIC.items():
         wrong = wrong | (ext.isin(*kinds) & (magic != F.lit(head)))
-    text = F.substring(c, 1, 10240).cast("string")
-    pdf = F.decode(F.substring(c, 1, 100_000), "ISO-8859-1")
+    text = c.cast("string")
+    pdf = F.decode(c, "ISO-8859-1")
     marked = F.lit(False)
     for marker in PDF_MARKERS:
         marked = marked | pdf.contains(marker)
     return (
-        F.when(s > MAX_FILE, F.lit("File exceeds maximum size of 500MB"))
+        F.when(F.lit(False) if max_size is None else s > max_size, F.lit(f"File exceeds maximum size of {max_size} bytes"))
         .when(s == 0, F.lit("File is empty"))
         .when(filename_error(n).isNotNull(), filename_error(n))
         .when(wrong, F.lit("File content does not match extension"))

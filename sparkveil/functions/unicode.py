@@ -78,12 +78,12 @@ def compatibility_sql(x: str, form: str = "NFKC") -> str:
         f"instr({lit(_pairs())}, concat({lit(ITEM)}, right(a, 1), m))"
     )
     compose = (
-        f"aggregate(slice(split(k, ''), 2, 64), left(k, 1), (a, m) -> "
+        f"aggregate(slice(split(k, ''), 2, length(k)), left(k, 1), (a, m) -> "
         + let("at", found, f"IF(at > 0, concat(left(a, length(a) - 1), substring({lit(_pairs())}, at + 3, 1)), concat(a, m))")
         + ")"
     )
     clusters = (
-        f"array_join(transform(split(regexp_replace(v, '(\\\\P{{M}}\\\\p{{M}}{{1,63}})', '{START}$1{EDGE}'), '{START}'), "
+        f"array_join(transform(split(regexp_replace(v, '(\\\\P{{M}}\\\\p{{M}}+)', '{START}$1{EDGE}'), '{START}'), "
         f"p -> IF(contains(p, '{EDGE}'), concat("
         + let("k", f"split(p, '{EDGE}')[0]", compose)
         + f", split(p, '{EDGE}')[1]), p)), '')"

@@ -90,7 +90,7 @@ FAMILIES: tuple[Family, ...] = (
     )),
     Family("DET7", 3, "redact_emails", "regex", 1.0, (
         _d("EMAIL", r'\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,61}[A-Za-z0-9])?\.[A-Za-z]{2,20}\b', "EMAIL", needs="at"),
-        _d("EMAIL_PARTIAL_LASTNAME", r'(?<![a-zA-Z0-9])\.[a-zA-Z]{2,20}@(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}\b', "EMAIL", needs="at"),
+        _d("EMAIL_PARTIAL_LASTNAME", r'(?<![a-zA-Z0-9])\.[a-zA-Z]{2,20}@[a-zA-Z0-9-](?:[a-zA-Z0-9-]*+(?:\.(?![a-zA-Z]{2,}+\b)[a-zA-Z0-9-]++)*+\.[a-zA-Z]{2,}+\b)++', "EMAIL", needs="at"),
     )),
     Family("DET8", 4, "redact_government_ids", "regex_high_specificity", 1.0, (
         _d("AADHAAR", r'\b[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}\b', "AADHAAR", icase=False, needs="digit"),
@@ -149,7 +149,7 @@ FAMILIES: tuple[Family, ...] = (
         _d("EMP_ID_AFTER_ASSET", r'(?:\[ASSET_ID\]|\[SERIAL\]|password)\s*[\t\s]+(\d{4,8})\b', "EMP_ID", None, "[asset_id]", "[serial]", "password", icase=False, needs="digit"),
         _d("EMP_ID_SPANISH_CONTEXT", r'(?:equipo|usuario|cuenta|asociado)\s+[^.]{0,50}?\s+(\d{6,7})\b', "EMP_ID", None, "equipo", "usuario", "cuenta", "asociado", needs="digit"),
         _d("EMP_ID_USER_LABELED", r'\b(?:user[\s._-]*(?:id)?|uid|id)[\s._:=-]+(\d{4,8})\b', "EMP_ID", None, "user", "id", needs="digit"),
-        _d("EMP_ID_UPN_NUMERIC", r'\b(\d{4,8})@(?:tcs|tcsapps|tcsappsdev|tcscomprod|tata|tataconsultancy)(?:\.[a-z]+)*\.com\b', "EMP_ID", None, "@", needs="digit"),
+        _d("EMP_ID_UPN_NUMERIC", r'\b(\d{4,8})@(?:tcs|tcsapps|tcsappsdev|tcscomprod|tata|tataconsultancy)(?:(?:\.(?!com\b)[a-z]++)*+\.com\b)++', "EMP_ID", None, "@", needs="digit"),
         _d("EMP_ID_UPN_PREFIXED", r'\b(?:ad|iada|cad|ws|pr|sa|oth|vo|da|di)\.(\d{4,8})@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', "EMP_ID", None, "@", needs="digit"),
         _d("EMP_ID_UPN_GENERAL", r'\b[a-z]{1,5}\.(\d{4,8})@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', "EMP_ID", None, "@", needs="digit"),
         _d("EMP_ID_PREFIXED_EXTENDED", r'\b(?:ad|iada|cad|ws|pr|sa|oth|vo|da|di)\.(\d{4,8})\b', "EMP_ID", None, ".", needs="digit"),
@@ -183,9 +183,9 @@ FAMILIES: tuple[Family, ...] = (
         _d("HOSTNAME_MEDIA_SERVER", r'(?:media\s*server|backup\s*server|client)\s+([A-Z]{2,}[A-Z0-9]+(?:DB|SRV|PRI|SEC)?\d*)\b', "HOSTNAME", "MEDIA", "server", "client"),
     )),
     Family("DET16", 9, "redact_hostnames", "regex", 1.0, (
-        _d("FQDN_INTERNAL", r'\b([a-zA-Z][a-zA-Z0-9-]{0,62}(?:\.[a-zA-Z][a-zA-Z0-9-]{0,62})+\.(?:local|internal|corp|lan|intra|private|home))\b', "HOSTNAME", "INTERNAL", ".local", ".internal", ".corp", ".lan", ".intra", ".private", ".home", needs="dot"),
+        _d("FQDN_INTERNAL", r'\b([a-zA-Z][a-zA-Z0-9-]{0,62}+(?:\.[a-zA-Z][a-zA-Z0-9-]{0,62}+(?:\.(?!(?:local|internal|corp|lan|intra|private|home)\b)[a-zA-Z][a-zA-Z0-9-]{0,62}+)*+(?=\.(?:local|internal|corp|lan|intra|private|home)\b))++\.(?:local|internal|corp|lan|intra|private|home))\b', "HOSTNAME", "INTERNAL", ".local", ".internal", ".corp", ".lan", ".intra", ".private", ".home", needs="dot"),
         _d("FQDN_LABELED", r'(?:server|host|hostname|fqdn|machine|node)[\s:=-]+([a-zA-Z][a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b', "HOSTNAME", "FQDN", "server", "host", "fqdn", "machine", "node", needs="dot"),
-        _d("FQDN", r'(?<![@:/])\b(?!www\.)([a-zA-Z][a-zA-Z0-9-]{0,62}(?:\.[a-zA-Z][a-zA-Z0-9-]{0,62}){2,})\b(?![@])', "HOSTNAME", "FQDN", needs="dot"),
+        _d("FQDN", r'(?<![@:/])\b(?!www\.)([a-zA-Z][a-zA-Z0-9-]{0,62}+(?:\.[a-zA-Z][a-zA-Z0-9-]{0,62}+(?:\.(?![a-zA-Z][a-zA-Z0-9-]{0,62}\b(?!@))[a-zA-Z][a-zA-Z0-9-]{0,62}+)*+(?=\.[a-zA-Z][a-zA-Z0-9-]{0,62}\b(?!@)))++\.[a-zA-Z][a-zA-Z0-9-]{0,62})\b(?![@])', "HOSTNAME", "FQDN", needs="dot"),
     )),
     Family("DET17", 10, "redact_ticket_ids", "itsm", 0.95, (
         _d("SERVICENOW_TICKET", r'\b(?:INC|RITM|REQ|CHG|PRB|TASK|SCTASK|KB|STRY|CTASK)(\d{7,10})\b', "TICKET_NUM", needs="digit"),
@@ -241,7 +241,7 @@ FAMILIES: tuple[Family, ...] = (
         _d("AGE", r'\b(?:age)[\s.:_-]*(?:is\s*)?\d{1,3}\s*(?:years?|yrs?|y/?o)?\b', "AGE", None, "age", needs="digit"),
     )),
     Family("DET25", 12, "redact_active_directory", "active_directory", 0.95, (
-        _d("LDAP_DN", r'\b(?:CN|OU|DC|UID)=[^,\s]+(?:,\s*(?:CN|OU|DC|UID)=[^,\s]+)+', "AD_NAME", tokens=("cn", "ou", "dc", "uid",)),
+        _d("LDAP_DN", r'\b(?:CN|OU|DC|UID)=[^,\s]++(?:,\s*+(?:CN|OU|DC|UID)=[^,\s]++)++', "AD_NAME", tokens=("cn", "ou", "dc", "uid",)),
         _d("SAM_ACCOUNT", r'\b[A-Za-z][A-Za-z0-9_-]{2,20}\\([A-Za-z][A-Za-z0-9._-]{2,30})\b', "AD_USER", None, icase=False, needs="backslash"),
         _d("WINDOWS_SID", r'\bS-1-\d{1,2}(?:-\d+){1,14}\b', "SID", None, "s-1-", icase=False, needs="digit"),
         _d("AD_UPN", r'\b[A-Za-z][A-Za-z0-9._-]+@[A-Za-z0-9-]+\.(?:local|internal|corp|ad|domain)\b', "AD_UPN", needs="at"),
@@ -257,8 +257,8 @@ FAMILIES: tuple[Family, ...] = (
         _d("SEAT_EXTENDED", r'\b(?:S\d+-\d+F-Z\d+-\d+|\d{1,2}F\s+ODC\s+\d+)\b', "SEAT", needs="digit"),
         _d("SEAT_AT_LOCATION", r'@[A-Z]{2,5}\s*[A-Z]?\d{1,3}(?:\s*,?\s*(?:Seat\s*(?:No\.?|Number)?\s*\d{1,4}))?', "LOCATION", None, "@", needs="digit"),
         _d("SEAT_NUMBER_LABELED", r'\b(?:Seat|Desk|Cubicle|Bay|Pod)\s*(?:No\.?|Number|#)?\s*:?\s*\d{1,4}\b', "SEAT", None, "seat", "desk", "cubicle", "bay", "pod", needs="digit"),
-        _d("LOCATION_UNDERSCORE_ODC", r'\b[A-Z]{2,4}\d?_(?:[A-Z0-9]{1,4}_)*(?:ODC\d*|[A-Z]?\d+F)(?:_[A-Z0-9]+)*\b', "LOCATION", None, "_"),
-        _d("LOCATION_UNDERSCORE_TOWER", r'\b(?:IND|USA|UK|EUR|APAC|EMEA|BLR|CHN|HYD|MUM|PUN|DEL)_[A-Z]{2,5}_[A-Z]{2,5}_[A-Z]?\d+(?:_[A-Z0-9_]+)*\b', "LOCATION", None, "_", needs="digit"),
+        _d("LOCATION_UNDERSCORE_ODC", r'\b[A-Z]{2,4}\d?_(?:(?!(?:ODC\d*+|[A-Z]?\d++F)(?=_|\b))[A-Z0-9]{1,4}+_)*+(?=(?:ODC\d*+|[A-Z]?\d++F)(?=_|\b))(?:[A-Z0-9]{1,4}+_(?:(?!(?:ODC\d*+|[A-Z]?\d++F)(?=_|\b))[A-Z0-9]{1,4}+_)*+(?=(?:ODC\d*+|[A-Z]?\d++F)(?=_|\b)))*+(?:ODC\d*+|[A-Z]?\d++F)(?:_[A-Z0-9]++)*+\b', "LOCATION", None, "_"),
+        _d("LOCATION_UNDERSCORE_TOWER", r'\b(?:IND|USA|UK|EUR|APAC|EMEA|BLR|CHN|HYD|MUM|PUN|DEL)_[A-Z]{2,5}_[A-Z]{2,5}_[A-Z]?\d+(?:_[A-Z0-9_]+)?\b', "LOCATION", None, "_", needs="digit"),
         _d("LOCATION_FLOOR_PATTERN", r'\b[A-Z]{2,4}\d?_\d{1,2}F_[A-Z0-9]+\b', "LOCATION", None, "_", needs="digit"),
         _d("ORG_SEAT_PATTERN", r'\b([A-Za-z]\d{1,2}[Ff][\s-]?\d{2,3})\b', "SEAT", None, "f", needs="digit"),
         _d("DESK_LOCATION", r'\b(?:desk|seat|cubicle|workstation|bay|pod)[\s#:_-]*([A-Z]?\d{1,4}[A-Z]?)\b', "DESK_NUM", None, "desk", "seat", "cubicle", "workstation", "bay", "pod", needs="digit"),

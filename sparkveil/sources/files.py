@@ -183,7 +183,7 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def triage_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, error)`` of binary files; only the leading bytes are looked at."""
+    """``(path, length, error)`` of binary files."""
     files = spark.read.format("binaryFile").load(path)
     name = F.substring_index("path", "/", -1)
     return files.select("path", "length", file_error(name, F.col("length"), F.col("content")).alias("error"))
