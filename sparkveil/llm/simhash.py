@@ -139,8 +139,10 @@ def links(nodes: DataFrame) -> DataFrame:
     crowd = met.where("fp is not null").select("fp").repartition(parts, "fp")
     balls = full_variants(crowd)
     centre = balls.where("near").groupBy("variant").agg(F.min("fp").alias("a"))
+    # radius 2 is for distance 3 alone: whatever is closer meets in balls of radius 1 and is linked there
+    wanted = F.col("near") | (F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) == RADIUS)
     # the planner cannot know how many variants a row gives, and would broadcast them
-    stars = balls.join(centre.hint("merge"), "variant").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    stars = balls.join(centre.hint("merge"), "variant").where((F.col("fp") != F.col("a")) & wanted).select("a", F.col("fp").alias("b")).distinct()
     return stored(pairs.unionByName(stars), f"{folder}/links")
 
 
