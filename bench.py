@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkveil.operators import audit, redaction
 from sparkveil.queries import QUERIES
 from sparkveil.queries.detectors import table
+from sparkveil.sources.files import INPUT_PARTITIONS
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -34,6 +35,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "16")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(INPUT_PARTITIONS, CPUS)  # each test table is one small file
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

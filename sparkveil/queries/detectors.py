@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, on all cores even when its file is a single split."""
+    """A table, dealt out where the session asks for it."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

@@ -171,14 +171,20 @@ def details_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.inline_outer("details.redactions"))
 
 
+_CLOSING = (
+    r"(?i)\b(?:thanks?(?:\s{0,5}(?:and|&)\s{0,5}regards?)?|thank\s{0,5}you|regards?|best(?:\s{0,5}regards?)?"
+    r"|warm(?:\s{0,5}regards?)?|sincerely|cheers)\b"
+)
+
+
 @query(
     "signature_cut",
-    r"SELECT conv_id, turn, trim(regexp_replace(CASE WHEN turn % 2 = 0 THEN 'ok ' || turn || ' [SIGNATURE]' ELSE text END, '\s{2,}', ' ', 'g'), chr(32) || chr(10)) AS text_cleaned FROM conversations WHERE NOT regexp_matches(lower(text), 'thank|regard|best|warm|sincerely|cheers')",
+    rf"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'ok ' || turn || chr(10) || 'Best regards, ' || text ELSE text END AS t FROM conversations),
+    p AS (SELECT *, string_split_regex(t, '{_CLOSING}') AS p FROM t)
+    SELECT conv_id, turn, trim(regexp_replace(CASE WHEN len(p) > 1 THEN p[1] || ' [SIGNATURE]' ELSE t END, '\s{{2,}}', ' ', 'g'), chr(32) || chr(10)) AS text_cleaned FROM p""",
 )
 def signature_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter(
-        "NOT (lower(text) RLIKE 'thank|regard|best|warm|sincerely|cheers')"
-    ).selectExpr("conv_id", "turn", "IF(turn % 2 = 0, 'ok ' || turn || chr(10) || 'Best regards, ' || text, text) AS text")
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "IF(turn % 2 = 0, 'ok ' || turn || chr(10) || 'Best regards, ' || text, text) AS text")
     config = only("SPN9", enable_data_cleaning=False)
     return redaction.redact_columns(rows, ["text"], config).select("conv_id", "turn", "text_cleaned")
 

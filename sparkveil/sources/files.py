@@ -55,24 +55,19 @@ def cleaned_path(path: str) -> str:
     return f"{stem}_cleaned{ext}"
 
 
-SPREAD_BYTES = 64 * 1024
+#: Session setting: partitions that a table is dealt into before detection. Unset, nothing is shuffled.
+INPUT_PARTITIONS = "spark.sparkveil.inputPartitions"
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Use the cores when the input comes in fewer splits than there are cores.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """`df` in `parts` partitions; without a number here or in the session, as its files split.
 
-    Detection is heavy on the processor and light on data. Large inputs have enough splits
-    and are left alone, so that nothing is shuffled there; small ones get no more parts than
-    their size justifies.
+    Detection is heavy on the processor and light on data, so an input of one split may gain from
+    being dealt out. Where files have splits enough, `spark.sql.files.maxPartitionBytes` does that
+    without a shuffle, so this is left to whoever knows the input.
     """
-    if df.isStreaming:
-        return df
-    now = df.rdd.getNumPartitions()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    want = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
-    if now >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
+    parts = parts or int(df.sparkSession.conf.get(INPUT_PARTITIONS, "0"))
+    return df.repartition(parts) if parts > 0 and not df.isStreaming else df
 
 
 def process(
@@ -84,15 +79,16 @@ def process(
     names: NameLists | None = None,
     in_place: bool = False,
     whole: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
     """Read by extension, redact, write in the same format. Returns what was written.
 
     CSV, Parquet and ORC get ``<column>_cleaned`` columns. JSON with columns named does the
     same for top-level text fields; without, every text leaf is redacted. Text goes line by
-    line unless ``whole``; HTML keeps its markup.
+    line unless ``whole``; HTML keeps its markup. ``parts`` deals the input out first.
     """
     kind = kind_of(path)
-    df = spread(read_any(spark, path, whole))
+    df = spread(read_any(spark, path, whole), parts)
     if kind == "html":
         done = redact_html(df, "html", config, names)
     elif kind == "text":
