@@ -86,6 +86,30 @@ def entity_findings(entities: DataFrame, config: RedactionConfig | None = None,
     )
 
 
+def _resolved(rows: DataFrame, key: str, extra: DataFrame, plan: Plan, extra_layer: int) -> DataFrame:
+    """`rows` (candidates of the rules in `__c`) with the kept findings of both sides in `__k`."""
+    place = sum(1 for r in plan.rows if r.family.layer < extra_layer)
+    grouped = extra.groupBy(key).agg(
+        F.collect_list(
+            F.struct(
+                F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(place).alias("ord"), "original",
+                "replacement", "pi_type", F.col("confidence").cast("double").alias("confidence"), "method",
+            )
+        ).alias("__e")
+    )
+
+    def placed(column: str, order):
+        return F.transform(
+            F.coalesce(column, F.array().cast(CANDIDATE)),
+            lambda c: F.struct(c.start.alias("s"), (c.start - c.end).alias("n"), order(c.ord).alias("o"), c.end.alias("e"), c.alias("c")),
+        )
+
+    # rules at or after the extra layer move back one place, so that ties follow the layers
+    rules = placed("__c", lambda o: F.when(o >= place, o + 1).otherwise(o))
+    both = rows.join(grouped, key, "left").withColumn("__z", F.array_sort(F.concat(rules, placed("__e", lambda o: o))))
+    return both.withColumn("__k", apply("__z", "z", f"transform({S.resolve('z')}, i -> z[i].c)")).drop("__c", "__e", "__z")
+
+
 def merge_candidates(
     df: DataFrame,
     column: str,
@@ -102,71 +126,88 @@ def merge_candidates(
     the text side; a document's findings are bounded by the length of its text.
     """
     plan = Plan(config, names)
-    place = sum(1 for r in plan.rows if r.family.layer < extra_layer)
     rules = run_stages(df.select(key, column), {"__c": column}, plan.candidates()).drop(column)
-    grouped = extra.groupBy(key).agg(
-        F.collect_list(
-            F.struct(
-                F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(place).alias("ord"), "original",
-                "replacement", "pi_type", F.col("confidence").cast("double").alias("confidence"), "method",
-            )
-        ).alias("__e")
-    )
-    both = rules.join(grouped, key, "left")
-    none = F.array().cast(CANDIDATE)
-    every = F.concat(F.coalesce("__c", none), F.coalesce("__e", none))
-    # rules at or after the extra layer move back one place, so that ties follow the layers
-    spans = both.select(key, F.transform(
-        every,
-        lambda c: F.struct(
-            c.start.alias("s"),
-            (c.start - c.end).alias("n"),
-            F.when((c.ord >= place) & (c.method != "ner"), c.ord + 1).otherwise(c.ord).alias("o"),
-            c.end.alias("e"),
-            c.alias("c"),
-        ),
-    ).alias("z"))
-    spans = spans.withColumn("z", F.array_sort("z"))
-    kept = spans.select(key, apply("z", "z", f"transform({S.resolve('z')}, i -> z[i].c)").alias("k"))
-    return kept.select(key, F.inline_outer("k")).filter("start IS NOT NULL").drop("ord")
+    kept = _resolved(rules, key, extra, plan, extra_layer)
+    return kept.select(key, F.inline_outer("__k")).filter("start IS NOT NULL").drop("ord")
+
+
+def redact_with(
+    df: DataFrame,
+    column: str,
+    key: str,
+    extra: DataFrame,
+    config: RedactionConfig | None = None,
+    names: NameLists | None = None,
+    extra_layer: int = 14,
+    suffix: str = "_cleaned",
+) -> DataFrame:
+    """``df`` with ``<column><suffix>``: rule findings and those of ``extra`` written into the text.
+
+    ``extra`` is as in :func:`merge_candidates`: entities, names from a table or any other
+    findings. Null stays null and blank stays as it is; a row without a key gets the rules alone.
+    """
+    plan = Plan(config, names)
+    rows = run_stages(df.withColumn("__x", F.col(column).cast("string")), {"__c": "__x"}, plan.candidates())
+    rows = run_stages(rows, {"__s": "__x"}, plan.text_stages())
+    rows = _resolved(rows, key, extra, plan, extra_layer)
+    kept = F.transform("__k", lambda c: F.struct(c.start.alias("s"), c.end.alias("e"), c.replacement.alias("tok")))
+    state = F.struct(F.col("__s.x").alias("x"), F.col("__s.t").alias("t"), kept.alias("k"))
+    rows = rows.withColumn("__s", F.when(F.col("__s").isNotNull(), state))
+    done = run_stages(rows, {"__r": "__s"}, [*plan.rewrite_stages(), "s.r"])
+    return done.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce("__r", "__x").alias(f"{column}{suffix}"))
+
+
+#: Parts that the rows of one word are dealt over, so that a hot name is not one task's work.
+SALTS = 16
 
 
 def dictionary_findings(
     df: DataFrame, column: str, key: str, names: DataFrame, name: str = "name", config: RedactionConfig | None = None
 ) -> DataFrame:
-    """Capitalised phrases that hold a name from a table of any size.
+    """Phrases that hold a name from a table of any size, overlaps resolved.
 
-    Phrases are found without a list, then their words are joined with the table; a phrase
-    counts once however many of its words are known. Phrase words are pre-aggregated to
-    distinct words before the join, so a hot word crosses the network once per task.
+    The three rules of the plan form: capitalised phrases of two words or more, phrases in
+    capitals, and single names behind a lead-in word. They are found without a list. The table
+    is first cut down to the words that occur (distinct words, aggregated before the shuffle);
+    what is left is joined back over ``SALTS`` parts of each word. ``key`` is unique.
     """
     cfg = config or RedactionConfig()
     family = next(f for f in catalog.FAMILIES if f.ident == "NAM5")
-    wide = {d.name: d for d in family.detectors}
+    rules = [d for d in family.detectors if d.name in ("CAPITALISED_NAME", "UPPER_NAME", "SINGLE_NAME")]
+    at = {d.name: k for k, d in enumerate(rules)}
     text = run_stages(df.select(key, column), {"__t": column}, Plan(cfg).cleaned())
     found = text.select(
-        key,
-        F.inline_outer(apply("__t", "t", f"IF(t IS NULL, {S.NONE}, {S.find('t', wide['CAPITALISED_NAME'])})")),
+        key, F.inline_outer(apply("__t", "t", f"IF(t IS NULL, {S.NONE}, {S.find('t', *rules)})"))
     ).filter("s IS NOT NULL")
-    parts = F.split("v", r"\s+")
     lead = F.array(*[F.lit(w) for w in W.LEAD_IN_WORDS])
     cut = F.aggregate(
-        parts,
+        F.split("v", r"\s+"),
         F.lit(0),
         lambda a, w: F.when((a < 0), a).when(F.array_contains(lead, F.lower(w)), a + F.length(w) + 1).otherwise(-a - 1),
     )
+    capital = F.col("o") == at["CAPITALISED_NAME"]
+    one = F.col("o") == at["SINGLE_NAME"]
     phrases = (
-        found.withColumn("__cut", cut)
+        found.withColumn("__cut", F.when(capital, cut).otherwise(0))
         .withColumn("__cut", F.when(F.col("__cut") < 0, -F.col("__cut") - 1).otherwise(F.col("__cut")))
         .withColumn("original", F.expr("substring(v, __cut + 1, length(v))"))
-        .select(key, (F.col("s") + F.col("__cut")).alias("start"), F.col("e").alias("end"), "original")
-        .withColumn("__w", F.split(F.lower("original"), r"\s+"))
-        .filter((F.size("__w") >= 2) & ~F.element_at("__w", -1).isin(*W.PLACE_WORDS))
+        .select(key, (F.col("s") + F.col("__cut")).alias("start"), F.col("e").alias("end"), "o", "original")
+        .withColumn("__w", F.when(one, F.array(F.lower("original"))).otherwise(F.split(F.lower("original"), r"\s+")))
+        .filter(
+            F.when(capital, (F.size("__w") >= 2) & ~F.element_at("__w", -1).isin(*W.PLACE_WORDS))
+            .when(one, ~F.lower("original").isin(*W.NOT_A_SINGLE_NAME))
+            .otherwise(True)
+        )
     )
-    exploded = phrases.select(key, "start", "end", "original", F.explode("__w").alias("word"))
-    known = dictionary_hits(exploded, names, "word", name)
-    return known.dropDuplicates([key, "start", "end"]).select(
-        key, "start", "end", "original",
+    exploded = phrases.select(key, "start", "end", "o", "original", F.explode(F.array_distinct("__w")).alias("word"))
+    known = dictionary_hits(exploded.select("word").distinct(), names, "word", name)
+    known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = exploded.withColumn("__salt", F.pmod(F.xxhash64(key, "start"), F.lit(SALTS)).cast("int")).join(known, ["word", "__salt"], "left_semi")
+    order = F.struct(F.col("start").alias("s"), (F.col("start") - F.col("end")).alias("n"), "o", F.col("end").alias("e"), "original")
+    kept = hits.groupBy(key).agg(F.sort_array(F.collect_set(order)).alias("z"))
+    kept = kept.select(key, F.inline(apply("z", "z", f"transform({S.resolve('z')}, i -> z[i])")))
+    return kept.select(
+        key, F.col("s").alias("start"), F.col("e").alias("end"), "original",
         F.lit(token(cfg, "NAME")).alias("replacement"), F.lit("NAME").alias("pi_type"),
         F.lit(family.confidence).alias("confidence"), F.lit(family.method).alias("method"),
     )
@@ -179,7 +220,7 @@ def near_pairs(left: DataFrame, right: DataFrame, key: str, distance: int = 100,
     join becomes an equi-join on document and position bucket, so a document with very many
     spans spreads over many tasks and no two far spans ever meet.
     """
-    reach = distance // bucket + 1
+    reach = -(-distance // bucket)
     spread = left.select("*", F.explode(F.sequence(
         F.floor(F.col("start") / bucket) - reach, F.floor(F.col("start") / bucket)
     )).alias("__b"))

@@ -582,6 +582,21 @@ def dictionary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", F.col("start").cast("bigint").alias("start"), "original")
 
 
+@query(
+    "redacted_with_names",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'Dear [NAME] and [EMAIL]' ELSE 'Dear Abc Xyz and [EMAIL]' END AS text_cleaned FROM customer",
+)
+def redacted_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "'Dear ' || CASE c_custkey % 3 WHEN 0 THEN 'Rahul Xyz' WHEN 1 THEN 'EMMA PARK' ELSE 'Abc Xyz' END || ' and u' || c_custkey || '@mail.example.com' AS text",
+    )
+    names = table(spark, sf_dir, "nation").selectExpr("CASE WHEN n_nationkey % 2 = 0 THEN 'Rahul' ELSE 'EMMA' END AS name")
+    config = only("DET7", enable_data_cleaning=False)
+    extra = relational.dictionary_findings(rows, "text", "c_custkey", names, config=config)
+    return relational.redact_with(rows, "text", "c_custkey", extra, config).select("c_custkey", "text_cleaned")
+
+
 # -- nested ----------------------------------------------------------------------
 
 _JSON = "'{\"who\":{\"mail\":\"u' || c_custkey || '@mail.example.com\",\"n\":' || c_custkey || '},\"tags\":[\"x\",\"10.0.0.1\"]}'"

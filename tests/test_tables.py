@@ -78,7 +78,7 @@ def test_name_sources(spark, tmp_path):
 
 
 def test_dictionary_join_equals_plan_words(spark):
-    rows = [(i, t) for i, t in enumerate(["Dear Rahul Xyz", "Abc Emma Park", "Hello Contact Rahul Emma", "Abc Xyz", "Emma Rao Rahul"])]
+    rows = [(i, t) for i, t in enumerate(["Dear Rahul Xyz", "Abc Emma Park", "Hello Contact Rahul Emma", "Abc Xyz", "Emma Rao Rahul", "RAHUL KUMAR called", "dear Rahul, hello", "hi Emma Park and EMMA STONE", None, ""])]
     df = spark.createDataFrame(rows, "k int, t string")
     lists = NameLists(frozenset({"rahul", "emma"}), frozenset())
     names = spark.createDataFrame([("Rahul",), ("emma",), ("EMMA",)], "name string")
@@ -87,6 +87,14 @@ def test_dictionary_join_equals_plan_words(spark):
     assert joined == plan
 
 
+def test_redact_with_findings_of_a_table(spark):
+    rows = [(1, "ask RAHUL KUMAR or a.b@mail.example.com"), (2, "dear Emma, hello"), (3, None), (4, "  "), (None, "c.d@mail.example.com")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    extra = relational.dictionary_findings(df, "t", "k", spark.createDataFrame([("rahul",), ("emma",)], "name string"))
+    got = {(r["k"], r["t_cleaned"]) for r in relational.redact_with(df, "t", "k", extra, only("DET7")).collect()}
+    assert got == {(1, "ask [NAME] or [EMAIL]"), (2, "dear [NAME], hello"), (3, None), (4, "  "), (None, "[EMAIL]")}
+
+
 def test_audit_report_and_errors(spark):
     df = spark.createDataFrame([("a@b.com c@d.com",), ("10.0.0.1",), (None,), ("",)], "t string")
     row = audit.report(df, "t", only("DET7", "DET14"), seconds=2.0).first()
