@@ -32,6 +32,8 @@ RADIUS = 3
 BANDS = 4
 #: Fingerprints per emitted Arrow batch, and shingles per counted block of one text.
 _EMIT, _BLOCK = 1024, 1 << 15
+#: Texts of a block that is compared with others, and their bytes, at most about.
+_MEMBERS, _BYTES = 256, 8 << 20
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42, once: bool = False) -> int:
@@ -175,12 +177,14 @@ def jaccard(one: str, two: str, shingle: int = 5) -> float:
 
 
 def similar_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
-    """(a, b): linked ids whose texts share at least `least` of their `shingle`-word shingles.
+    """(a, b): ids whose texts share at least `least` of their `shingle`-word shingles.
 
     Fingerprints over distinct single words are close wherever a few words differ, so their links
-    are the candidates, once per seed (a pair that one seed sets apart, the other may not); only
-    pairs that pass the exact comparison stay. Texts of one fingerprint are compared with the
-    smallest id that has it.
+    give the candidates, once per seed (a pair that one seed sets apart, the other may not). Links
+    and texts of one fingerprint are compared with a centre first. A centre that is not similar to
+    two texts says nothing about these two, so whatever is not connected by then is compared with
+    all others of its group of candidates. The pairs have the components of all similar pairs
+    within a group; those that follow from others are left out.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
@@ -204,7 +208,73 @@ def similar_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     ids = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{folder}/ids")
     texts = stored(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), f"{folder}/texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("one")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("two")), "y")
-    return both.select("x", "y", "one", "two").mapInArrow(verify, "a long, b long")
+    stars = stored(both.select("x", "y", "one", "two").mapInArrow(verify, "a long, b long"), f"{folder}/stars")
+    return stars.unionByName(_unconnected(pairs, stars, texts, shingle, least, folder))
+
+
+def _unconnected(pairs: DataFrame, stars: DataFrame, texts: DataFrame, shingle: int, least: float, folder: str) -> DataFrame:
+    """(a, b): similar pairs between the parts that `stars` leaves of the groups that `pairs` make.
+
+    Each group is dealt into blocks and each two blocks are one task's work. A part of many texts
+    has blocks of its own, which are not compared with each other.
+    """
+    groups = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("k"))
+    parts = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    groups = groups.join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    # of two members the only pair has been compared
+    groups = groups.join(groups.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("n > 2 and lo < hi").select("k"), "k")
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    groups = groups.join(sizes, "doc_id")
+    large = groups.groupBy("k", "part").agg(F.count("*").alias("m")).where(F.col("m") > _MEMBERS).select("k", "part", F.lit(True).alias("large"))
+    members = groups.join(large, ["k", "part"], "left").withColumn("own", F.when(F.col("large"), F.col("part")))
+    members = stored(members.select("doc_id", "k", "part", F.col("own").isNotNull().alias("large"), F.coalesce("own", "k").alias("own"), "size"), f"{folder}/members")
+    wanted = F.greatest(F.ceil(F.count("*") / _MEMBERS), F.ceil(F.sum("size") / _BYTES))
+    of = ["k", "large", "own"]
+    members = members.join(members.groupBy(*of).agg(wanted.alias("blocks")), of).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    block = F.row_number().over(Window.partitionBy("k").orderBy("large", "own", "salt"))
+    blocks = stored(members.select(*of, "salt").distinct().withColumn("block", block), f"{folder}/blocks")
+    one, two = (blocks.select("k", F.col("large").alias(f"large{c}"), F.col("own").alias(f"own{c}"), F.col("block").alias(c)) for c in "pq")
+    work = one.join(two.hint("merge"), "k").where((F.col("p") <= F.col("q")) & ~(F.col("largep") & F.col("largeq") & (F.col("ownp") == F.col("ownq"))))
+    work = work.select("k", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    dealt = members.join(blocks, [*of, "salt"]).select("k", "block", "doc_id", "part").join(work.hint("merge"), ["k", "block"])
+    dealt = dealt.join(texts.hint("merge"), "doc_id").select("k", "p", "q", "block", "doc_id", "part", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        block, ids, labels = (group.column(c).to_numpy() for c in ("block", "doc_id", "part"))
+        inside, labels = group.column("p")[0] == group.column("q")[0], labels.copy()
+        a, b = [], []
+        if labels.min() < labels.max():
+            hashed = [_shingle_hashes(t.as_py(), shingle) for t in group.column("text")]
+            size = np.array([len(h) for h in hashed])
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            values, at = np.unique(np.concatenate(hashed), return_inverse=True)
+            mine, places = np.zeros(len(values), dtype=bool), np.arange(len(ids))
+            for x in range(len(ids)):
+                other = (places > x) & (labels != labels[x])
+                other &= inside | (block != block[x])
+                if not other.any():
+                    continue
+                own = at[starts[x] : starts[x] + size[x]]
+                mine[own] = True
+                shared = np.add.reduceat(mine[at], starts, dtype=np.int64)
+                mine[own] = False
+                for y in np.flatnonzero(other & (shared / (size[x] + size - shared) >= least)):
+                    if labels[y] != labels[x]:
+                        a.append(ids[x])
+                        b.append(ids[y])
+                        labels[labels == labels[y]] = labels[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("k", "p", "q").applyInArrow(compare, "a long, b long")
+
+
+def _shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles that `jaccard` compares."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    shingles = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)), strict=False)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s)) for s in shingles), dtype=np.uint64))
 
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
