@@ -28,6 +28,8 @@ WORDS, LEAST_COUNT = 30_000, 3
 EM_STEPS = 6
 #: Relative gap of a domain's tokens that ends the steps, and the largest number of steps.
 TOLERANCE, MOST_STEPS = 1e-3, 80
+#: Newton steps at most, and totals that are tried for rates of 1 or more, each a quarter higher.
+MOST_NEWTON, MOST_TOTALS = 20, 8
 #: Words that one block of the EM holds.
 _BLOCK = 200_000
 
@@ -115,11 +117,11 @@ def with_shares(docs: DataFrame, model: WordModel, text: str = "text", keep_text
     return docs.select(*rest, text_of(text).alias(given)).mapInArrow(add, schema)
 
 
-def rates_after(shares: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with these shares: from 1, each step moves along the shares and stays >= 0."""
+def rates_after(shares: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> np.ndarray:
+    """Rates of documents with these shares: from 1, each step moves along the shares and stays >= `least`."""
     rates = np.ones(len(shares))
     for step in steps:
-        rates = np.maximum(0.0, rates - shares @ step)
+        rates = np.maximum(least, rates - shares @ step)
     return rates
 
 
@@ -127,14 +129,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
 
 
-def _sums(rows: DataFrame, width: int, steps: list[np.ndarray], second: bool = False) -> np.ndarray:
-    """Expected words per domain at the rates after `steps`; with `second` the shares' moments."""
+def _sums(rows: DataFrame, width: int, steps: list[np.ndarray], second: bool = False, least: float = 0.0) -> np.ndarray:
+    """Expected words per domain at the rates after `steps`; with `second` the moments of the shares
+    of documents that are above `least`."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * (width if second else 1))
         for batch in batches:
             shares, n = _matrix(batch.column(1), width), batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-            total += ((shares * n[:, None]).T @ shares).ravel() if second else (rates_after(shares, steps) * n) @ shares
+            if second and steps:
+                n = np.where(rates_after(shares, steps, least) > least, n, 0.0)
+            total += ((shares * n[:, None]).T @ shares).ravel() if second else (rates_after(shares, steps, least) * n) @ shares
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
 
     found = {r["k"]: r["v"] for r in rows.mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
@@ -142,6 +147,77 @@ def _sums(rows: DataFrame, width: int, steps: list[np.ndarray], second: bool = F
     return np.array([found.get(k, 0.0) for k in range(size)])
 
 
+def _lowest(rows: DataFrame, width: int, slope: np.ndarray) -> float:
+    """The smallest shares @ slope of all documents."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([float((_matrix(batch.column(1), width) @ slope).min())])], names=["v"])
+
+    return rows.mapInArrow(add, "v double").agg(F.min("v")).first()[0]
+
+
+def _solved(moments: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """x of moments @ x = wanted, scaled per domain, so that small domains count as much as large ones."""
+    size = np.sqrt(np.maximum(np.diag(moments), 1e-300))
+    return np.linalg.lstsq(moments / np.outer(size, size), wanted / size, rcond=1e-12)[0] / size
+
+
+def _gap(got: np.ndarray, target: np.ndarray) -> float:
+    """The largest relative gap of a domain; one that is to have no words counts against all of them."""
+    return float((np.abs(got - target) / np.where(target > 0, target, target.sum())).max())
+
+
+def _newton(rows: DataFrame, width: int, moments: np.ndarray, target: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Steps to the targets, exact at once unless rates meet `least`; what they give."""
+    # shares sum to 1, so this step leads from rates of 1 to shares @ slope
+    steps = [1 - _solved(moments, target)]
+    got = _sums(rows, width, steps, least=least)
+    for _ in range(MOST_NEWTON):
+        if _gap(got, target) <= TOLERANCE:
+            break
+        step = _solved(_sums(rows, width, steps, second=True, least=least).reshape(width, width), got - target)
+        for part in (1.0, 0.5, 0.25, 0.125):
+            now = _sums(rows, width, [*steps, step * part], least=least)
+            if _gap(now, target) < _gap(got, target):
+                steps, got = [*steps, step * part], now
+                break
+        else:
+            break
+    return steps, got
+
+
+def solve_keeping(rows: DataFrame, width: int, weights: np.ndarray | None = None, power: float = 0.7) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """As `solve` without a total, but with a rate of 1 or more for every document.
+
+    With moments M and M @ u = weights, rates in proportion to shares @ u meet the weights at any
+    total; it is raised until none is below 1. Where some shares @ u are not above 0, rates are held
+    at 1 and the total is raised until the others can meet it.
+    """
+    available = _sums(rows, width, [])
+    if available.sum() <= 0:
+        return [], available, available
+    weights = smoothed_weights(available, power) if weights is None else np.where(available > 0, weights, 0.0)
+    weights = weights / weights.sum()
+    moments = _sums(rows, width, [], second=True).reshape(width, width)
+    slope = _solved(moments, weights)
+    lowest = _lowest(rows, width, slope)
+    if lowest > 0:
+        steps = [1 - slope / lowest]
+        return steps, weights / lowest, _sums(rows, width, steps, least=1.0)
+    total = float((available[weights > 0] / weights[weights > 0]).max())
+    best = None
+    for _ in range(MOST_TOTALS):
+        steps, got = _newton(rows, width, moments, total * weights, 1.0)
+        if best is None or _gap(got, total * weights) < _gap(best[2], best[1]):
+            best = steps, total * weights, got
+        if _gap(got, total * weights) <= TOLERANCE:
+            break
+        total *= 1.25
+    return best
+
+
 def smoothed_weights(available: np.ndarray, power: float) -> np.ndarray:
     """Weights in proportion to a power of what there is: below 1, small domains gain."""
     weights = np.where(available > 0, np.power(np.maximum(available, 1e-12), power), 0.0)
@@ -180,33 +256,45 @@ def solve(rows: DataFrame, width: int, weights: np.ndarray | None = None, words_
     return steps, target, got
 
 
-def mixed(docs: DataFrame, model: WordModel, id_column: str = "doc_id", text: str = "text", keep_text: bool = False, **targets) -> DataFrame:
+def mixed(docs: DataFrame, model: WordModel, id_column: str = "doc_id", text: str = "text", keep_text: bool = False, keep_all: bool = False, **targets) -> DataFrame:
     """`docs` (with its text on demand) with n_words, shares, rate and copies.
 
     copies is the rate rounded up or down by a hash of the id, so that its mean is the rate. Empty
-    and null texts have the prior's shares and a rate like any other.
+    and null texts have the prior's shares and a rate like any other. With `keep_all` no rate is below
+    1. Without it and without targets, rates may fall a little below 1 where documents belong to
+    several domains; such a document has one copy.
     """
     names = {c: free_name(docs, c) for c in ("n_words", "shares", "rate", "copies")}
     scored = stored(with_shares(docs, model, text, keep_text), f"{shared_folder(docs.sparkSession)}/shares")
     width = len(model.domains)
-    steps, _, _ = solve(scored.select(names["n_words"], names["shares"]), width, **targets)
+    rows = scored.select(names["n_words"], names["shares"])
+    steps, _, _ = (solve_keeping if keep_all else solve)(rows, width, **targets)
+    least = 1.0 if keep_all else 0.0
     columns = scored.columns
     at = columns.index(names["shares"])
     schema = T.StructType([*scored.schema.fields, T.StructField(names["rate"], T.DoubleType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(_matrix(batch.column(at), width), steps))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(_matrix(batch.column(at), width), steps, least))], names=schema.names)
 
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), F.col(id_column)), 11) / F.lit(float(1 << 53))
     rate = F.col(names["rate"])
     copies = F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")
+    if targets.get("words_wanted") is None and targets.get("weights") is None:
+        copies = F.greatest(copies, F.lit(1).cast("long"))
     return scored.mapInArrow(add, schema).withColumn(names["copies"], copies)
 
 
 def repeated(docs: DataFrame, model: WordModel, id_column: str = "doc_id", text: str = "text", **targets) -> DataFrame:
-    """Each row of `docs` as often as its copies say, with the same columns."""
-    found = mixed(docs, model, id_column, text, keep_text=True, **targets)
+    """Each row of `docs` as often as its copies say, with the same columns; at least once where no total is asked for.
+
+    Weights of 0 ask for a loss, so rows may go then too.
+    """
+    weights = targets.get("weights")
+    keep_all = targets.get("words_wanted") is None and (weights is None or bool((np.asarray(weights) > 0).all()))
+    targets = {k: v for k, v in targets.items() if k != "words_wanted"} if keep_all else targets
+    found = mixed(docs, model, id_column, text, keep_text=True, keep_all=keep_all, **targets)
     copies = found.columns[-1]
     times = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
     return found.where(F.col(copies) > 0).withColumn(free_name(found, "copy"), times).select(*docs.columns)

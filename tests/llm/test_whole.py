@@ -2,7 +2,9 @@
 
 import random
 
-from sparkveil.llm import simhash
+import numpy as np
+
+from sparkveil.llm import mixing, simhash
 
 
 def _edited(words, rng, share):
@@ -51,3 +53,43 @@ def test_near_copies_with_one_fingerprint(spark, monkeypatch):
     texts = [(1, "quite another text of its own"), (2, " ".join(words)), (3, " ".join([*words, "end"])), (4, "and a third one")]
     kept = simhash.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 4]
+
+
+def _shares(rng, sizes, overlap):
+    """Documents of some domains; `overlap` of each belongs to the largest domain."""
+    out = []
+    for domain, size in enumerate(sizes):
+        for _ in range(size):
+            shares = np.full(len(sizes), 1e-6)
+            shares[domain] += 1
+            shares[0] += overlap * rng.random() * 2 if domain else 0
+            out.append((int(rng.integers(20, 400)), (shares / shares.sum()).tolist()))
+    return out
+
+
+def test_mixing_loses_no_document(spark):
+    """Documents of small domains carry some of the largest, which is then above its target."""
+    data = _shares(np.random.default_rng(4), (900, 60, 40), 0.08)
+    rows = spark.createDataFrame(data, "n_words long, shares array<double>")
+    steps, target, got = mixing.solve_keeping(rows, 3)
+    n, shares = np.array([x for x, _ in data], dtype=float), np.array([x for _, x in data])
+    rates = mixing.rates_after(shares, steps)
+    assert rates.min() >= 1 - 1e-9 and np.abs((rates * n) @ shares / target - 1).max() <= 1e-3 and np.allclose((rates * n) @ shares, got)
+    weights = (n @ shares) ** 0.7 / ((n @ shares) ** 0.7).sum()
+    assert np.allclose(target / target.sum(), weights) and target.sum() <= 1.2 * ((n @ shares) / weights).max()
+
+
+def test_mixing_keeps_every_row(spark):
+    """Three languages with texts in two of them: all rows come back, also from `mixed`."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = {k: [f"{k}{i}" for i in range(40)] for k in "abc"}
+    docs = []
+    for i in range(3000):
+        own = "a" if i % 20 > 1 else "b" if i % 20 else "c"
+        docs.append((i, " ".join(rng.choice(words[own if rng.random() > 0.15 else "a"]) for _ in range(20)), own))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    model = mixing.fit(docs, docs.select("doc_id"), F.col("lang"))
+    assert mixing.repeated(docs, model).select("doc_id").distinct().count() == 3000
+    assert mixing.mixed(docs, model).where("copies < 1").count() == 0
