@@ -9,6 +9,7 @@ reach the driver, and a document's rate follows from its shares and the list of
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -253,6 +254,10 @@ def solve(rows: DataFrame, width: int, weights: np.ndarray | None = None, words_
             break
         steps.append(scale * gap / steepest)
         got = _sums(rows, width, steps)
+    if _gap(got, target) > TOLERANCE:  # small domains take many plain steps
+        again, now = _newton(rows, width, moments * n, target, 0.0)
+        if _gap(now, target) < _gap(got, target):
+            steps, got = again, now
     return steps, target, got
 
 
@@ -268,7 +273,10 @@ def mixed(docs: DataFrame, model: WordModel, id_column: str = "doc_id", text: st
     scored = stored(with_shares(docs, model, text, keep_text), f"{shared_folder(docs.sparkSession)}/shares")
     width = len(model.domains)
     rows = scored.select(names["n_words"], names["shares"])
-    steps, _, _ = (solve_keeping if keep_all else solve)(rows, width, **targets)
+    steps, target, got = (solve_keeping if keep_all else solve)(rows, width, **targets)
+    if target.sum() > 0 and (gap := _gap(got, target)) > TOLERANCE:
+        far = ", ".join(f"{d}: {g:.0f} of {t:.0f}" for d, g, t in zip(model.domains, got, target, strict=True) if abs(g - t) > TOLERANCE * t)
+        warnings.warn(f"mixing misses its targets by up to {gap:.2%}; expected words {far}", stacklevel=2)
     least = 1.0 if keep_all else 0.0
     columns = scored.columns
     at = columns.index(names["shares"])

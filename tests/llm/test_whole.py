@@ -93,3 +93,14 @@ def test_mixing_keeps_every_row(spark):
     model = mixing.fit(docs, docs.select("doc_id"), F.col("lang"))
     assert mixing.repeated(docs, model).select("doc_id").distinct().count() == 3000
     assert mixing.mixed(docs, model).where("copies < 1").count() == 0
+
+
+def test_mixing_meets_the_target_of_a_tiny_domain(spark):
+    """One domain of two documents in 10002, with overlap: plain steps alone stay far from its target."""
+    rng = np.random.default_rng(6)
+    data = _shares(rng, (8000, 2000, 2), 0.2)
+    rows = spark.createDataFrame(data, "n_words long, shares array<double>").repartition(2)
+    steps, target, got = mixing.solve(rows, 3)
+    assert np.abs(got / target - 1).max() <= mixing.TOLERANCE
+    n, shares = np.array([x for x, _ in data], dtype=float), np.array([x for _, x in data])
+    assert np.allclose((mixing.rates_after(shares, steps) * n) @ shares, got)
