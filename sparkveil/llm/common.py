@@ -58,6 +58,25 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: `join_counted` deals keys that hold more than one of so many rows over several parts.
+SHARE = 1000
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str, spot: str) -> DataFrame:
+    """`rows` left-joined to `side`, which has each key once; keys are not null.
+
+    Keys that hold more than a 1000th of all rows are at most 1000, so their list is small at any
+    size and is broadcast. Each is dealt over as many parts as it holds thousandths, by the number in
+    `spot`, and its one row of `side` is given to each part. `rows` is read twice.
+    """
+    parts = F.ceil(F.col("n") * SHARE / F.lit(max(1, rows.count()))).cast("int")
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("parts", parts).where("parts > 1").select(key, "parts")
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.col(spot), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = side.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"], "left").drop("part")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that `df` does not have yet (case ignored)."""
     taken = {c.lower() for c in df.columns}

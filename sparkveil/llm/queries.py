@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkveil.llm import bpe, chat, exact, licenses, lines, mixing, neighbours, simhash, tokenids, toxicity
-from sparkveil.llm.common import shared_folder, table
+from sparkveil.llm import bpe, chat, codes, exact, licenses, lines, mixing, neighbours, secrets, simhash, tokenids, toxicity, trie
+from sparkveil.llm.common import join_counted, shared_folder, stored, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -208,3 +208,131 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     found = toxicity.score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@query(
+    """
+    WITH RECURSIVE t AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+            length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS turn, length(coalesce(text, '')) AS chars
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (SELECT conv_id, list({'id': sha256(turn), 'chars': chars} ORDER BY i) AS turns FROM t GROUP BY conv_id
+    ), crc(conv_id, s, i, r) AS (
+        SELECT conv_id, conv_id::VARCHAR, 0, 4294967295::BIGINT FROM own
+        UNION ALL
+        SELECT conv_id, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+        FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(r, ascii(s[i // 8 + 1])::BIGINT) ELSE r END AS x FROM crc WHERE i < 8 * length(s))
+    ), h AS (SELECT conv_id, xor(r, 4294967295) % 6 AS h FROM crc WHERE i = 8 * length(s)
+    ), full_ AS (
+        SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:h], c.turns[h + 1:]) AS turns
+        FROM own c JOIN h USING (conv_id) LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+    ), paths AS (
+        SELECT conv_id, d, len(turns) AS n, [x.id FOR x IN turns[1:d]] AS path, CASE WHEN d = 0 THEN 0 ELSE turns[d].chars END AS chars
+        FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM full_)
+    ), nodes AS (
+        SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+        FROM paths GROUP BY path, d
+    ), children AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+    ), counted AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (path, d)
+    ), above AS (SELECT *, unnest(range(0, d + 1)) AS up FROM counted
+    ), totals AS (
+        SELECT path[1:up] AS path, up AS d, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM above GROUP BY ALL
+    )
+    SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves,
+        CAST(t.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+    FROM counted c JOIN totals t USING (path, d) LEFT JOIN nodes p ON p.d = c.d - 1 AND p.path = c.path[1:c.d - 1]
+    """
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.build(trie.rebuilt(trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds, written out one after the other."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"""n{k} AS MATERIALIZED (
+                SELECT vec_id, part, min(d).e AS e, min(d).d AS d FROM (
+                    SELECT vec_id, v.part, {{'d': list_sum([(v.p[x] - b.p[x]) * (v.p[x] - b.p[x]) FOR x IN range(1, len(v.p) + 1)]), 'e': b.e}} AS d
+                    FROM cut v JOIN b{k} b ON v.part = b.part
+                ) GROUP BY vec_id, part
+            )"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""b{k + 1} AS MATERIALIZED (
+                    SELECT b.part, b.e, coalesce(f.p, b.p) AS p FROM b{k} b LEFT JOIN (
+                        SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY x) AS p FROM (
+                            SELECT part, e, x, sum(p[x])::BIGINT AS s, count(*) AS n FROM (
+                                SELECT cut.part, e, cut.p, unnest(range(1, len(cut.p) + 1)) AS x FROM cut JOIN n{k} USING (vec_id, part)
+                            ) GROUP BY part, e, x
+                        ) GROUP BY part, e
+                    ) f USING (part, e)
+                )"""
+            )
+    return f"""
+    WITH v AS (
+        SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), cut AS MATERIALIZED (
+        SELECT vec_id, part, v[part * w + 1 : part * w + w] AS p FROM (SELECT vec_id, v, len(v) // {parts} AS w, unnest(range(0, {parts})) AS part FROM v)
+    ), b0 AS MATERIALIZED (
+        SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, p FROM cut WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})
+    ), {", ".join(steps)}, books AS (
+        SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds}
+    ), codes AS (
+        SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM codes JOIN v USING (vec_id), books
+    """
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, and the error of its label."""
+    coded, codebooks = codes.compress(table(spark, sf_dir, "embeddings"), extra="label")
+    label = F.coalesce(F.concat(F.lit("="), "extra"), F.lit(""))
+    rows = stored(coded.select(F.col("id").alias("vec_id"), label.alias("label"), "code", "error", F.monotonically_increasing_id().alias("spot")))
+    sums = rows.groupBy("label").agg(F.sum("error").alias("label_error"))
+    digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return join_counted(rows, sums, "label", "spot").select(
+        "vec_id", digits.alias("code"), "error", "label_error", F.lit(codes.codebooks_digest(codebooks)).alias("codebooks_sha256")
+    )
+
+
+def _secrets_sql() -> str:
+    found = []
+    for k, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        found.append(
+            f"""SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, unnest(list_zip(regexp_extract_all(t, '{pattern}'), regexp_extract_all(t, '{pattern}', {rule.group}),
+                string_split_regex(t, '{pattern}')[1:len(regexp_extract_all(t, '{pattern}'))])) AS m, unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i, {rule.least} AS least FROM d"""
+        )
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+    ), m AS ({" UNION ALL ".join(found)}
+    ), places AS (
+        SELECT *, sum(length(m[3]) + length(m[1])) OVER (PARTITION BY doc_id, k ORDER BY i) AS at_end FROM m
+    ), spans AS (
+        SELECT doc_id, k, kind, CAST(at_end - length(m[1]) AS BIGINT) AS at_start, kind || ':' || CAST(at_end - length(m[1]) AS BIGINT) || ':' || CAST(at_end AS BIGINT) AS span
+        FROM places WHERE length(m[2]) >= least
+    )
+    SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        sha256(coalesce(string_agg(span, ',' ORDER BY at_start, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY at_start, k), '') AS spans
+    FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+    """
+
+
+@query(_secrets_sql())
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, through a new ledger."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark))
+    base = [rule.kind for rule in secrets.BASE]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(F.encode(written(F.filter("secrets", lambda s: s.kind.isin(base))), "utf-8"), 256)
+    return found.select("doc_id", *map(of, base), digest.alias("base_sha256"), written("secrets").alias("spans"))
