@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkveil.llm.common import free_name, slices, text_of
-from sparkveil.llm.pieces import PieceCache, byte_letters, splitter
+from sparkveil.llm.pieces import PieceCache, Remembered, byte_letters, splitter
 
 
 class Vocabulary:
@@ -31,20 +31,25 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
-        letter = byte_letters()
-        as_bytes = lambda name: "".join(chr(letter[c]) for c in name)
+        as_bytes = _byte_names()
         self.id = {as_bytes(name): number for name, number in data["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.bytes = {number: name.encode("latin-1") for name, number in self.id.items()}
-        self.bytes |= {number: name.encode() for name, number in self.special.items()}
         self.merge: dict[tuple[str, str], int] = {}
         self.rank = dict.fromkeys(self.id, -1)
         self.halves: dict[str, tuple[str, str]] = {}
+        own = {name: name for name in self.id}  # one string per token, however many merges name it
         for rank, merge in enumerate(data["model"]["merges"]):
-            left, right = map(as_bytes, merge.split(" ") if isinstance(merge, str) else merge)
-            self.merge[left, right] = rank
-            self.rank[left + right] = rank
-            self.halves[left + right] = (left, right)
+            left, right = (own.get(x, x) for x in map(as_bytes, merge.split(" ") if isinstance(merge, str) else merge))
+            halves, whole = (left, right), own.get(left + right, left + right)
+            self.merge[halves] = rank
+            self.rank[whole] = rank
+            self.halves[whole] = halves
+
+
+def _byte_names():
+    """A token's name in the file -> its bytes as a Latin-1 string."""
+    letter = byte_letters()
+    return lambda name: "".join(chr(letter[c]) for c in name)
 
 
 class Encoder:
@@ -56,7 +61,7 @@ class Encoder:
         for token in vocabulary.id:
             self.automaton.add_word(token, token)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits = Remembered(self.compatible, 150_000)
         self.shorter_of: dict[str, str] = {}
 
     def shorter(self, token: str) -> str:
@@ -67,15 +72,9 @@ class Encoder:
             found = self.shorter_of[token] = next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in known), "")
         return found
 
-    def compatible(self, left: str, right: str) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) >= 100_000:
-                self.fits.clear()
-            found = self.fits[left, right] = self._compatible(left, right)
-        return found
-
-    def _compatible(self, left: str, right: str) -> bool:
+    def compatible(self, pair: tuple[str, str]) -> bool:
+        """Whether two tokens can stand side by side after the merges."""
+        left, right = pair
         v = self.vocabulary
         before = len(v.merge)
         while True:
@@ -94,11 +93,15 @@ class Encoder:
         """Tokens of one piece, given and returned as Latin-1 strings of bytes."""
         if piece in self.vocabulary.id:
             return [piece]
-        n = len(piece)
-        longest = [""] * (n + 1)
-        for end, token in self.automaton.iter(piece):
-            # matches come by end, so the last one kept for a start is the longest
-            longest[end - len(token) + 1] = token
+        n, matches = len(piece), self.automaton.iter_long
+        # the chain of longest tokens covers most places that are looked at; others are asked for when needed
+        longest: dict[int, str] = {}
+        at = 0
+        for end, token in matches(piece):
+            longest[at] = token
+            at = end + 1
+        if at != n:
+            raise ValueError("the vocabulary lacks a byte of the text")
         fits, dead = self.fits, set()
         found: list[str] = []
         at, token, before = 0, longest[0], ""
@@ -106,12 +109,13 @@ class Encoder:
             while token:
                 end = at + len(token)
                 if end not in dead:
-                    fit = True if not before else fits.get((before, token))
-                    if fit is None:
-                        fit = self.compatible(before, token)
-                    if fit:
+                    if not before or fits[before, token]:
                         found.append(token)
-                        at, before, token = end, token, longest[end]
+                        at, before = end, token
+                        if at < n:
+                            token = longest.get(at)
+                            if token is None:
+                                token = longest[at] = next(matches(piece, at))[1]
                         break
                 shorter = self.shorter_of.get(token)
                 token = self.shorter(token) if shorter is None else shorter
@@ -122,6 +126,8 @@ class Encoder:
                 token = found.pop()
                 at -= len(token)
                 before = found[-1] if found else ""
+                shorter = self.shorter_of.get(token)
+                token = self.shorter(token) if shorter is None else shorter
         return found
 
     def ids(self, piece: str) -> bytes:
@@ -131,23 +137,19 @@ class Encoder:
 
 
 class Coder:
-    """Whole texts to ids and back, one per worker."""
+    """Whole texts to ids, one per worker."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
-        self.cache = PieceCache(Encoder(self.vocabulary).ids, limit=120_000)
+        vocabulary = Vocabulary(path)
+        self.special = vocabulary.special
+        self.cache = PieceCache(Encoder(vocabulary).ids)
         self.split = splitter()
-        last = max(self.vocabulary.bytes)
-        table = [self.vocabulary.bytes.get(k, b"") for k in range(last + 1)]
-        self.vocabulary.bytes.clear()
-        self.blob = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
 
     def encode(self, text: str) -> bytes:
-        if not any(mark in text for mark in self.vocabulary.special):
+        if not any(mark in text for mark in self.special):
             return b"".join(map(self.cache.__getitem__, self.split(text)))
         parts = [text]
-        for mark, number in self.vocabulary.special.items():
+        for mark, number in self.special.items():
             code = np.array([number], dtype="<i4").tobytes()
             cut: list[str | bytes] = []
             for part in parts:
@@ -159,6 +161,27 @@ class Coder:
             parts = cut
         return b"".join(p if isinstance(p, bytes) else b"".join(map(self.cache.__getitem__, self.split(p))) for p in parts)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; copies that stand together are encoded once."""
+        found: list[bytes] = []
+        for k, text in enumerate(texts):
+            found.append(found[-1] if k and text == texts[k - 1] else self.encode(text))
+        return found
+
+
+class Decoder:
+    """Ids to bytes by an offset table: the bytes of all tokens, and where each begins."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            data = json.load(file)
+        as_bytes = _byte_names()
+        tokens = {number: as_bytes(name).encode("latin-1") for name, number in data["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"].encode() for t in data["added_tokens"]}
+        table = [tokens.get(k, b"") for k in range(max(tokens) + 1)]
+        self.blob = np.frombuffer(b"".join(table), dtype=np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of all ids, gathered from the offset table."""
         starts, lengths = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
@@ -167,12 +190,26 @@ class Coder:
             return np.empty(0, dtype=np.uint8)
         return self.blob[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
 
+    def text(self, ids: np.ndarray) -> str:
+        """Bytes that are no UTF-8 become U+FFFD."""
+        return self.decode(ids.astype(np.int64)).tobytes().decode("utf-8", "replace")
+
 
 @cache
 def coder(path: str) -> Coder:
     return Coder(path)
 
 
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """`docs` with the token ids of its whole text (null: empty) as array<int>, the text left out.
 
@@ -186,10 +223,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for batch in slices(batches):
-            parts = [code.encode(t) for t in batch.column(len(rest)).to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*rest, into])
+            ids = _lists(code.encode_all(batch.column(len(rest)).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], ids], names=[*rest, into])
 
     return docs.select(*rest, text_of(text).alias(text)).mapInArrow(add, schema)
 
@@ -202,10 +237,27 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
     schema = T.StructType([*(tokens.schema[c] for c in rest), tokens.schema[ids], T.StructField(into, T.StringType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
+        code = decoder(path)
         for batch in slices(batches):
             column = batch.column(len(rest))
-            texts = [code.decode(np.asarray(row.values, dtype=np.int64)).tobytes().decode("utf-8", "replace") if row.is_valid else "" for row in column]
+            texts = [code.text(np.asarray(row.values)) if row.is_valid else "" for row in column]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], column, pa.array(texts, pa.string())], names=[*rest, ids, into])
 
     return tokens.select(*rest, ids).mapInArrow(add, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", into: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """`encode` and `decode` in one pass: one Python worker a core instead of two, and ids that need not travel between them."""
+    rest = [c for c in docs.columns if c != text]
+    if {c.lower() for c in rest} & {c.lower() for c in into}:
+        raise ValueError(f"columns {into} exist already")
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(into[0], T.ArrayType(T.IntegerType(), False)), T.StructField(into[1], T.StringType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, back = coder(path), decoder(path)
+        for batch in slices(batches):
+            parts = code.encode_all(batch.column(len(rest)).to_pylist())
+            texts = pa.array([back.text(np.frombuffer(p, dtype="<i4")) for p in parts], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], _lists(parts), texts], names=[*rest, *into])
+
+    return docs.select(*rest, text_of(text).alias(text)).mapInArrow(add, schema)

@@ -37,20 +37,38 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class PieceCache(dict):
-    """piece -> encoded bytes, filled on demand by `encode` and emptied when `limit` is reached.
+class Remembered(dict):
+    """key -> `compute(key)`, filled on demand, in two generations of `limit` keys.
 
-    Long pieces are not kept, so its memory is bounded.
+    A full generation becomes the old one; keys met again move to the new one, so that frequent
+    keys stay and memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 100_000, longest: int = 48):
+    def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.encode, self.limit, self.longest = encode, limit, longest
-
-    def __missing__(self, piece: str) -> bytes:
-        value = self.encode(piece)
-        if len(piece) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = value
+        self.compute, self.limit = compute, limit
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        return self.keep(key, value)
+
+    def keep(self, key, value):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
+
+
+class PieceCache(Remembered):
+    """piece -> encoded bytes. Long pieces are not kept."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 200_000, longest: int = 48):
+        super().__init__(encode, limit)
+        self.longest = longest
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        return super().keep(key, value) if len(key) <= self.longest else value

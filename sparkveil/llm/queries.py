@@ -155,8 +155,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
-    back = bpe.decode(ids, tokenizer_path())
+    back = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 

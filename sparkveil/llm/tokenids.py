@@ -188,32 +188,38 @@ def width(path: str) -> str:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of the whole text (null: empty) with the end id, as bytes (see `width`)."""
+    """(doc_id, ids, seen): ids of the whole text (null: empty) with the end id, as bytes (see `width`).
+
+    The last row of each task has no ids but `seen`: how often its texts hold each id, as 64-bit integers.
+    """
+    names = ["doc_id", "ids", "seen"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = library_coder(path), np.array([end_id], dtype=width(path)).tobytes()
+        kind = width(path)
+        code, end = library_coder(path), np.array([end_id], dtype=kind).tobytes()
+        seen = np.zeros(1 << 8 * np.dtype(kind).itemsize if kind == "<u2" else 0, dtype=np.int64)
         for batch in slices(batches):
             ids = [code(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            more = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(seen))
+            more[: len(seen)] += seen
+            seen = more
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.trim_zeros(seen, "b").astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(add, "doc_id long, ids binary")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(add, "doc_id long, ids binary, seen binary")
 
 
-def counted(tokens: DataFrame, kind: str) -> np.ndarray:
+def counted(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs; one number per id of the vocabulary reaches the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for batch in slices(batches):
-            for ids in batch.column(0):
-                seen = np.bincount(np.frombuffer(ids.as_py(), kind))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
-                total[: len(seen)] += seen
-        there = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["id", "n"])
-
-    found = tokens.select("ids").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        for batch in batches:
+            for seen in batch.column(0):
+                n = np.frombuffer(seen.as_py(), "<i8")
+                there = np.nonzero(n)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[there])], names=["id", "n"])
+
+    found = tokens.where("seen IS NOT NULL").select("seen").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, dtype=np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -228,7 +234,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_column: s
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, path, end_id, id_column, text), f"{shared_folder(spark)}/tokens")
     kind = width(path)
-    freq = normalised(counted(tokens, kind))
+    freq = normalised(counted(tokens))
+    tokens = tokens.where("seen IS NULL").select("doc_id", "ids")
     model_rows = spark.createDataFrame([(int(k), int(f)) for k, f in enumerate(freq)], "id long, freq long")
     model_rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/model")
     # splitters are ids and a digest, so one id given many times still spreads
