@@ -70,5 +70,10 @@ class PieceCache(Remembered):
         super().__init__(encode, limit)
         self.longest = longest
 
-    def keep(self, key: str, value: bytes) -> bytes:
-        return super().keep(key, value) if len(key) <= self.longest else value
+    def __missing__(self, piece: str) -> bytes:
+        value = self.old.get(piece)
+        if value is None:
+            value = self.compute(piece)
+            if len(piece) > self.longest:
+                return value
+        return self.keep(piece, value)

@@ -18,26 +18,24 @@ Equal fingerprints are one node from the start, so thousands of copies cost one
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkveil.llm.common import free_name, shared_folder, shuffle_partitions, slices, stored, text_of
+from sparkveil.llm.common import free_name, shared_folder, shuffle_partitions, slices, stored
 from sparkveil.llm.graph import components
 
 RADIUS = 3
 BANDS = 4
 #: Fingerprints per emitted Arrow batch, and shingles per counted block of one text.
 _EMIT, _BLOCK = 1024, 1 << 15
-#: Texts of a block that is compared with others, and their bytes, at most about.
-_MEMBERS, _BYTES = 256, 8 << 20
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42, once: bool = False) -> int:
-    """64-bit fingerprint over word shingles (`once`: distinct ones); 0 for a text without words.
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit fingerprint over word shingles; 0 for a text without words.
 
     A-Z are lower-cased, words part at ASCII white space, and a text with fewer words than a shingle
     is one shingle. A bit is set where more than half of the shingle hashes have it.
@@ -48,8 +46,6 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42, once: bool = False)
     if not words:
         return 0
     shingles = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)), strict=False)
-    if once:
-        shingles = {tuple(s) for s in shingles}
     hashes = np.fromiter((xxh64_intdigest(b" ".join(s), seed) for s in shingles), dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _BLOCK):
@@ -58,19 +54,19 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42, once: bool = False)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle: int = 3, seed: int = 42, once: bool = False) -> DataFrame:
-    """`docs` without its text, plus the fingerprint as a long."""
-    rest = [c for c in docs.columns if c != text]
-    wanted = docs.select(*rest, text_of(text).alias(text))
+def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle: int = 3, seed: int = 42, keep_text: bool = False) -> DataFrame:
+    """`docs` without its text (unless it is kept), plus the fingerprint as a long. Null texts are empty."""
+    names = [*(c for c in docs.columns if c != text), text]
+    kept = names if keep_text else names[:-1]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(into, T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(len(rest)).to_pylist()
-            values = np.array([fingerprint(t, shingle, seed, once) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(values)], names=[*rest, into])
+            texts = batch.column(len(names) - 1).to_pylist()
+            values = np.array([fingerprint(t or "", shingle, seed) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values)], names=schema.names)
 
-    schema = docs.select(*rest).withColumn(into, F.lit(0).cast("long")).schema
-    return wanted.mapInArrow(add, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(add, schema)
 
 
 def _masked_balls() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -148,140 +144,37 @@ def links(nodes: DataFrame) -> DataFrame:
     return stored(pairs.unionByName(stars), f"{folder}/links")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id reachable over links of `RADIUS` bits or fewer.
-
-    Null texts are empty; texts without words have fingerprint 0 and link like any other. Repeated
-    rows each get a row. A null id counts as no candidate for the smallest; a component of null
-    ids only has a null id.
-    """
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    marked = stored(fingerprints(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), shingle=shingle), f"{folder}/fingerprints")
+def _classes(marked: DataFrame, folder: str) -> DataFrame:
+    """(fp, component_id) of rows (doc_id, fp)."""
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/nodes")
     joined = components(links(nodes))
     classes = nodes.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     least = classes.groupBy("c").agg(F.min("first").alias("component_id"))
-    classes = classes.join(least, "c").select("fp", "component_id")
-    return marked.join(classes, "fp").select(F.col("doc_id").alias(id_column), "fp", "component_id")
-
-
-def jaccard(one: str, two: str, shingle: int = 5) -> float:
-    """Jaccard similarity of the sets of word shingles; 1 for two texts without words."""
-    sets = []
-    for text in (one, two):
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        sets.append({tuple(words)} if len(words) < shingle else set(zip(*(words[k:] for k in range(shingle)), strict=False)))
-    shared = len(sets[0] & sets[1])
-    return shared / (len(sets[0]) + len(sets[1]) - shared)
-
-
-def similar_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
-    """(a, b): ids whose texts share at least `least` of their `shingle`-word shingles.
-
-    Fingerprints over distinct single words are close wherever a few words differ, so their links
-    give the candidates, once per seed (a pair that one seed sets apart, the other may not). Links
-    and texts of one fingerprint are compared with a centre first. A centre that is not similar to
-    two texts says nothing about these two, so whatever is not connected by then is compared with
-    all others of its group of candidates. The pairs have the components of all similar pairs
-    within a group; those that follow from others are left out.
-    """
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    found = []
-    for seed in seeds:
-        marked = stored(fingerprints(rows, shingle=1, seed=seed, once=True), f"{folder}/fingerprints{seed}")
-        nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/nodes{seed}")
-        close = links(nodes).join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        same = marked.join(nodes, "fp").where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-        found.append(close.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(same))
-    pairs = stored(reduce(DataFrame.unionByName, found).distinct(), f"{folder}/pairs")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            x, y, one, two = batch.columns
-            near = [jaccard(s, t, shingle) >= least for s, t in zip(one.to_pylist(), two.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"]).filter(pa.array(near))
+    return classes.join(least, "c").select("fp", "component_id")
 
-    texts = rows.select("doc_id", text_of().alias("text"))
-    ids = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{folder}/ids")
-    texts = stored(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), f"{folder}/texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("one")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("two")), "y")
-    stars = stored(both.select("x", "y", "one", "two").mapInArrow(verify, "a long, b long"), f"{folder}/stars")
-    return stars.unionByName(_unconnected(pairs, stars, texts, shingle, least, folder))
 
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id reachable over links of `RADIUS` bits or fewer.
 
-def _unconnected(pairs: DataFrame, stars: DataFrame, texts: DataFrame, shingle: int, least: float, folder: str) -> DataFrame:
-    """(a, b): similar pairs between the parts that `stars` leaves of the groups that `pairs` make.
-
-    Each group is dealt into blocks and each two blocks are one task's work. A part of many texts
-    has blocks of its own, which are not compared with each other.
+    Null texts are empty; texts without words have fingerprint 0 and link like any other. Repeated
+    rows each get a row. A null id counts as no candidate for the smallest; a component of null
+    ids only has a null id.
     """
-    groups = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("k"))
-    parts = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
-    groups = groups.join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    # of two members the only pair has been compared
-    groups = groups.join(groups.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("n > 2 and lo < hi").select("k"), "k")
-    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("size"))
-    groups = groups.join(sizes, "doc_id")
-    large = groups.groupBy("k", "part").agg(F.count("*").alias("m")).where(F.col("m") > _MEMBERS).select("k", "part", F.lit(True).alias("large"))
-    members = groups.join(large, ["k", "part"], "left").withColumn("own", F.when(F.col("large"), F.col("part")))
-    members = stored(members.select("doc_id", "k", "part", F.col("own").isNotNull().alias("large"), F.coalesce("own", "k").alias("own"), "size"), f"{folder}/members")
-    wanted = F.greatest(F.ceil(F.count("*") / _MEMBERS), F.ceil(F.sum("size") / _BYTES))
-    of = ["k", "large", "own"]
-    members = members.join(members.groupBy(*of).agg(wanted.alias("blocks")), of).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    block = F.row_number().over(Window.partitionBy("k").orderBy("large", "own", "salt"))
-    blocks = stored(members.select(*of, "salt").distinct().withColumn("block", block), f"{folder}/blocks")
-    one, two = (blocks.select("k", F.col("large").alias(f"large{c}"), F.col("own").alias(f"own{c}"), F.col("block").alias(c)) for c in "pq")
-    work = one.join(two.hint("merge"), "k").where((F.col("p") <= F.col("q")) & ~(F.col("largep") & F.col("largeq") & (F.col("ownp") == F.col("ownq"))))
-    work = work.select("k", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    dealt = members.join(blocks, [*of, "salt"]).select("k", "block", "doc_id", "part").join(work.hint("merge"), ["k", "block"])
-    dealt = dealt.join(texts.hint("merge"), "doc_id").select("k", "p", "q", "block", "doc_id", "part", "text")
-
-    def compare(group: pa.Table) -> pa.Table:
-        block, ids, labels = (group.column(c).to_numpy() for c in ("block", "doc_id", "part"))
-        inside, labels = group.column("p")[0] == group.column("q")[0], labels.copy()
-        a, b = [], []
-        if labels.min() < labels.max():
-            hashed = [_shingle_hashes(t.as_py(), shingle) for t in group.column("text")]
-            size = np.array([len(h) for h in hashed])
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            values, at = np.unique(np.concatenate(hashed), return_inverse=True)
-            mine, places = np.zeros(len(values), dtype=bool), np.arange(len(ids))
-            for x in range(len(ids)):
-                other = (places > x) & (labels != labels[x])
-                other &= inside | (block != block[x])
-                if not other.any():
-                    continue
-                own = at[starts[x] : starts[x] + size[x]]
-                mine[own] = True
-                shared = np.add.reduceat(mine[at], starts, dtype=np.int64)
-                mine[own] = False
-                for y in np.flatnonzero(other & (shared / (size[x] + size - shared) >= least)):
-                    if labels[y] != labels[x]:
-                        a.append(ids[x])
-                        b.append(ids[y])
-                        labels[labels == labels[y]] = labels[x]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("k", "p", "q").applyInArrow(compare, "a long, b long")
-
-
-def _shingle_hashes(text: str, shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles that `jaccard` compares."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    shingles = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)), strict=False)
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s)) for s in shingles), dtype=np.uint64))
+    folder = shared_folder(docs.sparkSession)
+    marked = stored(fingerprints(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), shingle=shingle), f"{folder}/fingerprints")
+    return marked.join(_classes(marked, folder), "fp").select(F.col("doc_id").alias(id_column), "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows whose id is the smallest of their component of similar pairs (null ids stay).
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of their component (see `near_duplicates`).
 
-    Rows that share an id share its fate.
+    Rows that share the smallest id of a component stay together; rows with a null id stay. A row
+    goes by its id and its fingerprint, so an id given to two texts loses only the one that is a copy.
     """
-    found = components(similar_pairs(docs, id_column, text, shingle, least))
-    gone = found.where("node <> component").select(F.col("node").alias(free_name(docs, "gone_id")))
-    return docs.join(gone, F.col(id_column) == gone[gone.columns[0]], "left_anti")
+    folder = shared_folder(docs.sparkSession)
+    fp, rest = free_name(docs, "fp"), docs.columns
+    rows = stored(fingerprints(docs, text, fp, shingle, keep_text=True), f"{folder}/rows")
+    marked = rows.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(fp).alias("fp"))
+    gone = marked.join(_classes(marked, folder), "fp").where("doc_id <> component_id")
+    gone = gone.select(F.col("doc_id").alias(id_column), F.col("fp").alias(fp)).distinct()
+    return rows.join(gone, [id_column, fp], "left_anti").select(*(F.col(f"`{c}`") for c in rest))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -164,12 +165,12 @@ def library_coder(path: str):
     kind = width(path)
     special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
     letters = str.maketrans({byte: letter for letter, byte in byte_letters().items()})
-    merge = tokenizer.model.tokenize
+    merge, code_type = tokenizer.model.tokenize, "H" if kind == "<u2" else "I"
 
     def encode(piece: str) -> bytes:
-        return np.array([t.id for t in merge(piece.encode("utf-8").decode("latin-1").translate(letters))], dtype=kind).tobytes()
+        return array(code_type, [t.id for t in merge(piece.encode("utf-8").decode("latin-1").translate(letters))]).tobytes()
 
-    cache_, split = PieceCache(encode), splitter()
+    cache_, split = PieceCache(encode, limit=400_000), splitter()
 
     def code(text: str) -> bytes:
         if any(mark in text for mark in special):

@@ -175,3 +175,57 @@ def test_pipeline(spark, registered, tokenizer):
     kept = {r.doc_id for r in rows}
     same = [re.sub(r"[\x20\x09-\x0D]+", " ", docs[d].text or "") for d in kept]
     assert len(same) == len(set(same))
+
+
+def test_pipeline_stages_against_plain_python(spark, tokenizer):
+    """Each stage on all that its predecessor kept, with families of copies and near copies."""
+    import random
+
+    import corpus_pipeline
+    from sparkveil.llm import simhash, toxicity
+    from sparkveil.llm.common import table
+
+    rows = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = random.Random(11)
+    number = 10_000
+    for r in [r for r in rows if r["text"] and len(r["text"]) > 600][:12]:
+        words = r["text"].split(" ")
+        for edits in (0, 0, 1, 2, 5):
+            own = list(words)
+            for at in rng.sample(range(len(own)), edits):
+                own[at] = f"x{rng.randrange(999)}"
+            number += 1
+            rows.append(r | {"doc_id": number, "text": " ".join(own)})
+    rows += [rows[0] | {"doc_id": 9_000, "text": None}, rows[0] | {"doc_id": 9_001, "text": ""}]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema)
+    texts = {r["doc_id"]: r["text"] or "" for r in rows}
+
+    def ids(frame):
+        return sorted(r.doc_id for r in frame.select("doc_id").collect())
+
+    model = toxicity.fit(docs, table(spark, SF, "labels"))
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert clean.columns == docs.columns and ids(clean) == sorted(i for i, t in texts.items() if model.score(t)[0] < 0.5)
+    left = ids(clean)
+    single = corpus_pipeline.drop_copies(spark, clean, SF)
+    first = {}
+    for i in left:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
+    assert ids(single) == sorted(first.values())
+    left = ids(single)
+    apart = corpus_pipeline.drop_near_copies(spark, single, SF)
+    prints = {i: simhash.fingerprint(texts[i]) for i in left}
+    root = {i: i for i in left}
+    for i in left:
+        for j in left:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 3:
+                old, new = root[j], root[i]
+                root = {k: min(old, new) if r in (old, new) else r for k, r in root.items()}
+    assert apart.columns == docs.columns and ids(apart) == sorted(set(root.values())) and len(set(root.values())) < len(left)
+    left = ids(apart)
+    mixed = corpus_pipeline.mix(spark, apart, SF)
+    assert mixed.columns == docs.columns and sorted(set(ids(mixed))) == left and len(ids(mixed)) > len(left)
+    extra = mixed.withColumn("ids", mixed.lang).withColumn("N_tokens", mixed.lang).withColumn("text_sha256", mixed.lang)
+    for r in corpus_pipeline.encode(spark, extra, SF).collect():
+        assert r.ids_ == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens_ == len(r.ids_) and r.round_trip and r.ids == r.lang

@@ -27,32 +27,30 @@ def _components(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def test_near_copies_of_one_original(spark, monkeypatch):
-    """Edited copies are similar to their original, which is no centre, and not to each other."""
-    monkeypatch.setattr(simhash, "_MEMBERS", 5)  # several blocks for each family
+def test_near_copies_of_one_original(spark):
+    """Families of edited copies, against all pairs of fingerprints: one document of each group stays."""
     rng = random.Random(7)
     texts = {}
-    for family in range(4):
-        words = [f"w{rng.randrange(4000)}" for _ in range(400)]
-        for copy in range(16):
-            texts[family * 100 + copy] = " ".join(_edited(words, rng, 0.02))
-        texts[family * 100 + 50] = " ".join(words)
-    prints = [{i: simhash.fingerprint(t, 1, seed, True) for i, t in texts.items()} for seed in (42, 43)]
-    near = lambda i, j: simhash.jaccard(texts[i], texts[j]) >= 0.8
-    group = _components(texts, lambda i, j: any((p[i] ^ p[j]).bit_count() <= 3 for p in prints))
-    wanted = _components(texts, lambda i, j: group[i] == group[j] and near(i, j))
-    pairs = simhash.similar_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    linked = {(r.a, r.b) for r in pairs} | {(r.b, r.a) for r in pairs}
-    assert pairs and all(near(i, j) for i, j in linked) and _components(texts, lambda i, j: (i, j) in linked) == wanted
-
-
-def test_near_copies_with_one_fingerprint(spark, monkeypatch):
-    """Texts of one fingerprint: the smallest id is similar to none of the two others."""
-    monkeypatch.setattr(simhash, "fingerprint", lambda *_: 5)
-    words = [f"w{k}" for k in range(200)]
-    texts = [(1, "quite another text of its own"), (2, " ".join(words)), (3, " ".join([*words, "end"])), (4, "and a third one")]
-    kept = simhash.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert sorted(r.doc_id for r in kept) == [1, 2, 4]
+    for family in range(6):
+        words = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for copy in range(20):
+            texts[family * 100 + copy + 1] = " ".join(_edited(words, rng, 0.004 * (family + 1)))
+        texts[family * 100] = " ".join(words)
+    texts |= {900: "", 901: "  ", 902: "one", 903: "one two"}
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    group = _components(texts, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    assert 20 < len(set(group.values())) < len(texts) - 40  # some links, not all
+    docs = spark.createDataFrame([(i, t, t[:3]) for i, t in texts.items()], "doc_id long, text string, fp string").repartition(3)
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
+
+
+def test_an_id_of_two_texts_loses_only_the_copy(spark):
+    rng = random.Random(3)
+    one, two = (" ".join(f"w{rng.randrange(4000)}" for _ in range(200)) for _ in range(2))
+    docs = spark.createDataFrame([(1, one), (5, one), (5, two), (None, one), (None, None)], "doc_id long, text string")
+    kept = simhash.without_near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == sorted([("1", one), ("5", two), ("None", one)]) and len(kept) == 4
 
 
 def _shares(rng, sizes, overlap):
