@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.llm import bpe, exact, mixing, simhash, toxicity
-from sparkveil.llm.common import shared_folder, stored, table
+from sparkveil.llm.common import free_name, shared_folder, stored, table
 from sparkveil.llm.queries import mixing_model, tokenizer_path
 
 
@@ -33,11 +33,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with a mark for texts that come back unchanged."""
-    rows = docs.select(*(c for c in docs.columns if c != "text"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"), "text")
-    back = bpe.decode(bpe.encode(rows, tokenizer_path()), tokenizer_path())
-    same = F.sha2(F.encode("decoded", "utf-8"), 256) == F.col("text_sha256")
-    return back.select(*(c for c in rows.columns if c != "text"), "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    """Token ids of each document, with a mark for texts that come back unchanged.
+
+    Columns of `docs` that are named like ours keep their names; ours get a trailing underscore.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    digest, ids, n_tokens, same, decoded = (free_name(docs, c) for c in ("text_sha256", "ids", "n_tokens", "round_trip", "decoded"))
+    rows = docs.withColumn(digest, F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256))
+    back = bpe.round_trip(rows, tokenizer_path(), into=(ids, decoded))
+    unchanged = F.sha2(F.encode(decoded, "utf-8"), 256) == F.col(digest)
+    return back.select(*(F.col(f"`{c}`") for c in rest), digest, ids, F.size(ids).cast("long").alias(n_tokens), unchanged.alias(same))
 
 
 STAGES = [
