@@ -210,23 +210,29 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", unchanged: str | None = None) -> DataFrame:
     """`docs` with the token ids of its whole text (null: empty) as array<int>, the text left out.
 
-    Marks of special tokens in a text become those tokens, as the tokenizers library does it.
+    Marks of special tokens in a text become those tokens, as the tokenizers library does it. With
+    `unchanged`, a column of that name tells whether the decoder gives the text back.
     """
-    if free_name(docs, into) != into:
-        raise ValueError(f"column {into} exists already")
+    names = [into, *([unchanged] if unchanged else [])]
+    if any(free_name(docs, name) != name for name in names):
+        raise ValueError(f"columns {names} exist already")
     rest = [c for c in docs.columns if c != text]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(into, T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(into, T.ArrayType(T.IntegerType(), False)), *(T.StructField(c, T.BooleanType()) for c in names[1:])])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
+        code, back = coder(path), decoder(path) if unchanged else None
         for batch in slices(batches):
-            ids = _lists(code.encode_all(batch.column(len(rest)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], ids], names=[*rest, into])
-
-    return docs.select(*rest, text_of(text).alias(text)).mapInArrow(add, schema)
+            texts = batch.column(len(rest)).to_pylist()
+            parts = code.encode_all(texts)
+            columns = [*batch.columns[: len(rest)], _lists(parts)]
+            if back:
+                columns.append(pa.array([back.text(np.frombuffer(p, dtype="<i4")) == t for p, t in zip(parts, texts, strict=True)]))
+            yield pa.RecordBatch.from_arrays(columns, names=[*rest, *names])
+
+    return docs.select(*(F.col(f"`{c}`") for c in rest), text_of(text).alias(text)).mapInArrow(add, schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

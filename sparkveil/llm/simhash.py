@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkveil.llm.common import free_name, shared_folder, shuffle_partitions, slices, stored
+from sparkveil.llm.common import free_name, shared_folder, shuffle_partitions, slices, stored, text_of
 from sparkveil.llm.graph import components
 
 RADIUS = 3
@@ -54,19 +54,18 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle: int = 3, seed: int = 42, keep_text: bool = False) -> DataFrame:
-    """`docs` without its text (unless it is kept), plus the fingerprint as a long. Null texts are empty."""
-    names = [*(c for c in docs.columns if c != text), text]
-    kept = names if keep_text else names[:-1]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(into, T.LongType())])
+def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """`docs` without its text, plus the fingerprint as a long. Null texts are empty."""
+    rest = [c for c in docs.columns if c != text]
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(into, T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(len(names) - 1).to_pylist()
-            values = np.array([fingerprint(t or "", shingle, seed) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values)], names=schema.names)
+            texts = batch.column(len(rest)).to_pylist()
+            values = np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(values)], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(add, schema)
+    return docs.select(*rest, text_of(text).alias(text)).mapInArrow(add, schema)
 
 
 def _masked_balls() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -169,12 +168,14 @@ def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: st
     """The rows of `docs` whose id is the smallest of their component (see `near_duplicates`).
 
     Rows that share the smallest id of a component stay together; rows with a null id stay. A row
-    goes by its id and its fingerprint, so an id given to two texts loses only the one that is a copy.
+    goes by its id and a digest of its text, so an id given to two texts loses only the one that is
+    a copy.
     """
     folder = shared_folder(docs.sparkSession)
-    fp, rest = free_name(docs, "fp"), docs.columns
-    rows = stored(fingerprints(docs, text, fp, shingle, keep_text=True), f"{folder}/rows")
-    marked = rows.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(fp).alias("fp"))
-    gone = marked.join(_classes(marked, folder), "fp").where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias(id_column), F.col("fp").alias(fp)).distinct()
-    return rows.join(gone, [id_column, fp], "left_anti").select(*(F.col(f"`{c}`") for c in rest))
+    digest = free_name(docs, "digest")
+    rows = docs.withColumn(digest, F.xxhash64(text_of(text)))
+    marked = rows.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(digest).alias("digest"), F.col(f"`{text}`").alias("text"))
+    marked = stored(fingerprints(marked, shingle=shingle), f"{folder}/fingerprints")
+    gone = marked.join(_classes(marked.select("doc_id", "fp"), folder), "fp").where("doc_id <> component_id")
+    gone = gone.select(F.col("doc_id").alias(id_column), F.col("digest").alias(digest)).distinct()
+    return rows.join(gone, [id_column, digest], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
