@@ -38,11 +38,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of `docs` that are named like ours keep their names; ours get a trailing underscore.
     """
     rest = [c for c in docs.columns if c != "text"]
-    digest, ids, n_tokens, same, decoded = (free_name(docs, c) for c in ("text_sha256", "ids", "n_tokens", "round_trip", "decoded"))
+    digest, ids, n_tokens, same = (free_name(docs, c) for c in ("text_sha256", "ids", "n_tokens", "round_trip"))
     rows = docs.withColumn(digest, F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256))
-    back = bpe.round_trip(rows, tokenizer_path(), into=(ids, decoded))
-    unchanged = F.sha2(F.encode(decoded, "utf-8"), 256) == F.col(digest)
-    return back.select(*(F.col(f"`{c}`") for c in rest), digest, ids, F.size(ids).cast("long").alias(n_tokens), unchanged.alias(same))
+    back = bpe.encode(rows, tokenizer_path(), into=ids, unchanged=same)
+    return back.select(*(F.col(f"`{c}`") for c in rest), digest, ids, F.size(ids).cast("long").alias(n_tokens), same)
 
 
 STAGES = [
