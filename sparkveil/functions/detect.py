@@ -427,6 +427,14 @@ class Plan:
         # the raw text travels along, so that blank texts can come back as they were
         return [*self.text_stages(), *self.find_stages(), *self.keep_stages(), *self.rewrite_stages(), "s.r"]
 
+    def rewritten(self) -> list[str]:
+        """The redacted text where something was found, else NULL: callers keep what they have byte for byte."""
+        splice, cleanup, cut, _ = self.rewrite_stages()
+        return [
+            *self.text_stages(), *self.find_stages(), *self.keep_stages(), splice, cleanup, cut,
+            f"IF(NOT s.cut AND s.r = s.t, NULL, {self.finish_sql()})",
+        ]
+
     def found(self) -> list[str]:
         return [
             *self.text_stages(), *self.find_stages(), *self.keep_stages(),

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from sparkveil.plans.config import RedactionConfig
 from sparkveil.plans.words import NameLists
+from sparkveil.operators.errors import ERRORS
 from sparkveil.operators.redaction import with_findings
 
+#: Stands for an error among the counted types.
+_FAILED = "\0error"
+
 # Upper bounds of the latency (seconds) and batch-size buckets.
 LATENCY_BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 BATCH_BOUNDS = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
@@ -43,41 +47,47 @@ def most_common(counts: DataFrame, by: Sequence[str] = (), kind: str = "pi_type"
 
 def report(
     df: DataFrame,
-    column: str,
+    column: str | Sequence[str],
     config: RedactionConfig | None = None,
     names: NameLists | None = None,
     seconds: float | None = None,
     input_name: str = "",
     output_name: str = "",
 ) -> DataFrame:
-    """One row: rows, counts by type as a map, totals, distinct types and the most common one.
+    """One row: rows, counts by type as a map, totals, distinct types, the most common one, errors.
 
-    One pass. Rows are pre-aggregated by type before the shuffle, so only a few dozen
-    numbers per task travel, however skewed the types are.
+    One pass over one or more columns. Rows are pre-aggregated by type before the shuffle, so only
+    a few dozen numbers per task travel, however skewed the types are. Errors are those in a
+    ``row_errors`` column, as ``errors.redact_checked`` and the CSV reader give it.
     """
-    found = with_findings(df.select(column), column, config, names, "__f")
-    kinds = found.select(
-        F.explode_outer(F.concat(F.array(F.lit("")), F.transform(F.col("__f"), lambda f: f.pi_type))).alias("pi_type")
-    )
-    # NULL findings (blank rows) make the concat NULL; the outer form keeps one row for them
-    counts = kinds.groupBy("pi_type").agg(F.count("*").alias("n"))
-    nothing = (F.col("pi_type") == "") | F.col("pi_type").isNull()
-    typed = F.when(~nothing, F.col("pi_type"))
+    columns = [column] if isinstance(column, str) else list(column)
+    failed = ERRORS in df.columns
+    rows = df.select(*(F.col(f"`{c}`") for c in columns), *([ERRORS] if failed else []))
+    for i, name in enumerate(columns):
+        rows = with_findings(rows, name, config, names, f"__f{i}")
+    none = F.array().cast("array<string>")
+    kinds = [F.coalesce(F.transform(f"__f{i}", lambda f: f.pi_type), none) for i in range(len(columns))]
+    if failed:
+        kinds.append(F.transform(ERRORS, lambda _: F.lit(_FAILED)))
+    # one empty kind stands for the row itself
+    counts = rows.select(F.explode(F.concat(F.array(F.lit("")), *kinds)).alias("pi_type")).groupBy("pi_type").agg(F.count("*").alias("n"))
+    row, error = F.col("pi_type") == "", F.col("pi_type") == _FAILED
+    found = ~row & ~error
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
     out = counts.agg(
-        F.coalesce(F.sum(F.when(nothing, F.col("n"))), F.lit(0)).alias("total_rows"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(~nothing, F.struct(F.col("pi_type"), F.col("n")))))
-        ).alias("redactions"),
-        F.coalesce(F.sum(F.when(~nothing, F.col("n"))), F.lit(0)).alias("total_redactions"),
-        F.count_if(~nothing).alias("redaction_types"),
-        F.min_by(typed, F.when(~nothing, F.struct(-F.col("n"), F.col("pi_type")))).alias("most_common"),
+        total(row).alias("total_rows"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(found, F.struct(F.col("pi_type"), F.col("n")))))).alias("redactions"),
+        total(found).alias("total_redactions"),
+        F.count_if(found).alias("redaction_types"),
+        F.min_by(F.when(found, F.col("pi_type")), F.when(found, F.struct(-F.col("n"), F.col("pi_type")))).alias("most_common"),
+        total(error).alias("error_count"),
     )
     out = out.withColumns(
         {
             "generated_at": F.current_timestamp(),
             "input_file": F.lit(input_name),
             "output_file": F.lit(output_name),
-            "columns_processed": F.array(F.lit(column)),
+            "columns_processed": F.array(*map(F.lit, columns)),
         }
     )
     if seconds is not None:

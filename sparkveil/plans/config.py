@@ -64,6 +64,8 @@ _SECTIONS = {
     "error_handling": {
         "continue_on_error": "continue_on_error",
         "max_errors": "max_errors",
+        "error_log_file": "error_log_file",
+        "include_original_in_log": "include_original_in_log",
     },
 }
 
@@ -131,9 +133,11 @@ class RedactionConfig:
     clean_fix_encoding: bool = True
     clean_digit_groups: bool = True
 
-    # row errors
+    # row errors: go on or fail at the first, fail from so many on (0: never), where the error table goes
     continue_on_error: bool = True
     max_errors: int = 0
+    error_log_file: str = ""
+    include_original_in_log: bool = False
 
     # exclusions and extensions
     excluded_emails: frozenset[str] = frozenset()

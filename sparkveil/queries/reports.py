@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from sparkveil.functions import checks, clean, mask, sanitize
 from sparkveil.functions import spans as S
 from sparkveil.functions.sql import apply
-from sparkveil.operators import audit, nested, redaction, relational
+from sparkveil.operators import audit, errors, nested, redaction, relational, staging
 from sparkveil.plans import words as W
 from sparkveil.plans.config import RedactionConfig, only
 from sparkveil.plans.words import NameLists
 from sparkveil.queries.detectors import Query, table
+from sparkveil.sources import files
+from sparkveil.sources.records import read_csv
 from sparkveil.streaming import pipelines
 
 QUERIES: dict[str, Query] = {}
@@ -627,7 +629,7 @@ def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def html_text_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = nested.html_parts("html")
-    text = F.aggregate(parts, F.lit(0), lambda a, p: a + F.when(p.is_text, F.length(p.part)).otherwise(0))
+    text = F.aggregate(parts, F.lit(0), lambda a, p: a + F.when(p.kind == "text", F.length(p.part)).otherwise(0))
     return table(spark, sf_dir, "pages").select("page_id", text.cast("bigint").alias("chars"))
 
 
@@ -644,6 +646,70 @@ def redacted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"\[EMAIL\]"), F.lit(0))).cast("bigint").alias("mails"))
 
 
+@query(
+    "redacted_json_text",
+    "SELECT c_custkey, '{\"who\": {\"mail\":\"[EMAIL]\", \"n\":1.50, \"mail\\u0040\":' || c_custkey || 'e0}, \"d\":' || repeat('[{\"k\": ', 40) || '\"[IP_V4]\"' || repeat('}]', 40) || '}' AS doc FROM customer",
+)
+def redacted_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON 80 levels deep, with numbers, blanks and escaped keys that come back as written."""
+    doc = (
+        "'{\"who\": {\"mail\":\"u' || c_custkey || '@mail.example.com\", \"n\":1.50, \"mail' || chr(92) || 'u0040\":' || c_custkey || 'e0}, \"d\":' "
+        "|| repeat('[{\"k\": ', 40) || '\"10.0.0.1\"' || repeat('}]', 40) || '}'"
+    )
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{doc} AS doc")
+    return nested.redact_json_text(rows, "doc", PLAIN)
+
+
+_PAGE = "'<p title=\"1>2 {0}\">{1} &amp; more</p><!-- by {1} --><![CDATA[ {1} ]]>' || {2}"
+
+
+@query(
+    "redacted_pages_whole",
+    "SELECT page_id, " + _PAGE.format("a@b.example.com", "[EMAIL]", _replace("html", (_EMAIL, "[EMAIL]"))) + " AS html FROM pages",
+)
+def redacted_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages: addresses in text, comments and CDATA go, attributes and all other bytes stay."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", _PAGE.format("a@b.example.com", "a@b.example.com", "html") + " AS html")
+    return nested.redact_html(rows, "html", only("DET7", enable_data_cleaning=False))
+
+
+# -- errors and records ----------------------------------------------------------
+
+_HOSTILE = "IF(doc_id % 7 = 0, CAST(concat(CAST(text AS BINARY), X'C3') AS STRING), text) AS text"
+
+
+@query(
+    "row_errors",
+    "SELECT doc_id, 'text' AS \"column\", 'text is not valid UTF-8' AS reason FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL",
+)
+def row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, some with bytes that are no UTF-8: these land in the error table."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", _HOSTILE)
+    return errors.error_table(errors.redact_checked(rows, ["text"], PLAIN), ["doc_id"]).select("doc_id", "column", "reason")
+
+
+@query(
+    "rows_beside_errors",
+    f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text_cleaned END AS text_cleaned FROM ({ORACLES['redacted_documents']})",
+)
+def rows_beside_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents: bad values are never passed on, all other rows come out redacted."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", _HOSTILE)
+    return errors.good_rows(errors.redact_checked(rows, ["text"], PLAIN)).select("doc_id", "text_cleaned")
+
+
+@query(
+    "csv_records",
+    "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars, source FROM (SELECT doc_id, nullif(text, '') AS text, source FROM documents)",
+)
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as CSV with quoted line breaks, and read back in splits."""
+    folder = staging.shared_folder(spark, "csv-query")
+    files.write(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), folder, "csv")
+    rows = read_csv(spark, folder).rows
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.encode("text", "utf-8")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "source")
+
+
 # -- streams ---------------------------------------------------------------------
 
 

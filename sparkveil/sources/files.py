@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Sequence
 
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkveil.functions.sanitize import file_error
-from sparkveil.operators.nested import redact_html, redact_nested
+from sparkveil.operators import errors
+from sparkveil.operators.nested import redact_html, redact_json_text, redact_nested
 from sparkveil.operators.redaction import redact_columns, valid_columns
+from sparkveil.operators.staging import drop_folder
 from sparkveil.plans.config import RedactionConfig
 from sparkveil.plans.words import NameLists
+from sparkveil.sources.records import read_csv
+
+log = logging.getLogger(__name__)
 
 AUDIT_SCHEMA = (
     "timestamp timestamp, action string, client_ip string, user_agent string, client_id string, client_name string, "
@@ -39,8 +45,8 @@ def read_any(spark: SparkSession, path: str, whole: bool = False, schema: T.Stru
         return spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
-        # quoted values keep their line breaks and doubled quotes; bad lines are dropped
-        return reader.csv(path, header=True, mode="DROPMALFORMED", multiLine=True, quote='"', escape='"', encoding="UTF-8")
+        # quoted values keep their line breaks and doubled quotes; bad lines have a reason in row_errors
+        return read_csv(spark, path).rows
     if kind == "json":
         return reader.json(path, multiLine=True)
     return reader.json(path) if kind == "jsonl" else reader.format(kind).load(path)
@@ -80,14 +86,27 @@ def process(
     in_place: bool = False,
     whole: bool = False,
     parts: int | None = None,
+    as_written: bool = False,
 ) -> DataFrame:
     """Read by extension, redact, write in the same format. Returns what was written.
 
-    CSV, Parquet and ORC get ``<column>_cleaned`` columns. JSON with columns named does the
-    same for top-level text fields; without, every text leaf is redacted. Text goes line by
-    line unless ``whole``; HTML keeps its markup. ``parts`` deals the input out first.
+    CSV, Parquet and ORC get ``<column>_cleaned`` columns; what cannot be worked on goes by the
+    error settings of ``config`` (``operators.errors``). JSON with columns named does the same for
+    top-level text fields; without, every text leaf is redacted, and ``as_written`` keeps numbers,
+    key order and blanks as they are. Text goes line by line unless ``whole``; HTML keeps its
+    markup. ``parts`` deals the input out first.
     """
     kind = kind_of(path)
+    config = config or RedactionConfig()
+    if kind in ("csv", "parquet", "orc"):
+        return _process_columns(spark, path, out, kind, columns, config, names, in_place, parts)
+    if kind in ("json", "jsonl") and not columns and as_written:
+        rows = spread(spark.read.text(path, wholetext=kind == "json"), parts)
+        rows = rows.where("trim(value) <> ''")
+        done = redact_json_text(rows, "value", config, names)
+        done = done.select(F.when(F.col("value").isNull(), F.raise_error(F.lit(f"{path}: not JSON")).cast("string")).otherwise(F.col("value")).alias("value"))
+        write(done, out, "text")
+        return done
     df = spread(read_any(spark, path, whole), parts)
     if kind == "html":
         done = redact_html(df, "html", config, names)
@@ -98,18 +117,41 @@ def process(
     elif kind in ("json", "jsonl"):
         texts = [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
         done = redact_columns(df, texts, config, names, in_place=in_place) if texts else df
-    else:
-        done = redact_columns(df, columns, config, names, in_place=in_place)
     write(done, out, kind)
     return done
 
 
+def _process_columns(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    kind: str,
+    columns: Sequence[str] | None,
+    config: RedactionConfig,
+    names: NameLists | None,
+    in_place: bool,
+    parts: int | None,
+) -> DataFrame:
+    if kind == "csv":
+        records = read_csv(spark, path, include_original=config.include_original_in_log)
+        if not records.header:
+            raise ValueError(f"{path} has no header")
+        df, columns = records.rows, columns or records.header
+    else:
+        df = spark.read.format(kind).load(path)
+    outcome = errors.run(spread(df, parts), lambda rows: write(rows, out, kind), columns, config, names, in_place=in_place)
+    if kind == "csv":
+        drop_folder(spark, records.folder)
+    log.info("%s: %d rows, %d errors", path, outcome.rows, outcome.errors)
+    return spark.read.csv(out, header=True, quote='"', escape='"', multiLine=True) if kind == "csv" else spark.read.format(kind).load(out)
+
+
 def write(df: DataFrame, path: str, kind: str, partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if kind == "csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        writer.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif kind in ("json", "jsonl"):
         writer.json(path, ignoreNullFields=False)
     elif kind in ("text", "html"):
