@@ -94,39 +94,39 @@ def _joined_runs(rows: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per input row: the `keep` columns (all but the text by default), keep_id, group_size,
-    kept and text_sha256. The new names get a `_` where `docs` has them already.
+    kept and text_sha256. The new names get a `_` where a kept column has them already.
 
     Of equal normalised texts the smallest id stays; null ids come last, and where one id and text
     are given twice one of the rows stays.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    key, start, rank, sha = (free_name(docs, n) for n in ("normal_text", "text_start", "null_id", "text_sha256"))
-    rows = docs.select(*keep, *([id_column] if id_column not in keep else []), normalised(text_of(text)).alias(key))
-    carried = [*rows.columns[:-1], sha]
-    rows = rows.select("*", F.left(key, F.lit(START)).alias(start), F.sha2(F.encode(key, "utf-8"), 256).alias(sha), F.col(id_column).isNull().alias(rank))
+    # names of our own for all columns on the way, so that none can clash
+    inner = {c: f"column_{i}" for i, c in enumerate(keep)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), F.col(f"`{id_column}`").alias("own_id"), normalised(text_of(text)).alias("normal_text"))
+    rows = rows.select("*", F.left("normal_text", F.lit(START)).alias("text_start"), F.sha2(F.encode("normal_text", "utf-8"), 256).alias("sha"), F.col("own_id").isNull().alias("null_id"))
     # splitters are short whatever the texts are: the first characters, then the digest
-    order = [start, sha]
+    order = ["text_start", "sha"]
     parts = shuffle_partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(parts, *order, rank, id_column).sortWithinPartitions(*order, key, rank, id_column)
-    marked = stored(compared(ordered, key, carried), f"{shared_folder(docs.sparkSession)}/compared")
+    ordered = rows.repartitionByRange(parts, *order, "null_id", "own_id").sortWithinPartitions(*order, "normal_text", "null_id", "own_id")
+    marked = stored(compared(ordered, "normal_text", [*inner.values(), "own_id", "sha"]), f"{shared_folder(docs.sparkSession)}/compared")
     joins = _joined_runs(marked)
-    sizes = marked.groupBy("part", "run").agg(F.min_by(id_column, "row").alias("first_id"), F.count("*").alias("n"))
+    sizes = marked.groupBy("part", "run").agg(F.min_by("own_id", "row").alias("first_id"), F.count("*").alias("n"))
     sizes = sizes.join(F.broadcast(joins), ["part", "run"], "left")  # one row per partition at most
     sizes = sizes.select("part", "run", "first_id", "n", F.coalesce("root_part", "part").alias("root_part"), F.coalesce("root_run", "run").alias("root_run"))
     # runs that cross borders: as many rows as partitions, so a second small aggregate; the rest is itself
     whole = sizes.groupBy("root_part", "root_run").agg(F.min_by("first_id", "part").alias("keep_id"), F.sum("n").alias("group_size"))
     sizes = sizes.join(whole, ["root_part", "root_run"]).select("part", "run", "keep_id", "group_size", (F.col("part") == F.col("root_part")).alias("opens"))
-    named = {c: free_name(docs, c) for c in ("keep_id", "group_size", "kept")}
+    named = {c: free_name(docs.select(*(F.col(f"`{k}`") for k in keep)), c) for c in ("keep_id", "group_size", "kept", "text_sha256")}
     found = marked.join(sizes, ["part", "run"])
     return found.select(
-        *keep, F.col("keep_id").alias(named["keep_id"]), F.col("group_size").alias(named["group_size"]),
-        (F.col("opens") & (F.col("row") == 0)).alias(named["kept"]), sha,
+        *(F.col(n).alias(c) for c, n in inner.items()), F.col("keep_id").alias(named["keep_id"]), F.col("group_size").alias(named["group_size"]),
+        (F.col("opens") & (F.col("row") == 0)).alias(named["kept"]), F.col("sha").alias(named["text_sha256"]),
     )
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, as they came in: whole text, all columns."""
     mark = free_name(docs, "whole_text")
-    rows = docs.withColumn(mark, F.col(text))
+    rows = docs.withColumn(mark, F.col(f"`{text}`"))
     found = groups(rows, id_column, text, keep=[*(c for c in docs.columns if c != text), mark])
-    return found.where(found[free_name(rows, "kept")]).select(*(F.col(mark).alias(c) if c == text else F.col(c) for c in docs.columns))
+    return found.where(found[found.columns[-2]]).select(*(F.col(mark if c == text else f"`{c}`").alias(c) for c in docs.columns))

@@ -28,12 +28,13 @@ COVERED, SAMPLE_QUERIES = 0.95, 200
 BLOCK, SLICE = 8192, 2048
 
 
-def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
+def usable(rows: DataFrame, id_column: str, vector: str, kind: str = "float") -> DataFrame:
     """(id, v): vectors that are not null or zero, have finite components, and the usual length.
 
-    The usual length is the most frequent one, ties to the longer. Null ids are left out.
+    The usual length is the most frequent one, ties to the longer. Null ids are left out. `kind` is
+    the type of the components.
     """
-    v = F.col(vector).cast("array<float>")
+    v = F.col(vector).cast(f"array<{kind}>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id is not null").where(F.coalesce(fine, F.lit(False)))
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -41,15 +42,15 @@ def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Lloyd's rounds from evenly spaced starts over the sorted first component; float32."""
+    """Lloyd's rounds from evenly spaced starts over the sorted first component, in the type of the points."""
     k = max(1, min(k, len(points)))
     order = np.random.default_rng(7).permutation(len(points))
-    centres = points[order[:k]].astype(np.float32)
+    centres = points[order[:k]]
     for _ in range(rounds):
         near = nearest(points, centres)
         counts = np.bincount(near, minlength=k)
         sums = np.stack([np.bincount(near, weights=points[:, j], minlength=k) for j in range(points.shape[1])], axis=1)
-        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres).astype(np.float32)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres).astype(points.dtype)
     return centres
 
 
@@ -86,7 +87,7 @@ def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: i
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def needed_share(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int) -> float:
@@ -119,7 +120,8 @@ def best_of(queries: np.ndarray, entries: np.ndarray, seen: np.ndarray, k: int)
     rough = np.where(seen, q @ e.T, -np.inf)
     out = []
     for row, own in zip(rough, q, strict=True):
-        least = np.partition(row, -k)[-k] - 1e-9 if len(row) > k else -np.inf
+        least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+        least -= 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else 0.0
         places = np.flatnonzero((row >= least) & (row > -np.inf))
         score = np.zeros(len(places))
         for j in range(len(own)):
@@ -137,7 +139,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     """
     spark = rows.sparkSession
     folder = shared_folder(spark)
-    fine = stored(usable(rows, id_column, vector), f"{folder}/vectors")
+    # single-precision components stay so; all others are kept in double
+    single = all(t.schema[vector].dataType.simpleString() == "array<float>" for t in (rows, queries))
+    kind, dtype = ("float", np.float32) if single else ("double", np.float64)
+    fine = stored(usable(rows, id_column, vector, kind), f"{folder}/vectors")
     empty = "query_id long, rank int, id long, score double"
     total = fine.count()
     if not total:
@@ -147,11 +152,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     # one row per vector; ranks within equal vectors, so the cut is exact
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = fine.distinct().withColumn("r", rank).where(F.col("r") <= k + 1).drop("r")
-    sample = np.array([r["v"] for r in fine.where(sampled(F.col("id"), total, TRAINING_ROWS)).select("v").collect()], dtype=np.float32)
+    sample = np.array([r["v"] for r in fine.where(sampled(F.col("id"), total, TRAINING_ROWS)).select("v").collect()], dtype=dtype)
     if not len(sample):
-        sample = np.array([fine.first()["v"]], dtype=np.float32)
+        sample = np.array([fine.first()["v"]], dtype=dtype)
     size = max(1, min(MOST_CENTROIDS, int(np.sqrt(total / PER_CELL))))
-    books = (kmeans(sample[:, :half], size) if half else np.zeros((1, 0), np.float32), kmeans(sample[:, half:], size))
+    books = (kmeans(sample[:, :half], size) if half else np.zeros((1, 0), dtype), kmeans(sample[:, half:], size))
     width = len(books[1])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +165,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
             cells = nearest(v[:, :half], books[0]) * width + nearest(v[:, half:], books[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=["id", "v", "cell"])
 
-    placed = stored(entries.mapInArrow(place, "id long, v array<float>, cell long"), f"{folder}/cells")
+    placed = stored(entries.mapInArrow(place, f"id long, v array<{kind}>, cell long"), f"{folder}/cells")
     # one count per cell: bounded by the square of the number of centroids
     sizes = np.zeros(len(books[0]) * width, dtype=np.int64)
     for r in placed.groupBy("cell").count().collect():
@@ -171,7 +176,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     parts_of = np.maximum(1, -(-sizes // BLOCK))
 
     asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("q"))
-    asked = usable(asked, "id", "q").where(F.size("v") == length)
+    asked = usable(asked, "id", "q", kind).where(F.size("v") == length)
     asked = asked.groupBy("v").agg(F.min("id").alias("query")).select("query", "v")
     asked = stored(asked, f"{folder}/queries")
 
@@ -198,7 +203,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
             part = np.asarray(batch.column(0)) % parts_of[cells]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of[cells]), pa.array(part)], names=["id", "v", "cell", "block", "part"])
 
-    in_blocks = placed.mapInArrow(put, "id long, v array<float>, cell long, block long, part long")
+    in_blocks = placed.mapInArrow(put, f"id long, v array<{kind}>, cell long, block long, part long")
     # the queries of a block are cut into slices, each of which gets the block's entries
     n_slices = -F.floor(-F.col("n") / SLICE)
     per_block = probes.groupBy("block", "part").agg(F.count("*").alias("n"))
@@ -229,7 +234,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).select("query", "id", "score")
     found = found.groupBy("query").agg(F.collect_list(F.struct("id", "score")).alias("found"))  # k + 1 at most
     # every id that asked with this vector, each without its own row
-    askers = usable(queries.select(F.col(id_column).alias("id"), F.col(vector).alias("q")), "id", "q").distinct()
+    askers = usable(queries.select(F.col(id_column).alias("id"), F.col(vector).alias("q")), "id", "q", kind).distinct()
     askers = askers.join(asked.withColumnRenamed("query", "first"), "v").select(F.col("id").alias("query_id"), "first")
     rows = askers.join(found, askers["first"] == found["query"]).select("query_id", F.explode("found").alias("f")).where("f.id <> query_id")
     last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("f.score"), "f.id"))

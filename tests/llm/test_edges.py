@@ -169,6 +169,24 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_in_double(spark):
+    """Differences below single precision decide, and components beyond its range take part."""
+    rows = [(i, [1 + i * 1e-9, 0.5]) for i in range(40)] + [(100, [1e39, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, df.where("vec_id = 0"), k=4).orderBy("rank").collect()
+    assert [r.id for r in found] == [100, 39, 38, 37] and found[1].score == (1 + 39e-9) + 0.25
+
+
+def test_exact_names_follow_the_kept_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 0, 0), (2, "a  b", 0, 0)], "doc_id long, text string, keep_id int, text_sha256 int")
+    assert exact.groups(df, keep=["doc_id"]).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert exact.groups(df).columns == ["doc_id", "keep_id", "text_sha256", "keep_id_", "group_size", "kept", "text_sha256_"]
+    left = exact.without_copies(df).collect()
+    assert [tuple(r) for r in left] == [(1, "a b", 0, 0)]
+    ours = df.select("doc_id", "text", *(df.keep_id.alias(c) for c in ("part", "run", "row", "first_edge", "opens", "own_id", "column_0", "sha")))
+    assert [tuple(r) for r in exact.without_copies(ours).collect()] == [(1, "a b", *[0] * 8)]
+
+
 def test_segments_against_all_spans():
     random.seed(2)
     for _ in range(200):
