@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkveil.functions.clean import CONTROL
 from sparkveil.functions.sql import apply, lit, regex
 from sparkveil.functions.unicode import affected_sql, compatibility_sql, exact_form
 from sparkveil.functions.sql import let
@@ -72,7 +73,7 @@ MAGIC = {
 ALLOWED_EXTENSIONS = (
     "csv", "xlsx", "xls", "json", "txt", "docx", "doc", "pptx", "ppt", "pdf", "html", "htm", "xml", "md", "log",
 )
-CONTROL_KEEPING_BREAKS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+CONTROL_KEEPING_BREAKS = CONTROL
 CONTROL_ALL = r"[\x00-\x1f\x7f]"
 
 

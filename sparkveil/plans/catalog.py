@@ -78,7 +78,9 @@ FAMILIES: tuple[Family, ...] = (
         _d("SESSION_ID", r'(?:jsessionid|phpsessid|asp\.net_sessionid|session[_-]?id|sid)[\s:=]*([A-Za-z0-9_-]{16,64})\b', "SESSION_ID", None, "sess", "sid"),
         _d("JWT_TOKEN", r'\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b', "JWT_TOKEN", None, "eyj", icase=False, needs="dot"),
         _d("OAUTH_TOKEN", r'(?:bearer|oauth|access[_-]?token|refresh[_-]?token|auth[_-]?token)[\s:=]+([A-Za-z0-9_.-]{20,})\b', "AUTH_TOKEN", None, "token", "bearer", "auth"),
-        _d("COOKIE_SESSION", r'(?:cookie|set-cookie)[\s:]*[^;]*(?:session|auth|token|user)[^;]*=[^;\s]+', "SESSION_COOKIE", None, "="),
+        # the same matches as [\s:]*[^;]*(?:session|auth|token|user)[^;]*=[^;\s]+ behind the word: the first keyword is
+        # the one with most behind it, so the others need not be tried
+        _d("COOKIE_SESSION", r'(?:cookie|set-cookie)(?=(?>[^;]*?(?:session|auth|token|user))[^;]*=[^;\s])[^;]*=[^;\s]+', "SESSION_COOKIE", None, "="),
     )),
     Family("DET5", 1, "redact_database_strings", "regex_compound", 1.0, (
         _d("DB_CONNECTION_STRING", r'''(?:connection\s*string|connstr|jdbc|odbc)[\s:=]*["\']?[^"\']*(?:password|pwd|pass)\s*=\s*[^;"\'\s]+''', "DB_CONNECTION", None, "="),

@@ -45,8 +45,8 @@ def read_any(spark: SparkSession, path: str, whole: bool = False, schema: T.Stru
         return spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
-        # quoted values keep their line breaks and doubled quotes; bad lines have a reason in row_errors
-        return read_csv(spark, path).rows
+        # bad records have a reason in `records.read_csv`, which `process` writes to its error table
+        return errors.good_rows(read_csv(spark, path).rows)
     if kind == "json":
         return reader.json(path, multiLine=True)
     return reader.json(path) if kind == "jsonl" else reader.format(kind).load(path)
@@ -87,6 +87,7 @@ def process(
     whole: bool = False,
     parts: int | None = None,
     as_written: bool = False,
+    names_file: str | None = None,
 ) -> DataFrame:
     """Read by extension, redact, write in the same format. Returns what was written.
 
@@ -94,10 +95,12 @@ def process(
     error settings of ``config`` (``operators.errors``). JSON with columns named does the same for
     top-level text fields; without, every text leaf is redacted, and ``as_written`` keeps numbers,
     key order and blanks as they are. Text goes line by line unless ``whole``; HTML keeps its
-    markup. ``parts`` deals the input out first.
+    markup. ``parts`` deals the input out first. Without ``names``, a list in ``names_file`` or in
+    one of NAME_PLACES is used beside the built-in one.
     """
     kind = kind_of(path)
     config = config or RedactionConfig()
+    names = names or default_names(spark, names_file)
     if kind in ("csv", "parquet", "orc"):
         return _process_columns(spark, path, out, kind, columns, config, names, in_place, parts)
     if kind in ("json", "jsonl") and not columns and as_written:
@@ -209,8 +212,24 @@ def name_lists(names: DataFrame, base: NameLists | None = None) -> NameLists:
     return lists
 
 
-def find_names_file(places: Sequence[str] = ("names.txt", "data/names.txt")) -> str | None:
-    return next((p for p in places if os.path.exists(p)), None)
+#: Where a name list is looked for when none is named, in order (fixed values).
+NAME_PLACES = ("names.txt", "data/names.txt")
+
+
+def find_names_file(spark: SparkSession, places: Sequence[str] = NAME_PLACES) -> str | None:
+    """The first of these places that holds a file, through Spark's file systems."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        if path.getFileSystem(hadoop).exists(path):
+            return place
+    return None
+
+
+def default_names(spark: SparkSession, names_file: str | None = None) -> NameLists | None:
+    """The lists of a run: the built-in ones and a file's, which is named or lies in a default place."""
+    path = names_file or find_names_file(spark)
+    return name_lists(read_names(spark, path)) if path else None
 
 
 # -- logs and binaries -------------------------------------------------------

@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkveil.functions.mask import mask_log
+from sparkveil.operators import errors
 from sparkveil.operators.audit import LATENCY_BOUNDS
 from sparkveil.operators.redaction import redact_columns
+from sparkveil.operators.staging import drop_folder, shared_folder, stored
 from sparkveil.plans.config import RedactionConfig
 from sparkveil.plans.words import NameLists
 
@@ -49,6 +51,46 @@ def append(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet")
     )
 
 
+def append_checked(
+    stream: DataFrame,
+    columns: Sequence[str],
+    path: str,
+    errors_path: str,
+    checkpoint: str,
+    config: RedactionConfig | None = None,
+    names: NameLists | None = None,
+    key: Sequence[str] = (),
+) -> StreamingQuery:
+    """Redact what is there into ``path``, errors into ``errors_path``, and stop.
+
+    Each batch is worked on once, into a staging table, and written to a folder of its own number in
+    both places. A batch that is run again after a stop overwrites what it had written, so every
+    row and error is there once. Read both with ``read_batches``.
+    """
+    config = config or RedactionConfig()
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = shared_folder(spark, "batch")
+        try:
+            staged = stored(errors.redact_checked(batch, columns, config, names), folder)
+            found = errors.error_table(staged, key)
+            n = found.count() if config.max_errors > 0 else 0
+            found.write.mode("overwrite").parquet(f"{errors_path}/batch={number}")
+            if 0 < config.max_errors <= n:
+                raise errors.RowErrors(f"Maximum error threshold reached: {n} errors in batch {number}")
+            errors.good_rows(staged).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            drop_folder(spark, folder)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches that ``append_checked`` has written."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
 def mask_stream(stream: DataFrame, column: str) -> DataFrame:
     return stream.withColumn(column, mask_log(column))
 

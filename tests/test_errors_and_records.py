@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkveil.operators import audit, errors, nested, staging
 from sparkveil.plans.config import RedactionConfig, only
 from sparkveil.sources import files, records
+from sparkveil.streaming import pipelines
 
 MAIL = only("DET7")
 
@@ -217,3 +218,63 @@ def test_pages_come_back_byte_for_byte(spark):
     long = spark.createDataFrame([("<b>" + "<i a='b'>x</i>" * 20_000 + "<!-- " + "-" * 50_000 + "'" * 9_999,)], "h string")
     row = nested.redact_html(long, "h", MAIL, out="n").first()
     assert row["h"] == row["n"]
+
+
+# -- streams, names, exclusions ----------------------------------------------------
+
+
+def test_a_stream_has_each_row_and_error_once(spark, rows, tmp_path):
+    source, out, log, state = (f"{tmp_path}/{n}" for n in ("in", "out", "errors", "state"))
+    rows.write.parquet(source)
+    run = lambda config=MAIL: pipelines.append_checked(spark.readStream.schema(rows.schema).parquet(source), ["t"], out, log, state, config, key=["k"]).awaitTermination()
+    with pytest.raises(Exception, match="threshold"):
+        run(MAIL.with_(max_errors=1))
+    run()  # the batch that failed is run again, under its own number
+    run()
+    rows.withColumn("k", F.col("k") + 10).write.mode("append").parquet(source)
+    run()
+    assert sorted(r.k for r in pipelines.read_batches(spark, out).collect()) == [1, 2, 3, 4, 11, 12, 13, 14]
+    assert sorted((r.k, r.column) for r in pipelines.read_batches(spark, log).collect()) == [(2, "t"), (12, "t")]
+
+
+def test_name_list_in_a_default_place(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("zubin\n")
+    (tmp_path / "in.log").write_text("met Zubin Abcd at noon\n")
+    assert files.find_names_file(spark, (f"{tmp_path}/no.txt", f"{tmp_path}/names.txt")) == f"{tmp_path}/names.txt"
+    done = files.process(spark, f"{tmp_path}/in.log", f"{tmp_path}/out.log", None, only("NAM5"), names_file=f"{tmp_path}/names.txt")
+    assert done.first()["value"] == "met [NAME] at noon"
+
+
+def test_exclusions_with_a_hot_domain(spark):
+    from sparkveil.operators import relational
+
+    found = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "a@Hot.com").otherwise(F.concat("id", F.lit("@b.com"))).alias("original"))
+    excluded = spark.createDataFrame([("HOT.com",), ("hot.com",), ("never.org",), (None,)], "d string")
+    left = relational.without_excluded(found, excluded, "d", by_domain=True)
+    assert left.columns == found.columns and left.count() == 1000 and left.where("id % 3 > 0").count() == 0
+
+
+# -- cookies -----------------------------------------------------------------------
+
+
+def test_cookie_pattern_is_the_plain_one_and_fast(spark):
+    """Fixed value: the plain form of the pattern, compared on generated texts."""
+    import re
+    import time
+
+    from sparkveil.operators import redaction
+
+    plain = re.compile(r"(?:cookie|set-cookie)[\s:]*[^;]*(?:session|auth|token|user)[^;]*=[^;\s]+", re.IGNORECASE)
+    rng = random.Random(6)
+    bits = ["cookie", "set-cookie", ": ", "session", "auth", "token", "user", "=", "x1", ";", " ", "= ", "\n", "Cookie:", "a=b"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 16))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {}
+    for r in redaction.findings(df, "t", ["i"], only("DET4", enable_data_cleaning=False)).where("pi_type = 'SESSION_COOKIE'").collect():
+        got.setdefault(r.i, []).append((r.start, r.end))
+    want = {i: [m.span() for m in plain.finditer(t)] for i, t in enumerate(texts)}
+    others = {r.i for r in redaction.findings(df, "t", ["i"], only("DET4", enable_data_cleaning=False)).where("pi_type <> 'SESSION_COOKIE'").collect()}
+    assert all(got.get(i, []) == w for i, w in want.items() if i not in others) and sum(map(bool, want.values())) > 30
+    slow = spark.createDataFrame([("= " + "cookie token " * 1000,)], "t string")
+    start = time.time()
+    assert redaction.findings(slow, "t", [], only("DET4")).count() == 0 and time.time() - start < 20
