@@ -177,27 +177,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH l AS (
         SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents
-    ), h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS x FROM l
+    ), b AS (
+        SELECT *, greatest(1, sum(regexp_matches(line, '[^\\x20\\x09-\\x0D]')::INT) OVER (PARTITION BY doc_id ORDER BY i)) AS pos FROM l
+    ), u AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS line FROM b GROUP BY doc_id, pos
+    ), h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS x FROM u
     ), r AS (
-        SELECT *, (x + {lines.MULTIPLIER} * lag(x, 1, 0) OVER d) % {lines.SPAN} AS roll FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)
-    ), c AS (
-        SELECT *, coalesce(sum((roll % {lines.DIVISOR} = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r
-    ), chunks AS (
-        SELECT doc_id, pos, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS t FROM c GROUP BY doc_id, pos
-    ), ranked AS (
-        SELECT *, n_lines >= {lines.LEAST_LINES} AND trim(translate(t, chr(10) || chr(13) || chr(9), '   ')) <> '' AND row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) > 1 AS gone FROM chunks
+        SELECT *, (x + {lines.MULTIPLIER} * lag(x, 1, 0) OVER d) % {lines.SPAN} AS roll, lead(line) OVER d AS after FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+    ), pairs AS (
+        SELECT doc_id, pos, row_number() OVER (PARTITION BY line, after ORDER BY doc_id NULLS FIRST, pos) > 1 AS again FROM r WHERE after IS NOT NULL
+    ), gone AS (SELECT doc_id, pos FROM pairs WHERE again UNION SELECT doc_id, pos + 1 FROM pairs WHERE again
+    ), marked AS (
+        SELECT r.*, gone.pos IS NOT NULL AS gone, pos = max(pos) OVER (PARTITION BY doc_id) AS last FROM r LEFT JOIN gone USING (doc_id, pos)
     ), back AS (
-        SELECT doc_id, count(*) AS n_chunks, sum(gone::INT) AS removed_chunks, coalesce(sum(n_lines) FILTER (gone), 0) AS removed_lines,
-            coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t
-        FROM ranked GROUP BY doc_id
+        SELECT doc_id, count(*) AS n_lines, sum((last OR roll % {lines.DIVISOR} = 0)::INT) AS n_chunks, sum(gone::INT) AS removed_lines,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t
+        FROM marked GROUP BY doc_id
     )
-    SELECT doc_id, n_chunks, CAST(removed_chunks AS BIGINT) AS removed_chunks, CAST(removed_lines AS BIGINT) AS removed_lines, sha256(t) AS text_sha256, CAST(length(t) AS BIGINT) AS n_chars FROM back
+    SELECT doc_id, n_lines, CAST(n_chunks AS BIGINT) AS n_chunks, CAST(removed_lines AS BIGINT) AS removed_lines, sha256(t) AS text_sha256, CAST(length(t) AS BIGINT) AS n_chars FROM back
     """
 )
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the line chunks that stand elsewhere before."""
+    """Every document without the lines that stand in a row elsewhere before."""
     found = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_chunks", "removed_lines", F.sha2(F.encode(text, "utf-8"), 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))
 
 
 @query()

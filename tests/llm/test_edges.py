@@ -96,13 +96,17 @@ def test_licenses(docs, none):
 
 def test_lines(docs, none):
     rows = lines.without_repeats(docs).collect()
-    assert len(rows) == len(ROWS) and sum(r.removed_chunks for r in rows) == 0 and {r.text for r in rows if r.doc_id == 2} == {None}
+    assert len(rows) == len(ROWS) and sum(r.removed_lines for r in rows) == 0 and {r.text for r in rows if r.doc_id == 2} == {None}
     assert lines.without_repeats(none).count() == 0
     block = [f"shared line {i} of a notice" for i in range(30)]
     texts = [(i, "\n".join([f"top {i}", *([f"more {i}"] * (i % 2)), *block, f"end {i}"])) for i in range(4)]
     found = lines.without_repeats(docs.sparkSession.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
-    assert found[0].text == texts[0][1] and all(r.removed_lines > 10 for r in found[1:])
-    assert all(r.text.startswith(f"top {r.doc_id}") and r.text.endswith(f"end {r.doc_id}") for r in found)
+    assert found[0].text == texts[0][1] and [r.removed_lines for r in found] == [0, 30, 30, 30]
+    assert [r.text.split("\n") for r in found[1:]] == [[f"top {i}", *([f"more {i}"] * (i % 2)), f"end {i}"] for i in (1, 2, 3)]
+    named = docs.sparkSession.createDataFrame([(1, "a\nb", 5), (2, "a\nb", None)], "gone long, lines string, N_LINES int")
+    found = lines.without_repeats(named, "gone", "lines").orderBy("gone")
+    assert found.columns == ["gone", "lines", "N_LINES", "n_lines_", "n_chunks", "removed_lines"]
+    assert [(r.gone, r.lines, r.removed_lines) for r in found.collect()] == [(1, "a\nb", 0), (2, "", 2)]
 
 
 def test_bpe(docs, none):

@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 
-from sparkveil.llm import mixing, simhash
+from pyspark.sql import functions as F
+
+from sparkveil.llm import lines, mixing, simhash
 
 
 def _edited(words, rng, share):
@@ -102,3 +105,52 @@ def test_mixing_meets_the_target_of_a_tiny_domain(spark):
     assert np.abs(got / target - 1).max() <= mixing.TOLERANCE
     n, shares = np.array([x for x, _ in data], dtype=float), np.array([x for _, x in data])
     assert np.allclose((mixing.rates_after(shares, steps) * n) @ shares, got)
+
+
+def _without_repeats(texts):
+    """Every line goes that stands in a row with the one before or after it at an earlier place; plain loops."""
+    cut = {}
+    for i, text in texts.items():
+        parts = text.split("\n")
+        units = [parts[0]]
+        for part in parts[1:]:
+            if part.strip(" \t\r\x0b\x0c") and units[-1].strip(" \t\r\x0b\x0c\n"):
+                units.append(part)
+            else:
+                units[-1] += "\n" + part
+        cut[i] = units
+    seen, gone = set(), {i: set() for i in texts}
+    for i in sorted(cut):
+        for k, pair in enumerate(zip(cut[i], cut[i][1:])):
+            if pair in seen:
+                gone[i] |= {k, k + 1}
+            seen.add(pair)
+    return {i: ("\n".join(u for k, u in enumerate(cut[i]) if k not in gone[i]), len(gone[i])) for i in cut}
+
+
+def _passages():
+    """Passages of 2 to 16 lines between own lines, blank lines, one passage in half of all documents, and few different lines."""
+    rng = random.Random(11)
+    own = iter(range(10**6))
+    passages = [[f"passage {p} line {k}" + "\n" * rng.choice([0, 0, 0, 1, 2]) for k in range(rng.randrange(2, 17))] for p in range(60)]
+    texts = {}
+    for i in range(150):
+        parts = [f"own {next(own)}" for _ in range(rng.randrange(4))]
+        for p in [*rng.sample(range(1, 60), 2), *([0] if i % 2 else [])]:
+            parts += [*passages[p], *(f"own {next(own)}" for _ in range(rng.randrange(3)))]
+        texts[i] = "\n".join(parts)
+    texts |= {200 + i: "\n".join(rng.choice("abcd") for _ in range(rng.randrange(30))) for i in range(40)}
+    texts |= {300: "", 301: "\n\n", 302: "\n \nx\ny", 303: "x\ny\n", 304: "z\n" * 500, 305: "z\r\nz", 306: "é\u2028\nü", 307: "é\u2028\nü\nv"}
+    return texts
+
+
+@pytest.mark.parametrize("bits", [128, 5])
+def test_every_repeated_run_of_lines_goes(spark, monkeypatch, bits):
+    """Also where different lines share a hash: then lines themselves are compared."""
+    if bits < 64:
+        monkeypatch.setattr(lines, "line_key", lambda seed: lambda line: F.pmod(F.xxhash64(F.lit(7), line), F.lit(1 << bits)))
+    texts = _passages()
+    docs = spark.createDataFrame([*texts.items(), *list(texts.items())[:9]], "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.text, r.removed_lines) for r in lines.without_repeats(docs).collect()}
+    expected = _without_repeats(texts)
+    assert found == expected and sum(n for _, n in expected.values()) > 2000
