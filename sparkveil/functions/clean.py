@@ -105,6 +105,18 @@ def _numeric_sql(x: str, pattern: str, number: str) -> str:
     return f"array_join(transform(split({marked}, '{START}'), p -> {piece}), '')"
 
 
+DECIMAL_ENTITY, HEX_ENTITY = r"&#(\d+);", r"&#x([0-9a-fA-F]+);"
+_DECIMAL = "try_cast({0} AS BIGINT)"
+_HEX = "IF(length(TRIM(LEADING '0' FROM {0})) < 9, try_cast(conv({0}, 16, 10) AS BIGINT), NULL)"
+
+
+def numeric_entity_sql(x: str, pattern: str) -> str:
+    """What one numeric entity, which matches ``pattern``, stands for; itself if for nothing."""
+    lead, number = ("&#", _DECIMAL) if pattern == DECIMAL_ENTITY else ("&#x", _HEX)
+    digits = f"substring({x}, {len(lead) + 1}, length({x}) - {len(lead) + 1})"
+    return f"coalesce({_code_point(number.format(digits))}, {x})"
+
+
 def entities_sql(x: str) -> str:
     numeric = let(
         "e",
@@ -112,8 +124,8 @@ def entities_sql(x: str) -> str:
         "IF(contains(e, '&#'), "
         + let(
             "g",
-            _numeric_sql("e", r"&#(\d+);", "try_cast(f[1] AS BIGINT)"),
-            _numeric_sql("g", r"&#x([0-9a-fA-F]+);", "IF(length(TRIM(LEADING '0' FROM f[1])) < 9, try_cast(conv(f[1], 16, 10) AS BIGINT), NULL)"),
+            _numeric_sql("e", DECIMAL_ENTITY, _DECIMAL.format("f[1]")),
+            _numeric_sql("g", HEX_ENTITY, _HEX.format("f[1]")),
         )
         + ", e)",
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkveil.functions import checks, clean, mask, sanitize
 from sparkveil.functions import spans as S
 from sparkveil.functions.sql import apply
-from sparkveil.operators import audit, errors, nested, redaction, relational, staging
+from sparkveil.operators import audit, errors, nested, raw, redaction, relational, staging
 from sparkveil.plans import words as W
 from sparkveil.plans.config import RedactionConfig, only
 from sparkveil.plans.words import NameLists
@@ -673,6 +673,37 @@ def redacted_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.redact_html(rows, "html", only("DET7", enable_data_cleaning=False))
 
 
+# -- places in the raw text --------------------------------------------------------
+
+# A lead that cleaning shortens: invisible, typographic and blank characters, entities, line breaks.
+_RAW = "'\u200b \u2026  &amp;amp;\t&#x41;\u00ad mail' || {0} || '@raw.example.com &lt;\u201c\r\n\r\n\r\n ' || {1}"
+
+
+@query(
+    "findings_in_raw_text",
+    rf"""WITH r AS (SELECT page_id, {_RAW.format("page_id", "html")} AS html FROM pages),
+    p AS (SELECT page_id, regexp_extract_all(html, '{_EMAIL}') AS m, string_split_regex(html, '{_EMAIL}') AS g FROM r),
+    i AS (SELECT page_id, m, g, unnest(range(1, len(m) + 1)) AS k FROM p),
+    j AS (SELECT page_id, m[k] AS raw_original, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS raw_start FROM i)
+    SELECT page_id, raw_start, CAST(raw_start + length(raw_original) AS BIGINT) AS raw_end, raw_original FROM j""",
+)
+def findings_in_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses found in cleaned pages, at their places in the pages as given."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", _RAW.format("page_id", "html") + " AS html")
+    found = raw.findings(rows, "html", ["page_id"], only("DET7"))
+    return found.select("page_id", F.col("raw_start").cast("bigint").alias("raw_start"), F.col("raw_end").cast("bigint").alias("raw_end"), "raw_original")
+
+
+@query(
+    "redacted_raw_pages",
+    f"WITH r AS (SELECT page_id, {_RAW.format('page_id', 'html')} AS html FROM pages) SELECT page_id, {_replace('html', (_EMAIL, '[EMAIL]'))} AS html FROM r",
+)
+def redacted_raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in which addresses are replaced and every other byte stays, though they were found in cleaned text."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", _RAW.format("page_id", "html") + " AS html")
+    return raw.redacted(rows, "html", only("DET7"), out="html")
+
+
 # -- errors and records ----------------------------------------------------------
 
 _HOSTILE = "IF(doc_id % 7 = 0, CAST(concat(CAST(text AS BINARY), X'C3') AS STRING), text) AS text"
