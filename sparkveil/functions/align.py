@@ -16,7 +16,7 @@ from functools import lru_cache
 from sparkveil.functions import clean as C
 from sparkveil.functions.spans import BLOCK
 from sparkveil.functions.sql import EDGE, ITEM, START, array, let, lit, regex
-from sparkveil.functions.unicode import compatibility_sql
+from sparkveil.functions.unicode import compatibility_sql, followers
 from sparkveil.plans.config import RedactionConfig
 
 KEEP = "named_struct('x', s.x, 't', {t}, 'b', {b}, 'e', {e})"
@@ -76,6 +76,11 @@ def _late_marks() -> str:
     return "".join(out)
 
 
+# Hangul letters of every kind, and syllables that a tail may follow.
+_JAMO = r"\u1100-\u11FF\u3131-\u318E\uFFA0-\uFFDC"
+_HANGUL = rf"[\uAC00-\uD7A3{_JAMO}][{_JAMO}]+"
+
+
 def align_stages(config: RedactionConfig | None = None) -> list[str]:
     """From a raw text ``s`` to ``s.t`` (cleaned) with ``s.b`` and ``s.e``: raw begin and end of each
     character, or NULL where raw and cleaned text agree place by place. Blank texts become NULL."""
@@ -84,8 +89,8 @@ def align_stages(config: RedactionConfig | None = None) -> list[str]:
     if not c.enable_data_cleaning:
         return stages
     if c.clean_nfkc_normalize:
-        follows = rf"\p{{M}}{_late_marks()}"
-        stages.append(swap(lit(rf"(?s)[^{follows}][{follows}]+|[\x80-\xBF]|[^\x00-\xFF]"), compatibility_sql("o")))
+        follows = followers() + _late_marks()
+        stages.append(swap(lit(rf"(?s){_HANGUL}|[^{follows}]?[{follows}]+|[\x80-\xBF]|[^\x00-\xFF]"), compatibility_sql("o")))
     stages.append(KEEP.format(t=C.homoglyph_sql("s.t"), b="s.b", e="s.e"))
     if c.clean_strip_zero_width:
         stages.append(swap(lit(C.INVISIBLE), "''"))

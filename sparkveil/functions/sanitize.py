@@ -140,10 +140,10 @@ def escape_html(column: Column | str) -> Column:
 
 
 def unicode_form(column: Column | str, form: str = "NFKC", exact: bool = False) -> Column:
-    """NFC and NFKC stay in the JVM; NFD and NFKD, or ``exact``, run in Arrow batches."""
-    if exact or form in ("NFD", "NFKD"):
+    """All four forms stay in the JVM; ``exact`` asks the workers' own Python, in Arrow batches."""
+    if exact:
         return exact_form(column, form)
-    return apply(column, "x", f"IF({affected_sql('x')}, {compatibility_sql('x', form)}, x)")
+    return apply(column, "x", f"IF({affected_sql('x', form)}, {compatibility_sql('x', form)}, x)")
 
 
 def sanitize(column: Column | str, config: SanitizerConfig | None = None, detect: bool = False) -> Column:
@@ -180,22 +180,10 @@ def sanitize(column: Column | str, config: SanitizerConfig | None = None, detect
         steps.append(drop(r"\x00", "null byte(s)"))
     keep = c.allow_newlines or c.allow_tabs or c.allow_carriage_return
     steps.append(drop(CONTROL_KEEPING_BREAKS if keep else CONTROL_ALL, "control character(s)"))
-    if c.unicode_normalization in ("NFC", "NFKC"):
+    if c.unicode_normalization:
         form = c.unicode_normalization
-        steps.append(change(f"IF({affected_sql('s.t')}, {compatibility_sql('s.t', form)}, s.t)", f"Text was Unicode normalized ({form})"))
-    col = F.col(column) if isinstance(column, str) else column
-    out = col
-    if c.unicode_normalization in ("NFD", "NFKD"):  # no native form: the text leaves the JVM once, between the steps
-        for step in steps:
-            out = apply(out, "s", f"IF(s IS NULL, NULL, {step})")
-        # the text as the steps leave it, without lambdas: those cannot go to a Python worker
-        plain = col if c.max_length is None else F.left(col, F.lit(c.max_length))
-        if c.strip_null_bytes:
-            plain = F.regexp_replace(plain, r"\x00", "")
-        plain = F.regexp_replace(plain, CONTROL_KEEPING_BREAKS if keep else CONTROL_ALL, "")
-        pair = F.struct(out.alias("s"), exact_form(plain, c.unicode_normalization).alias("f"))
-        out = apply(pair, "p", "IF(p.s IS NULL, NULL, named_struct('o', p.s.o, 't', p.s.t, 'n', p.s.n, 'w', p.s.w, 'f', p.f))")
-        steps = [change("s.f", f"Text was Unicode normalized ({c.unicode_normalization})")]
+        steps.append(change(f"IF({affected_sql('s.t', form)}, {compatibility_sql('s.t', form)}, s.t)", f"Text was Unicode normalized ({form})"))
+    out = col = F.col(column) if isinstance(column, str) else column
     if c.escape_html:
         escaped = "s.t"
         for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

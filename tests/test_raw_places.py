@@ -37,7 +37,7 @@ def _python_aligned(text):
     late = lambda c: unicodedata.category(unicodedata.normalize("NFKC", c)[0])[0] == "M"
     clusters, out = [], []
     for c in chars:
-        if clusters and late(c[0]) and not late(clusters[-1][0][0]):
+        if clusters and late(c[0]):
             clusters[-1].append(c)
         else:
             clusters.append([c])
