@@ -21,6 +21,9 @@ TURN, END = "### ", "</turn>\n"
 #: (control string, its escape) in the order of escaping; reading back goes the other way.
 ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\e"), (":", "\\c"))
 
+#: Parts in which the leaves of one tree are ranked before their best are ranked together.
+RANK_PARTS = 64
+
 
 def escaped(text: Column, role: bool = False) -> Column:
     """Control strings inside a text, made harmless; a colon matters in role names only."""
@@ -78,8 +81,11 @@ def conversations(messages: DataFrame, branches: int | None = None, learn: tuple
     reach = paths(clean)
     if branches is not None:
         scored = reach.join(clean.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))
-        best = scored.withColumn("rank", rank).where(F.col("rank") <= branches)
+        ranked = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("path_score"), "leaf"))
+        # a tree of very many leaves is ranked in parts first, of which only the best can be the best
+        parts = scored.withColumn("part", F.pmod(F.xxhash64("leaf"), F.lit(RANK_PARTS)))
+        parts = parts.withColumn("rank", ranked("tree", "part")).where(F.col("rank") <= branches)
+        best = parts.withColumn("rank", ranked("tree")).where(F.col("rank") <= branches)
         reach = reach.join(best.select("tree", "leaf", "rank"), ["tree", "leaf"])
     else:
         reach = reach.withColumn("rank", F.lit(None).cast("int"))

@@ -63,8 +63,8 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, formatted and read back from the output."""
-    back = chat.read_back(chat.conversations(chat_messages(spark, sf_dir)))
+    """Every conversation, formatted and read back from the output. Its tree is a chain: the best branch is all of it."""
+    back = chat.read_back(chat.conversations(chat_messages(spark, sf_dir), branches=1))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(
         F.nullif("tree", F.lit("\0null")).cast("long").alias("conv_id"), "n_turns", F.sha2(F.encode(whole, "utf-8"), 256).alias("turns_sha256"),

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from sparkveil.llm import lines, mixing, simhash
+from sparkveil.llm import chat, lines, mixing, simhash
 
 
 def _edited(words, rng, share):
@@ -154,3 +154,33 @@ def test_every_repeated_run_of_lines_goes(spark, monkeypatch, bits):
     found = {r.doc_id: (r.text, r.removed_lines) for r in lines.without_repeats(docs).collect()}
     expected = _without_repeats(texts)
     assert found == expected and sum(n for _, n in expected.values()) > 2000
+
+
+@pytest.mark.parametrize("branches", [1, 3])
+def test_best_branches_of_random_trees(spark, branches):
+    """Deep, bushy and single-node trees with equal, missing and negative scores, and one tree of a thousand leaves."""
+    rng = random.Random(branches)
+    rows = []
+    for t in range(40):
+        for n in range(rng.choice([1, 2, 12, 60])):
+            parent = None if n == 0 or rng.random() < 0.05 else rng.randrange(max(0, n - rng.choice([1, 3, 60])), n)
+            rows.append((f"t{t}", n, parent, rng.choice(["user", "assistant", "a: b", None]), rng.choice(["x", "### y", "\\b </turn>", "", None]), rng.choice([None, -1.0, 0.0, 0.5, 1.0])))
+    rows += [("hot", 0, None, "user", "top", 0.0), *(("hot", n, 0, "assistant", f"leaf {n}", float(n % 7)) for n in range(1, 1001))]
+    known = {(t, n): (parent, role or "", text or "", score or 0.0) for t, n, parent, role, text, score in rows}
+    inner = {(t, v[0]) for (t, _), v in known.items() if v[0] is not None}
+    expected = {}
+    for tree in {t for t, _ in known}:
+        found = []
+        for (t, leaf) in known:
+            if t == tree and (t, leaf) not in inner:
+                path, at = [], leaf
+                while at is not None:
+                    path.append(known[t, at])
+                    at = known[t, at][0]
+                found.append((-sum(v[3] for v in path), leaf, [(v[1], v[2]) for v in reversed(path)]))
+        for rank, (_, leaf, turns) in enumerate(sorted(found)[:branches], 1):
+            expected[tree, leaf] = (rank, turns)
+    schema = "tree string, node long, parent long, role string, text string, score double"
+    made = chat.conversations(spark.createDataFrame(rows, schema).repartition(4), branches=branches)
+    back = {(r.tree, r.leaf): [(t.role, t.text) for t in r.turns] for r in chat.read_back(made).collect()}
+    assert {(r.tree, r.leaf): (r.rank, back[r.tree, r.leaf]) for r in made.collect()} == expected
