@@ -706,7 +706,7 @@ def redacted_raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- errors and records ----------------------------------------------------------
 
-_HOSTILE = "IF(doc_id % 7 = 0, CAST(concat(CAST(text AS BINARY), X'C3') AS STRING), text) AS text"
+_BROKEN = "IF(doc_id % 7 = 0, CAST(concat(CAST(text AS BINARY), X'C3') AS STRING), text) AS text"
 
 
 @query(
@@ -715,7 +715,7 @@ _HOSTILE = "IF(doc_id % 7 = 0, CAST(concat(CAST(text AS BINARY), X'C3') AS STRIN
 )
 def row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, some with bytes that are no UTF-8: these land in the error table."""
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", _HOSTILE)
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", _BROKEN)
     return errors.error_table(errors.redact_checked(rows, ["text"], PLAIN), ["doc_id"]).select("doc_id", "column", "reason")
 
 
@@ -725,7 +725,7 @@ def row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rows_beside_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents: bad values are never passed on, all other rows come out redacted."""
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", _HOSTILE)
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", _BROKEN)
     return errors.good_rows(errors.redact_checked(rows, ["text"], PLAIN)).select("doc_id", "text_cleaned")
 
 
