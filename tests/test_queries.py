@@ -1,5 +1,10 @@
 """Registered queries on tables of other shapes than the test tables have."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 from sparkveil.queries import QUERIES
 
 
@@ -13,3 +18,22 @@ def test_injection_flags_reads_its_own_hostile_texts(spark, tmp_path):
     rows = {r["c_custkey"]: r for r in QUERIES["injection_flags"](spark, str(tmp_path)).collect()}
     assert [rows[i]["categories"] for i in range(5)] == ["sql_injection", "command_injection", "script_injection", "path_traversal", ""]
     assert [rows[i]["is_safe"] for i in range(10)] == [False, False, False, False, True] * 2
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_streams_read_a_table_of_one_file_and_of_many(spark, tmp_path, whole):
+    turns = [(i, i % 3, f"turn {i}") for i in range(20)]
+    table(spark, tmp_path, "documents", [(i, f"mail u{i}@x.example.com ok") for i in range(20)], "doc_id bigint, text string")
+    table(spark, tmp_path, "conversations", turns, "conv_id bigint, turn int, text string")
+    folder = tmp_path
+    if whole:
+        folder = tmp_path / "whole"
+        folder.mkdir()
+        for name in ("documents", "conversations"):
+            spark.read.parquet(f"{tmp_path}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/one-{name}")
+            part = next(f for f in os.listdir(tmp_path / f"one-{name}") if f.endswith(".parquet"))
+            os.link(tmp_path / f"one-{name}" / part, folder / f"{name}.parquet")
+    found = QUERIES["stream_findings"](spark, str(folder))
+    assert {(r["doc_id"], r["text_cleaned"]) for r in found.collect()} == {(i, "mail [EMAIL] ok") for i in range(20)}
+    masked = QUERIES["stream_log_mask"](spark, str(folder))
+    assert masked.count() == 20 and masked.where(F.col("masked").contains("[EMAIL]")).count() == 20
