@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.operators.redaction import findings
 from sparkveil.plans.config import RedactionConfig, only
-from sparkveil.sources.files import spread
+from sparkveil.sources.files import dealt, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def short_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of many short rows, each of which is worked on for long."""
+    return dealt(table(spark, sf_dir, name))
+
+
 def shown(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("key").cast("bigint").alias("key"),
@@ -42,7 +47,7 @@ def derived(
     """Register findings over ``text``. ``expected``: RE2 pattern, group, token (or SQL in braces)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, source).selectExpr(f"{key} AS key", f"{text} AS text")
+        rows = short_rows(spark, sf_dir, source).selectExpr(f"{key} AS key", f"{text} AS text")
         return shown(findings(rows, "text", ["key"], config.with_(enable_data_cleaning=False)))
 
     items = ", ".join(
@@ -123,7 +128,7 @@ def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
         only=frozenset({"EXT1"}), enable_data_cleaning=False,
         custom_patterns=(CustomPattern("part", r"\bZX-\d+\b", "[PART]"),),
     )
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", f"'part ZX-' || {_O8} || ' here' AS text")
+    rows = short_rows(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", f"'part ZX-' || {_O8} || ' here' AS text")
     return shown(findings(rows, "text", ["key"], config))
 
 

@@ -15,7 +15,7 @@ from sparkveil.operators import audit, errors, nested, raw, redaction, relationa
 from sparkveil.plans import words as W
 from sparkveil.plans.config import RedactionConfig, only
 from sparkveil.plans.words import NameLists
-from sparkveil.queries.detectors import Query, table
+from sparkveil.queries.detectors import Query, short_rows, table
 from sparkveil.sources import files
 from sparkveil.sources.records import read_csv
 from sparkveil.streaming import pipelines
@@ -245,7 +245,7 @@ _VD, _VP = checks._D, checks._P
     SELECT c_custkey, c = 0 AS valid FROM e""",
 )
 def verhoeff_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'2' || lpad(string(c_custkey * 7919), 11, '3') AS t")
+    rows = short_rows(spark, sf_dir, "customer").selectExpr("c_custkey", "'2' || lpad(string(c_custkey * 7919), 11, '3') AS t")
     return rows.select("c_custkey", checks.verhoeff("t").alias("valid"))
 
 
@@ -257,7 +257,7 @@ def verhoeff_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, l_linenumber, c % 10 = 0 AS valid FROM e""",
 )
 def luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    rows = short_rows(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "'4' || lpad(string(l_orderkey * 7919 + l_partkey), 15, '1') AS t"
     )
     return rows.select("l_orderkey", "l_linenumber", checks.luhn("t").alias("valid"))
@@ -271,7 +271,7 @@ def luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT key, n AS original FROM e WHERE c = 0""",
 )
 def aadhaar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr(
+    rows = short_rows(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS key", "'number ' || '2' || lpad(string(c_custkey * 7919), 11, '3') || ' there' AS text"
     )
     found = redaction.findings(rows, "text", ["key"], only("DET8", enable_data_cleaning=False))
@@ -327,7 +327,7 @@ _HOSTILE = (
     CAST(CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_issues FROM customer""",
 )
 def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_HOSTILE} AS t")
+    rows = short_rows(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_HOSTILE} AS t")
     seen = rows.select("c_custkey", sanitize.inspect("t").alias("i"))
     return seen.select(
         "c_custkey", "i.is_safe", F.array_join("i.categories", ",").alias("categories"),
@@ -340,7 +340,7 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT o_orderkey, o_orderpriority || 'xy' AS text, TRUE AS was_modified, CAST(2 AS BIGINT) AS removed_chars, 'Removed 2 control character(s)' AS warnings FROM orders",
 )
 def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderpriority || chr(7) || 'x' || chr(127) || 'y' AS t")
+    rows = short_rows(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderpriority || chr(7) || 'x' || chr(127) || 'y' AS t")
     done = rows.select("o_orderkey", sanitize.sanitize("t", detect=True).alias("s"))
     return done.select(
         "o_orderkey", "s.text", "s.was_modified", F.col("s.removed_chars").cast("bigint").alias("removed_chars"),
@@ -390,7 +390,7 @@ def row_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ELSE 'File type not allowed' END AS name_error FROM customer""",
 )
 def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr(
+    rows = short_rows(spark, sf_dir, "customer").selectExpr(
         "c_custkey", "IF(c_custkey % 2 = 0, 'req-' || c_custkey || '_a', 'req ' || c_custkey) AS r",
         "CASE c_custkey % 3 WHEN 0 THEN 'f' || c_custkey || '.csv' WHEN 1 THEN '../f.csv' ELSE 'f' || c_custkey || '.exe' END AS f",
     )
@@ -575,7 +575,7 @@ def entities_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT c_custkey, CAST(5 AS BIGINT) AS start, original FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Rahul Xyz' WHEN 1 THEN 'Abc Emma' END AS original FROM customer) WHERE original IS NOT NULL",
 )
 def dictionary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr(
+    rows = short_rows(spark, sf_dir, "customer").selectExpr(
         "c_custkey",
         "'Dear ' || CASE c_custkey % 3 WHEN 0 THEN 'Rahul Xyz' WHEN 1 THEN 'Abc Emma' ELSE 'Abc Xyz' END || ' and ' || c_custkey AS text",
     )
@@ -589,7 +589,7 @@ def dictionary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'Dear [NAME] and [EMAIL]' ELSE 'Dear Abc Xyz and [EMAIL]' END AS text_cleaned FROM customer",
 )
 def redacted_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr(
+    rows = short_rows(spark, sf_dir, "customer").selectExpr(
         "c_custkey",
         "'Dear ' || CASE c_custkey % 3 WHEN 0 THEN 'Rahul Xyz' WHEN 1 THEN 'EMMA PARK' ELSE 'Abc Xyz' END || ' and u' || c_custkey || '@mail.example.com' AS text",
     )
@@ -609,7 +609,7 @@ _JSON = "'{\"who\":{\"mail\":\"u' || c_custkey || '@mail.example.com\",\"n\":' |
     "SELECT c_custkey, '{\"who\":{\"mail\":\"[EMAIL]\",\"n\":' || c_custkey || '},\"tags\":[\"x\",\"[IP_V4]\"]}' AS doc FROM customer",
 )
 def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_JSON} AS doc")
+    rows = short_rows(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_JSON} AS doc")
     return nested.redact_json(rows, "doc", "who struct<mail:string,n:bigint>, tags array<string>", PLAIN)
 
 
@@ -619,7 +619,7 @@ def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT c_custkey, '$.tags[0]', 'x' FROM customer UNION ALL SELECT c_custkey, '$.tags[1]', '10.0.0.1' FROM customer",
 )
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_JSON} AS doc")
+    rows = short_rows(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_JSON} AS doc")
     return nested.json_leaves(rows, "doc", ["c_custkey"])
 
 
@@ -656,7 +656,7 @@ def redacted_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'{\"who\": {\"mail\":\"u' || c_custkey || '@mail.example.com\", \"n\":1.50, \"mail' || chr(92) || 'u0040\":' || c_custkey || 'e0}, \"d\":' "
         "|| repeat('[{\"k\": ', 40) || '\"10.0.0.1\"' || repeat('}]', 40) || '}'"
     )
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{doc} AS doc")
+    rows = short_rows(spark, sf_dir, "customer").selectExpr("c_custkey", f"{doc} AS doc")
     return nested.redact_json_text(rows, "doc", PLAIN)
 
 

@@ -37,3 +37,11 @@ def test_streams_read_a_table_of_one_file_and_of_many(spark, tmp_path, whole):
     assert {(r["doc_id"], r["text_cleaned"]) for r in found.collect()} == {(i, "mail [EMAIL] ok") for i in range(20)}
     masked = QUERIES["stream_log_mask"](spark, str(folder))
     assert masked.count() == 20 and masked.where(F.col("masked").contains("[EMAIL]")).count() == 20
+
+
+def test_many_short_rows_of_one_file_are_work_for_several_tasks(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("id AS c_custkey", "'c' AS c_name").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["windows_users"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 3
+    assert found.select("key").distinct().count() == found.count() == 60_000
