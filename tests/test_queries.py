@@ -5,6 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sparkveil.functions.align import align_stages
+from sparkveil.operators import raw, redaction
+from sparkveil.plans.config import only
 from sparkveil.queries import QUERIES
 
 
@@ -45,3 +48,23 @@ def test_many_short_rows_of_one_file_are_work_for_several_tasks(spark, tmp_path)
     found = QUERIES["windows_users"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() == 3
     assert found.select("key").distinct().count() == found.count() == 60_000
+
+
+def test_traced_texts_keep_only_what_cleaning_changes(spark):
+    texts = ["some plain words\nand a second line 12 345", "two  blanks\tand &amp; more \n x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    traced = redaction.run_stages(df, {"o": "t"}, align_stages(traced=True)).orderBy("i")
+    got = traced.select("o.t", F.size("o.ed").alias("edits"), F.aggregate("o.ed", F.lit(0), lambda a, d: a + F.size(d.a)).alias("parts")).collect()
+    assert [r["t"] for r in got] == [texts[0], "two blanks and & more\nx"]
+    # without the line break and the blank between digits nothing is an edit; each edit has a part per match
+    assert got[0]["edits"] <= 1 and got[0]["parts"] <= 2
+    assert 3 <= got[1]["edits"] and got[1]["parts"] <= 9
+
+
+def test_findings_have_the_same_raw_places_traced_as_by_character(spark):
+    text = "​ …  &amp;amp;\t&#x41;­ mail1@raw.example.com &lt;“\r\n\r\n\r\n áb  ﬁn x@y.example.org​ "
+    df = spark.createDataFrame([(1, text)], "i int, t string")
+    place = raw.aligned(df, "t").first()["aligned"]
+    found = raw.findings(df, "t", ["i"], only("DET7")).orderBy("start").collect()
+    assert [r["raw_original"] for r in found] == ["mail1@raw.example.com", "x@y.example.org"]
+    assert [(r["raw_start"], r["raw_end"]) for r in found] == [(place["starts"][r["start"]], place["ends"][r["end"] - 1]) for r in found]
