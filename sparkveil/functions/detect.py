@@ -46,14 +46,18 @@ class Plan:
     def _static(self, values: Sequence[str]) -> str:
         return f"element_at({array(values)}, c.o + 1)"
 
-    def token_sql(self) -> str:
-        """The token of span ``c``."""
+    def _texts(self) -> list[str]:
         c = self.config
-        texts = [
+        return [
             ("CN=" if r.name == "EMP_ID_LDAP" else "")
             + (self._custom_token(r) if r.family.ident == "EXT1" else token(c, r.detector.kind, r.detector.sub))
             for r in self.rows
         ] or [""]
+
+    def token_sql(self) -> str:
+        """The token of span ``c``."""
+        c = self.config
+        texts = self._texts()
         cases = []
         if "EMAIL" in self.at:
             local, domain = "substring_index(lower(c.v), '@', 1)", "substring_index(lower(c.v), '@', -1)"
@@ -80,17 +84,23 @@ class Plan:
         custom = next(p for p in self.config.custom_patterns if p.name == name)
         return custom.token if self.config.use_typed_tokens else self.config.replacement_token
 
+    def _mixed(self) -> bool:
+        """Whether the type of a span may hang on its token."""
+        return "EMAIL" in self.at or any(x.endswith("[EMP_ID]@[DOMAIN]") for x in self._texts())
+
     def type_sql(self) -> str:
         """The clean type name of span ``c``."""
         plain = self.config.with_(use_typed_tokens=True)
         kinds = [token(plain, r.detector.kind, r.detector.sub).strip("[]") for r in self.rows] or [""]
-        cases = "WHEN endswith(c.tok, '[EMP_ID]@[DOMAIN]') THEN 'EMP_ID' "
+        cases = ""
+        if self._mixed():
+            cases = "WHEN endswith(c.tok, '[EMP_ID]@[DOMAIN]') THEN 'EMP_ID' "
         if "EMP_ID_PREFIXED" in self.at and self.config.use_granular_tokens:
             cases += (
                 f"WHEN c.o = {self.at['EMP_ID_PREFIXED']} THEN "
                 "concat('EMP_ID_', upper(substring_index(c.v, '.', 1))) "
             )
-        return f"CASE {cases}ELSE {self._static(kinds)} END"
+        return f"CASE {cases}ELSE {self._static(kinds)} END" if cases else self._static(kinds)
 
     # -- rules ----------------------------------------------------------------
 
@@ -141,6 +151,10 @@ class Plan:
             kept += f"AND lower(c.v) NOT IN ({words(self.config.excluded_terms)})"
         return kept
 
+    def passing_sql(self, spans: str) -> str:
+        rule = self.rule_sql()
+        return spans if rule == "TRUE" else f"filter({spans}, c -> {rule})"
+
     # -- families that need more than a rule ----------------------------------
 
     def _ordinals(self, *idents: str) -> list[int]:
@@ -319,21 +333,23 @@ class Plan:
         kept = "".join(f"'{k}', s.{k}, " for k in keep)
         return f"named_struct({kept}'{name}', {value})"
 
-    def text_stages(self) -> list[str]:
-        """From the raw text ``s`` to ``s.x`` (raw) and ``s.t`` (cleaned). Blank texts become NULL."""
-        stages = [f"IF(s IS NOT NULL AND s RLIKE {regex(r'\S')}, named_struct('x', s, 't', {unmark_sql('s')}), NULL)"]
+    def text_stages(self, raw: bool = True) -> list[str]:
+        """From the raw text ``s`` to ``s.x`` (if ``raw``) and ``s.t`` (cleaned). Blank texts become NULL."""
+        along = ("x",) if raw else ()
+        first = "'x', s, " if raw else ""
+        stages = [f"IF(s IS NOT NULL AND s RLIKE {regex(r'\S')}, named_struct({first}'t', {unmark_sql('s')}), NULL)"]
         if self.config.enable_data_cleaning:
-            stages += [self._put("t", step.replace("{0}", "s.t"), "x") for step in clean_steps(self.config)]
+            stages += [self._put("t", step.replace("{0}", "s.t"), *along) for step in clean_steps(self.config)]
         return stages
 
-    def find_stages(self) -> list[str]:
+    def find_stages(self, raw: bool = True) -> list[str]:
         """Every finding that passes its rules, before overlaps are resolved, in ``s.m``."""
+        along = ("x", "t") if raw else ("t",)
         stages = [
-            self._put("l", "lower(s.t)", "x", "t"),
-            self._put("f", S.flags("s.t", "s.l", self.rows), "x", "t", "l"),
-            self._put("h", S.hits(self.rows, "s.t", "s.l", "s.f"), "x", "t", "f"),
-            self._put("m", S.spans("s.h"), "x", "t"),
-            self._put("m", f"filter(s.m, c -> {self.rule_sql()})", "x", "t"),
+            self._put("l", "lower(s.t)", *along),
+            self._put("f", S.flags("s.t", "s.l", self.rows), *along, "l"),
+            self._put("h", S.hits(self.rows, "s.t", "s.l", "s.f"), *along),
+            self._put("m", self.passing_sql(S.spans("s.h", {r.detector.span for r in self.rows})), *along),
         ]
         for build in (
             self.emails_sql,
@@ -346,31 +362,32 @@ class Plan:
         ):
             value = build()
             if value:
-                stages.append(self._put("m", value, "x", "t"))
+                stages.append(self._put("m", value, *along))
         return stages
 
-    def keep_stages(self) -> list[str]:
-        """Disjoint findings in order, each with its token, in ``s.k``.
+    def chosen_sql(self, every: bool) -> str:
+        """The kept spans, each with its token and its place in ``s.z``."""
+        chosen = (
+            f"named_struct('i', i, 's', c.s, 'n', c.n, 'o', c.o, 'e', c.e, 'lead', c.lead, 'v', c.v, 'tok', {self.token_sql()})"
+        )
+        return f"transform(s.z, (c, i) -> {chosen})" if every else f"transform(s.i, i -> {let('c', 's.z[i]', chosen)})"
 
-        Where the same place gets the same token twice, the later layer is reported.
-        """
+    def latest_sql(self, kept: str) -> str:
+        """Where the same place gets the same token twice, the later layer is reported."""
         same = f"w.s = z.s AND w.n = z.n AND {self.token_sql().replace('c.', 'w.')} = z.tok"
         latest = f"array_max(transform(filter(slice(s.z, z.i + 1, {len(self.rows) + 1}), w -> {same}), w -> w.o))"
-        chosen = let(
-            "c",
-            "s.z[i]",
-            f"named_struct('i', i, 's', c.s, 'n', c.n, 'o', c.o, 'e', c.e, 'lead', c.lead, 'v', c.v, 'tok', {self.token_sql()})",
+        return (
+            f"transform({kept}, z -> named_struct('i', z.i, 's', z.s, 'n', z.n, "
+            f"'o', {latest}, 'e', z.e, 'lead', z.lead, 'v', z.v, 'tok', z.tok))"
         )
+
+    def keep_stages(self, *kept: str) -> list[str]:
+        """Disjoint findings in order, each with its token, in ``s.k``. ``kept``: what else goes along."""
         return [
-            self._put("z", "array_sort(s.m)", "x", "t"),
-            self._put("i", S.resolve("s.z"), "x", "t", "z"),
-            self._put("k", f"transform(s.i, i -> {chosen})", "x", "t", "z"),
-            self._put(
-                "k",
-                "IF(size(s.k) = size(s.z), s.k, transform(s.k, z -> named_struct('i', z.i, 's', z.s, 'n', z.n, "
-                f"'o', {latest}, 'e', z.e, 'lead', z.lead, 'v', z.v, 'tok', z.tok)))",
-                "x", "t",
-            ),
+            self._put("z", "sort_array(s.m)", *kept),
+            self._put("i", S.resolve("s.z"), *kept, "z"),
+            self._put("k", f"IF(size(s.i) = size(s.z), {self.chosen_sql(True)}, {self.chosen_sql(False)})", *kept, "z"),
+            self._put("k", f"IF(size(s.k) = size(s.z), s.k, {self.latest_sql('s.k')})", *kept),
         ]
 
     def rewrite_stages(self) -> list[str]:
@@ -411,13 +428,21 @@ class Plan:
         method = self._static([r.family.method for r in self.rows] or [""])
         return f"'confidence', element_at({confidence}, c.o + 1), 'method', {method}"
 
-    def finding_sql(self) -> str:
+    def finding_sql(self, tok: str = "c.tok") -> str:
         """One finding from a kept span ``c``. ``original`` is cut from the cleaned text."""
         return (
-            f"named_struct('original', {ORIGINAL}, 'replacement', c.tok, "
+            f"named_struct('original', {ORIGINAL}, 'replacement', {tok}, "
             f"'pi_type', {self.type_sql()}, 'start', c.s, 'end', c.e, {self._static_fields()})"
         )
 
+    def findings_sql(self) -> str:
+        """The findings of the kept places; where all are kept, straight from the spans."""
+        some = f"transform({self.latest_sql(self.chosen_sql(False))}, c -> {self.finding_sql()})"
+        every = f"transform({self.chosen_sql(True)}, c -> {self.finding_sql()})"
+        if not self._mixed():
+            every = f"transform(s.z, c -> {self.finding_sql(self.token_sql())})"
+        return f"IF(size(s.i) = size(s.z), {every}, {some})"
+
     # -- what callers ask for: raw text in, wanted value out --------------------
 
     def cleaned(self) -> list[str]:
@@ -425,21 +450,20 @@ class Plan:
 
     def redacted(self) -> list[str]:
         # the raw text travels along, so that blank texts can come back as they were
-        return [*self.text_stages(), *self.find_stages(), *self.keep_stages(), *self.rewrite_stages(), "s.r"]
+        return [*self.text_stages(), *self.find_stages(), *self.keep_stages("x", "t"), *self.rewrite_stages(), "s.r"]
 
     def rewritten(self) -> list[str]:
         """The redacted text where something was found, else NULL: callers keep what they have byte for byte."""
         splice, cleanup, cut, _ = self.rewrite_stages()
         return [
-            *self.text_stages(), *self.find_stages(), *self.keep_stages(), splice, cleanup, cut,
+            *self.text_stages(), *self.find_stages(), *self.keep_stages("x", "t"), splice, cleanup, cut,
             f"IF(NOT s.cut AND s.r = s.t, NULL, {self.finish_sql()})",
         ]
 
     def found(self) -> list[str]:
-        return [
-            *self.text_stages(), *self.find_stages(), *self.keep_stages(),
-            f"transform(s.k, c -> {self.finding_sql()})",
-        ]
+        # the raw text is not asked for, and behind the rules neither is the cleaned one
+        ordered, resolved, *_ = self.keep_stages()
+        return [*self.text_stages(False), *self.find_stages(False), ordered, resolved, self.findings_sql()]
 
     def detailed(self) -> list[str]:
         signature = (
@@ -447,7 +471,7 @@ class Plan:
             "'pi_type', 'SIGNATURE', 'start', -1, 'end', -1, 'confidence', 0.95D, 'method', 'context')"
         )
         return [
-            *self.text_stages(), *self.find_stages(), *self.keep_stages(), *self.rewrite_stages(),
+            *self.text_stages(), *self.find_stages(), *self.keep_stages("x", "t"), *self.rewrite_stages(),
             f"named_struct('x', s.x, 'r', s.r, 'cut', s.cut, 'd', transform(s.k, c -> {self.finding_sql()}))",
             f"named_struct('redacted_text', s.r, 'redactions', IF(s.cut, array_append(s.d, {signature}), s.d), "
             "'original_length', length(s.x), 'redacted_count', size(s.d) + IF(s.cut, 1, 0))",

@@ -13,10 +13,10 @@ then longest, then by catalogue order.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
-from sparkveil.functions.sql import EDGE, START, array, let, lit, plain_regex, regex
-from sparkveil.plans.catalog import FIRST, LEAD, Detector, Row
+from sparkveil.functions.sql import EDGE, START, array, let, lit, plain_regex, regex, spelled
+from sparkveil.plans.catalog import FIRST, LEAD, VALUE, Detector, Row
 
 SPAN = "struct<s:int,n:int,o:int,e:int,lead:string,v:string>"
 NONE = f"CAST(array() AS array<{SPAN}>)"
@@ -53,10 +53,51 @@ _WORD_START = re.compile(r"\\b(?:\(\?:)?(?:[A-Za-z]|\\d|\[[A-Za-z0-9]+(?:-[A-Za-
 
 
 def _head(detector: Detector) -> str:
-    """What to test before the pattern: a word edge before a word character is cheap for ASCII."""
-    if detector.head or not _WORD_START.match(detector.pattern):
+    """What to test before the pattern: the first letter, and a word edge before a word character is cheap for ASCII."""
+    if detector.head:
         return detector.head
-    return "(?<![A-Za-z0-9_])"
+    letters = first_letters(detector.pattern.removeprefix(r"\b"))
+    first = f"(?=[{''.join(sorted(letters))}])" if letters else ""
+    return first + ("(?<![A-Za-z0-9_])" if _WORD_START.match(detector.pattern) else "")
+
+
+def _arms(body: str) -> tuple[list[str], str]:
+    """The branches of the group that ``body`` is inside of, up to its end, and what follows the group."""
+    arms, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            if not depth:
+                return [*arms, body[start:i]], body[i + 1 :]
+            depth -= 1
+        elif ch == "|" and not depth:
+            arms.append(body[start:i])
+            start = i + 1
+        i += 1
+    return [*arms, body[start:]], ""
+
+
+def first_letters(pattern: str) -> frozenset[str]:
+    """ASCII letters and digits one of which every match begins with; empty where that is not plain to see."""
+    if len(_arms(pattern)[0]) > 1:
+        return frozenset()
+    if pattern.startswith("(?:"):
+        arms, rest = _arms(pattern[3:])
+        found = [first_letters(a) for a in arms]
+        chars = frozenset().union(*found) if all(found) else frozenset()
+    elif simple := re.match(r"\[((?:[A-Za-z0-9](?:-[A-Za-z0-9])?)+)\]", pattern):
+        chars, rest = frozenset(spelled(simple[0])[1:-1]), pattern[simple.end() :]
+    else:
+        chars, rest = frozenset(c for c in pattern[:1] if c.isascii() and c.isalnum()), pattern[1:]
+    return frozenset() if rest[:1] in ("?", "*") or rest.startswith("{0") or rest.startswith("{,") else chars
 
 
 def marked(text: str, detector: Detector) -> str:
@@ -138,12 +179,21 @@ def _hit(row: Row, text: str, lower: str, flags: str, known: dict[str, str]) ->
     return f"IF({' AND '.join(test)}, {hit}, NULL)"
 
 
+FEW = 8
+"""Up to so many detectors, each asks for its flag by itself; more are skipped together."""
+
+
 def hits(rows: Sequence[Row], text: str, lower: str, flags: str) -> str:
     """Pieces of every detector whose cheap conditions hold, without the empty ones."""
     known = {w: f"{flags}.k{i}" for i, w in enumerate(keywords(rows))}
+    rows = [r for r in rows if r.detector.pattern]
+    if 0 < len(rows) <= FEW:
+        one = [_hit(r, text, lower, flags, {} if r.detector.needs else known) for r in rows]
+        gated = [f"IF({flags}.{r.detector.needs}, {hit}, NULL)" if r.detector.needs else hit for r, hit in zip(rows, one, strict=True)]
+        return f"filter(array({', '.join(gated)}), h -> h IS NOT NULL AND size(h.p) > 1)"
     groups = []
     for need in ("", *FLAGS):
-        chosen = [r for r in rows if r.detector.needs == need and r.detector.pattern]
+        chosen = [r for r in rows if r.detector.needs == need]
         if not chosen:
             continue
         items = "array(" + ", ".join(_hit(r, text, lower, flags, {} if need else known) for r in chosen) + ")"
@@ -160,24 +210,27 @@ BLOCK = 512
 """Arrays grow in blocks of this many elements: appending copies, and short copies are cheap."""
 
 
-def spans(hit_array: str) -> str:
-    """Hits to spans: offsets are running sums over the pieces, block by block."""
-    start = (
-        f"CASE h.w WHEN {LEAD} THEN a.at "
-        f"WHEN {FIRST} THEN a.at + instr(concat(f[0], f[1]), f[1]) - 1 "
-        f"ELSE a.at + length(f[0]) END"
-    )
-    size = f"length(f[1]) + IF(h.w = {LEAD}, length(f[0]), 0)"
+def spans(hit_array: str, modes: Collection[int] = (VALUE, LEAD, FIRST)) -> str:
+    """Hits to spans: offsets are running sums over the pieces, block by block.
+
+    ``modes``: what the findings of these hits may cover, so that only that is worked out. Most hits are
+    one match; its span needs no sums.
+    """
+
+    def span(at: str) -> str:
+        start, size = f"{at} + length(f[0])", "length(f[1])"
+        end = f"{start} + {size}"
+        if LEAD in modes:
+            start, size = f"IF(h.w = {LEAD}, {at}, {start})", f"IF(h.w = {LEAD}, length(f[0]) + {size}, {size})"
+        if FIRST in modes:
+            first = f"{at} + instr(concat(f[0], f[1]), f[1]) - 1"
+            start, end = f"IF(h.w = {FIRST}, {first}, {start})", f"IF(h.w = {FIRST}, {first} + length(f[1]), {end})"
+        return f"named_struct('s', {start}, 'n', -({size}), 'o', h.o, 'e', {end}, 'lead', f[0], 'v', f[1])"
+
     step = let(
         "f",
         f"split(x, '{EDGE}')",
-        let(
-            "b",
-            f"named_struct('s', {start}, 'z', {size})",
-            "named_struct('at', a.at + length(f[0]) + length(f[1]) + length(f[2]), 'out', "
-            "array_append(a.out, named_struct('s', b.s, 'n', -b.z, 'o', h.o, 'e', b.s + b.z, "
-            "'lead', f[0], 'v', f[1])))",
-        ),
+        f"named_struct('at', a.at + length(f[0]) + length(f[1]) + length(f[2]), 'out', array_append(a.out, {span('a.at')}))",
     )
 
     # each piece carries two marks that are not part of the text
@@ -185,7 +238,9 @@ def spans(hit_array: str) -> str:
     totals = f"transform({blocks}, j -> aggregate({block}, 0, (k, x) -> k + length(x) - 2))"
     starts = f"aggregate({totals}, array(length(h.p[0])), (k, x) -> array_append(k, k[size(k) - 1] + x))"
     walk = f"aggregate({block}, named_struct('at', g[int(j)], 'out', {NONE}), (a, x) -> {step}, a -> a.out)"
-    return f"flatten(transform({hit_array}, h -> {let('g', starts, f'flatten(transform({blocks}, j -> {walk}))')}))"
+    many = let("g", starts, f"flatten(transform({blocks}, j -> {walk}))")
+    one = f"transform(array(split(h.p[1], '{EDGE}')), f -> {span('length(h.p[0])')})"
+    return f"flatten(transform({hit_array}, h -> IF(size(h.p) = 2, {one}, {many})))"
 
 
 def find(text: str, *detectors: Detector, first: int = 0) -> str:
@@ -193,24 +248,27 @@ def find(text: str, *detectors: Detector, first: int = 0) -> str:
     items = ", ".join(
         f"named_struct('o', {first + i}, 'w', {d.span}, 'p', {marked(text, d)})" for i, d in enumerate(detectors)
     )
-    return spans(f"filter(array({items}), g -> size(g.p) > 1)")
+    return spans(f"filter(array({items}), g -> size(g.p) > 1)", {d.span for d in detectors})
 
 
 def resolve(ordered: str) -> str:
     """Leftmost wins; among equal starts the longest; then catalogue order.
 
-    Takes sorted spans and gives the places of the kept ones, which are disjoint.
+    Takes sorted spans and gives the places of the kept ones, which are disjoint. Most are from the
+    start, which one look tells.
     """
+    disjoint = f"aggregate({ordered}, 0, (a, c) -> IF(a >= 0 AND c.s >= a, c.e, -1)) >= 0"
     none, blocks = "CAST(array() AS array<int>)", "CAST(array() AS array<array<int>>)"
     keep = (
         f"IF(size(a.out) < {BLOCK}, "
         f"named_struct('last', {ordered}[i].e, 'out', array_append(a.out, i), 'done', a.done), "
         f"named_struct('last', {ordered}[i].e, 'out', array(i), 'done', array_append(a.done, a.out)))"
     )
+    places = f"IF(size({ordered}) = 0, {none}, sequence(0, size({ordered}) - 1))"
     return (
-        f"aggregate(IF(size({ordered}) = 0, {none}, sequence(0, size({ordered}) - 1)), "
+        f"IF({disjoint}, {places}, aggregate({places}, "
         f"named_struct('last', -1, 'out', {none}, 'done', {blocks}), (a, i) -> "
-        f"IF({ordered}[i].s >= a.last, {keep}, a), a -> flatten(array_append(a.done, a.out)))"
+        f"IF({ordered}[i].s >= a.last, {keep}, a), a -> flatten(array_append(a.done, a.out))))"
     )
 
 
