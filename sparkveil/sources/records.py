@@ -4,8 +4,8 @@ Spark's own multi-line reader gives a whole file to one task. Here a file is rea
 splits. What a line does to the state "inside quotes or not" is one of four functions: it leaves the
 state as it is, turns it round, or ends outside or inside whatever came before. Such functions
 compose, so a running sum over the lines of a split and another over the splits of a file tell where
-each record begins. Only lines of records that span lines are brought together; all others are
-parsed where they stand.
+each record begins. That takes a few bytes a line. The text is written once and, where records span
+lines, shuffled once, to the split in which its record begins; otherwise it is parsed where it stands.
 
 Within a record, fields are parted by the delimiter; a field that begins with a quote ends at the
 next single quote, and two quotes stand for one. A quote elsewhere is an ordinary character.
@@ -61,12 +61,12 @@ def _effect(line: Column, opened: str, closing: str) -> tuple[Column, Column]:
     return F.when(quote, line.rlike(opened)).otherwise(False), from_inside
 
 
-def _before(rows: DataFrame, parts: list[str], order: str, outside: str, inside: str, into: str) -> DataFrame:
+def _before(rows: DataFrame, parts: list[str], order: list[str], outside: str, inside: str, into: str) -> DataFrame:
     """Adds `into`, the composition of all lines before: struct<fixed, state, turned>.
 
     A line that ends alike from both states fixes it; one that ends otherwise from both turns it.
     """
-    earlier = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     fixes, turns = F.col(outside) == F.col(inside), F.col(outside) & ~F.col(inside)
     turned = F.coalesce(F.sum(turns.cast("long")).over(earlier), F.lit(0))
     rows = rows.withColumns({"__n": turned, "__f": F.when(fixes, F.struct(F.col(outside).alias("state"), turned.alias("n")))})
@@ -97,21 +97,21 @@ def read_csv(
     """
     folder = shared_folder(spark, "csv")
     opened, closing, field = _patterns(delimiter)
-    # written once, so that the numbers of the lines are the same wherever they are used
-    lines = stored(_lines(spark, path, encoding), f"{folder}/lines")
     outside, inside = _effect(F.col("line"), opened, closing)
-    effects = lines.select("file", "block", "at", outside.alias("o"), inside.alias("i"))
-    many = stored(effects, f"{folder}/effects")
-    if many.where("o").isEmpty():
+    # written once, so that the numbers of the lines are the same wherever they are used
+    lines = stored(_lines(spark, path, encoding).withColumns({"o": outside, "i": inside}), f"{folder}/lines")
+    if lines.where("o").isEmpty():
         records = lines.select("file", "block", "at", F.col("line").alias("record"), F.lit(None).cast("string").alias("bad"))
     else:
-        records = _joined(lines, many, folder)
+        records = _joined(lines, stored(_blocks(lines), f"{folder}/blocks"))
     first = (F.col("block") == 0) & (F.col("at") == F.col("start"))
     if header is None:
-        starts = lines.where("block = 0").groupBy("file").agg(F.min("at").alias("start"))
-        # one short row per file says which record is the header
+        # one short row per file says which record is the header; stored, as Spark knows the size of files
+        starts = stored(lines.where("block = 0").groupBy("file").agg(F.min("at").alias("start")), f"{folder}/starts")
         records = records.join(starts, "file", "left")
-        top = records.where(first).orderBy("file").select("record").first()
+        of = starts.agg(F.min("file")).first()[0]
+        # file and split go down to the lines, so that only the first split of one file is worked on
+        top = records.where((F.col("file") == of) & (F.col("block") == 0)).where(first).select("record").first()
         if top is None:
             return Records(spark.createDataFrame([], f"{ERRORS} array<struct<column:string,reason:string,original:string>>"), [], folder)
         header = _header(spark, top["record"], delimiter, field)
@@ -120,49 +120,52 @@ def read_csv(
     return Records(_parsed(records, header, delimiter, field, include_original), header, folder)
 
 
-def _joined(lines: DataFrame, many: DataFrame, folder: str) -> DataFrame:
-    """(file, block, at, record, bad): lines that make one record brought together under its first line."""
-    inner = _before(many, ["file", "block"], "at", "o", "i", "f")
-    after = lambda state: F.when(_applied(F.col("f"), F.lit(state)), F.col("i")).otherwise(F.col("o"))
-    inner = stored(inner.withColumns({"o2": after(False), "i2": after(True)}), f"{folder}/inner")
-    # one row per split: its lines as one function
-    blocks = inner.groupBy("file", "block").agg(F.max_by("o2", "at").alias("o"), F.max_by("i2", "at").alias("i"))
-    blocks = _before(blocks, ["file"], "block", "o", "i", "g")
-    ends = _applied(F.col("g"), F.lit(False))
-    blocks = blocks.select("file", "block", ends.alias("begins"), F.when(ends, F.col("i")).otherwise(F.col("o")).alias("ends"))
-    placed = inner.join(blocks.select("file", "block", "begins"), ["file", "block"])
-    placed = placed.select("file", "block", "at", (~_applied(F.col("f"), F.col("begins"))).alias("starts"))
-    # where a record goes on in the next split, that split's head belongs to the last record that began
-    heads = placed.groupBy("file", "block").agg(F.max(F.when(F.col("starts"), F.struct("block", "at"))).alias("last"), F.min_by("starts", "at").alias("whole"))
-    earlier = Window.partitionBy("file").orderBy("block")
-    heads = heads.withColumns(
-        {
-            "carried": F.last("last", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)),
-            "goes_on": F.coalesce(~F.lead("whole").over(earlier), F.lit(False)),
-        }
-    )
-    closed = blocks.groupBy("file").agg(F.max_by("ends", "block").alias("open"))
-    tail = heads.groupBy("file").agg(F.max("last").alias("tail")).join(closed, "file").select("file", F.when(F.col("open"), F.col("tail")).alias("unfinished"))
-    within = Window.partitionBy("file", "block").orderBy("at")
-    own = F.last(F.when(F.col("starts"), F.struct("block", "at")), ignorenulls=True).over(within)
-    next_starts = F.lead("starts").over(within)
-    placed = placed.withColumns({"own": own, "next": next_starts}).join(heads.select("file", "block", "carried", "goes_on"), ["file", "block"]).join(tail, "file")
-    placed = placed.select(
-        "file", "block", "at",
-        F.coalesce("own", "carried").alias("of"),
-        (F.col("starts") & F.coalesce(F.col("next"), ~F.col("goes_on"))).alias("alone"),
-        "unfinished",
+def _blocks(lines: DataFrame) -> DataFrame:
+    """(file, block, first, carried, unfinished): one row per split with lines.
+
+    ``first`` is its first line that begins a record, ``carried`` the last split before it with such a
+    line, ``unfinished`` where a record begins that the end of the file leaves open.
+    """
+    inner = _before(lines.select("file", "block", "at", "o", "i"), ["file", "block"], ["at"], "o", "i", "f")
+    made = []
+    for name, state in (("o", False), ("i", True)):
+        before = _applied(F.col("f"), F.lit(state))
+        begun = F.when(~before, F.col("at"))
+        after = F.when(before, F.col("i")).otherwise(F.col("o"))
+        made += [F.max_by(after, "at").alias(name), F.min(begun).alias(f"first_{name}"), F.max(begun).alias(f"last_{name}")]
+    blocks = _before(inner.groupBy("file", "block").agg(*made), ["file"], ["block"], "o", "i", "g")
+    begins = _applied(F.col("g"), F.lit(False))
+    blocks = blocks.select("file", "block", *[F.when(begins, F.col(i)).otherwise(F.col(o)).alias(n) for n, o, i in (("ends", "o", "i"), ("first", "first_o", "first_i"), ("last", "last_o", "last_i"))])
+    file = Window.partitionBy("file")
+    with_start = F.when(F.col("first").isNotNull(), F.col("block"))
+    tail = F.max(F.when(F.col("last").isNotNull(), F.struct("block", F.col("last").alias("at")))).over(file)
+    return blocks.select(
+        "file", "block", "first",
+        F.last(with_start, ignorenulls=True).over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
+        F.when(F.max(F.struct("block", "ends")).over(file)["ends"], tail).alias("unfinished"),
     )
-    placed = placed.withColumn("bad", F.coalesce(F.col("of") == F.col("unfinished"), F.lit(False)))
-    # lines that are records of their own are most: they stay where they are
-    spans = stored(placed.where("NOT alone OR bad").select("file", "block", "at", "of", "bad"), f"{folder}/spans")
-    simple = lines.join(spans, ["file", "block", "at"], "left_anti").select("file", "block", "at", F.col("line").alias("record"), F.lit(None).cast("string").alias("bad"))
-    parts = lines.join(spans, ["file", "block", "at"])
-    lost = parts.where("bad").select("file", "block", "at", F.col("line").alias("record"), F.lit(UNFINISHED).alias("bad"))
-    whole = parts.where("NOT bad").groupBy("file", "of").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
+
+
+def _joined(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file, block, at, record, bad): lines that make one record brought together under its first line.
+
+    Lines before the first record of a split go to the split that holds the beginning of theirs, so
+    that whole records lie in one group, which begins outside quotes. Lines of a record that never
+    ends stay in their splits.
+    """
+    bad = F.coalesce(F.struct("block", "at") >= F.col("unfinished"), F.lit(False))
+    head = F.coalesce(F.col("at") < F.col("first"), F.lit(True))
+    placed = lines.join(blocks, ["file", "block"]).select(
+        "file", F.when(~bad & head, F.col("carried")).otherwise(F.col("block")).alias("home"), "block", "at", "line", "o", "i", bad.alias("lost")
+    )
+    placed = _before(placed, ["file", "home"], ["block", "at"], "o", "i", "f")
+    starts = ~_applied(F.col("f"), F.lit(False)) | F.col("lost")
+    within = Window.partitionBy("file", "home").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.select("file", "home", "block", "at", "line", "lost", F.max(F.when(starts, F.struct("block", "at"))).over(within).alias("of"))
+    # the lines lie by file and home already: this moves nothing
+    whole = placed.groupBy("file", "home", "of", "lost").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x.line), "\n")
-    whole = whole.select("file", F.col("of.block").alias("block"), F.col("of.at").alias("at"), text.alias("record"), F.lit(None).cast("string").alias("bad"))
-    return simple.unionByName(lost).unionByName(whole)
+    return whole.select("file", F.col("home").alias("block"), F.col("of.at").alias("at"), text.alias("record"), F.when(F.col("lost"), UNFINISHED).alias("bad"))
 
 
 def _values(record: Column, delimiter: str, field: str) -> Column:
