@@ -52,13 +52,19 @@ def split_group(pattern: str) -> tuple[str, str, str]:
 _WORD_START = re.compile(r"\\b(?:\(\?:)?(?:[A-Za-z]|\\d|\[[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\](?![?*]))")
 
 
+MANY_LETTERS = 12
+
+
 def _head(detector: Detector) -> str:
     """What to test before the pattern: the first letter, and a word edge before a word character is cheap for ASCII."""
     if detector.head:
         return detector.head
     letters = first_letters(detector.pattern.removeprefix(r"\b"))
     first = f"(?=[{''.join(sorted(letters))}])" if letters else ""
-    return first + ("(?<![A-Za-z0-9_])" if _WORD_START.match(detector.pattern) else "")
+    if not _WORD_START.match(detector.pattern):
+        return first
+    # in prose a word edge is rarer than any letter
+    return ("" if len(letters) > MANY_LETTERS else first) + "(?<![A-Za-z0-9_])"
 
 
 def _arms(body: str) -> tuple[list[str], str]:
@@ -162,10 +168,16 @@ def flags(text: str, lower: str, rows: Sequence[Row]) -> str:
     fields += [
         f"'{n}', {sql.replace('$t', text).replace('$l', lower)}" for n, sql in FLAGS.items() if n in needed
     ]
-    fields += [f"'k{i}', contains({lower}, {lit(w)})" for i, w in enumerate(keywords(rows))]
+    fields += [f"'k{i}', {_holds(lower, w, len(rows) > FEW)}" for i, w in enumerate(keywords(rows))]
     return f"named_struct({', '.join(fields)})"
 
 
+def _holds(text: str, word: str, many: bool) -> str:
+    """Whether ``text`` holds a word. As a pattern, a word of more than four letters is sought in leaps,
+    which pays where many words are sought in long texts."""
+    return f"{text} RLIKE {lit(re.escape(word))}" if many and len(word) > 4 else f"contains({text}, {lit(word)})"
+
+
 def _hit(row: Row, text: str, lower: str, flags: str, known: dict[str, str]) -> str:
     d = row.detector
     hit = f"named_struct('o', {row.ordinal}, 'w', {d.span}, 'p', {marked(text, d)})"
